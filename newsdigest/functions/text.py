@@ -34,7 +34,6 @@ NAMED_ENTITIES = [
     ("&cent;", "¢"), ("&sect;", "§"), ("&para;", "¶"),
     ("&deg;", "°"), ("&times;", "×"), ("&divide;", "÷"),
 ]
-NUMERIC_ENTITY_RE = r"&#[xX][0-9a-fA-F]{1,8};|&#[0-9]{1,10};"
 
 
 def py_strip(c: Column) -> Column:
@@ -42,29 +41,37 @@ def py_strip(c: Column) -> Column:
     return F.regexp_replace(c, STRIP_RE, "")
 
 
-def _decode_numeric_one(m: Column) -> Column:
+ENTITY_RE = r"&(?:#[xX][0-9a-fA-F]{1,8}|#[0-9]{1,10}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+_ENTITY_MAP = None
+
+
+def _entity_map() -> Column:
+    global _ENTITY_MAP
+    if _ENTITY_MAP is None:
+        pairs = NAMED_ENTITIES + [("&amp;", "&")]
+        _ENTITY_MAP = F.create_map(*[x for name, ch in pairs for x in (F.lit(name), F.lit(ch))])
+    return _ENTITY_MAP
+
+
+def _decode_one(m: Column) -> Column:
+    """One reference -> its character; unknown names are kept as written."""
     is_hex = m.startswith("&#x") | m.startswith("&#X")
-    hex_digits = F.regexp_extract(m, r"^&#[xX]([0-9a-fA-F]+);$", 1)
-    dec_digits = F.regexp_extract(m, r"^&#([0-9]+);$", 1)
-    code = F.when(is_hex, F.conv(hex_digits, 16, 10)).otherwise(dec_digits).cast("bigint")
+    digits = F.regexp_extract(m, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+    code = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
     valid = (code > 0) & (code <= 0x10FFFF) & ~((code >= 0xD800) & (code <= 0xDFFF))
     as_char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "utf-32")
-    return F.when(valid, as_char).otherwise(F.lit("�"))
+    numeric = F.when(valid, as_char).otherwise(F.lit("\ufffd"))
+    return F.when(m.startswith("&#"), numeric).otherwise(F.coalesce(F.element_at(_entity_map(), m), m))
 
 
 def decode_entities(c: Column) -> Column:
-    """Decode the named references above and every numeric reference."""
-    out = c
-    for name, ch in NAMED_ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(ch))
-    parts = F.split(out, NUMERIC_ENTITY_RE)
-    found = F.regexp_extract_all(out, F.lit(NUMERIC_ENTITY_RE), 0)
-    decoded = F.transform(found, _decode_numeric_one)
-    joined = F.array_join(
-        F.zip_with(parts, F.concat(decoded, F.array(F.lit(""))),
-                   lambda p, d: F.concat(p, F.coalesce(d, F.lit("")))), "")
-    out = F.when(out.contains("&#"), joined).otherwise(out)
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    """Decode character references in one left-to-right pass (so '&amp;lt;'
+    gives '&lt;'): the known names above, '&amp;', and every numeric one."""
+    parts = F.split(c, ENTITY_RE)
+    found = F.transform(F.regexp_extract_all(c, F.lit(ENTITY_RE), 0), _decode_one)
+    joined = F.array_join(F.zip_with(parts, F.concat(found, F.array(F.lit(""))),
+                                     lambda p, d: F.concat(p, F.coalesce(d, F.lit("")))), "")
+    return F.when(c.contains("&"), joined).otherwise(c)
 
 
 def normalize_text(c: Column) -> Column:

@@ -11,6 +11,7 @@ from ..functions.dates import parse_date
 from ..functions.search import blocked_article
 from ..functions.text import WS, normalize_text, py_strip
 from ..functions.urls import resolve_url, url_domain
+from ..session import materialize
 from ..sources.rules import RuleSet, assign_rules
 from .html import elements, first_inside, mark, node_lookup, texts, tokenize, with_text
 
@@ -28,13 +29,13 @@ def page_nodes(pages: DataFrame, rules: RuleSet | None = None):
         pg = assign_rules(pg, rules)
     else:
         pg = pg.withColumn("rule_id", F.lit(0))
-    toks = tokenize(pg, carry=["rule_id"])
+    toks = tokenize(pg, carry=["rule_id"]).persist(StorageLevel.MEMORY_AND_DISK)
     # The element and text tables feed several branches (selector flags,
-    # lookups, text assembly); keep them once instead of re-tokenising per
-    # branch.  MEMORY_AND_DISK blocks are rebuilt from lineage if an
-    # executor is lost.
-    el = elements(toks, carry=["rule_id"]).persist(StorageLevel.MEMORY_AND_DISK)
-    tx = texts(toks).persist(StorageLevel.MEMORY_AND_DISK)
+    # lookups, text assembly): write them once to the checkpoint folder so
+    # no branch re-tokenises and every later plan starts from a scan.
+    el = materialize(elements(toks, carry=["rule_id"]))
+    tx = materialize(texts(toks))
+    toks.unpersist()
     return pg.drop("html"), el, tx
 
 
@@ -89,7 +90,7 @@ def extract_articles(pages: DataFrame, rules: RuleSet, nodes=None) -> DataFrame:
     el = _mark_slot(el, rules, "content_css", "_c")
     el = el.withColumn("_hx", F.col("tag").isin("h2", "h3", "h4"))
     el = first_inside(el, {"t1": "_t", "t2": "_hx", "lk": "_l", "dt": "_d", "ct": "_c"})
-    el = el.persist(StorageLevel.MEMORY_AND_DISK)
+    el = materialize(el)
     c = el.filter(F.col("is_container")).select(
         "page_id", "rule_id", F.col("pos").alias("cpos"), F.col("tag").alias("ctag"),
         F.col("href").alias("chref"), "t1", "t2", "lk", "dt", "ct")
@@ -149,7 +150,7 @@ def account_article_fields(pages: DataFrame, nodes=None) -> DataFrame:
     el = mark(el, ACCOUNT_BODY_FIRST, "_b1")
     el = mark(el, ACCOUNT_BODY_SECOND, "_b2")
     el = mark(el, ".rich_media_content", "_b3")
-    el = el.withColumn("_title_tag", F.col("tag") == "title").persist(StorageLevel.MEMORY_AND_DISK)
+    el = materialize(el.withColumn("_title_tag", F.col("tag") == "title"))
     firsts = el.groupBy("page_id").agg(
         *[F.min(F.when(F.col(n), F.col("pos"))).alias(n) for n in names + ["_b1", "_b2", "_b3", "_title_tag"]])
     f = firsts.withColumn("body_pos", F.coalesce("_b1", "_b2")) \

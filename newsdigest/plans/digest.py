@@ -7,7 +7,7 @@ import datetime as dt
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.compose import compose_prompt, daily_page, output_paths, summarize
@@ -51,8 +51,10 @@ def web_articles(sources: DataFrame, pages: DataFrame, rules: RuleSet) -> DataFr
     web = web_sources(sources).select(F.col("seq").alias("source_seq"), F.col("value").alias("url"))
     used = pages.filter(F.col("html").isNotNull()).join(web.select("url").distinct(), "url", "left_semi")
     arts = extract_articles(used, rules)
+    # k: position among the page's accepted containers (bounded per page)
+    arts = arts.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("cpos")))
     return arts.join(web, arts["source_url"] == web["url"]).drop(web["url"]).select(
-        ((F.col("source_seq") * F.lit(1 << WEB_SEQ_SHIFT)) + F.col("cpos")).alias("seq"), "source_seq",
+        ((F.col("source_seq") * F.lit(1 << WEB_SEQ_SHIFT)) + F.col("k")).alias("seq"), "source_seq",
         *[c for c in ARTICLE_COLUMNS if c != "seq"])
 
 

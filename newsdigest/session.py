@@ -58,3 +58,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = os.environ.get("NEWSDIGEST_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="newsdigest-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` once to the reliable checkpoint folder and
+    continue from the written copy (survives executor loss, keeps later
+    plans small).  Used for the page node tables, which feed many branches."""
+    from pyspark import StorageLevel
+    ensure_checkpoint_dir(df.sparkSession)
+    # the checkpoint write re-runs the plan; the cached copy makes that a read
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
