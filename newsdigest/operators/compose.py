@@ -7,6 +7,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import day_label
 from ..functions.digest import fallback_summary, material_block, summary_card, summary_prompt
@@ -50,7 +51,7 @@ def summarize(df: DataFrame, template: str, generator: Callable[[str], str] | No
         return out
     out = out.withColumn("_prompt", summary_prompt(template, F.col("title"), F.col("url"),
                                                    F.col("source_name"), F.col("content_text")))
-    schema = out.schema.add("_gen", "string")
+    schema = T.StructType(list(out.schema.fields) + [T.StructField("_gen", T.StringType())])
 
     def run(batches):
         for pdf in batches:

@@ -141,7 +141,7 @@ def selector_coverage(pg: DataFrame, el: DataFrame, tx: DataFrame, rules: RuleSe
     m = F.coalesce(F.col("matches"), F.lit(0)).cast("bigint")
     cov = cov.select("page_id", "domain", "rule_set", "slot_no", "slot",
                      F.when(F.col("selector") == "", F.lit(NOT_CONFIGURED)).otherwise(F.col("selector")).alias("selector"),
-                     F.when(F.col("selector") == "", F.lit(None).cast("bigint")).otherwise(m).alias("matches"),
+                     F.when(F.col("selector") == "", F.lit(0).cast("bigint")).otherwise(m).alias("matches"),
                      F.when(F.col("selector") == "", F.lit("NOT_CONFIGURED"))
                       .when(m > 0, F.lit("OK")).otherwise(F.lit("FAIL")).alias("status"))
     w = Window.partitionBy("page_id", "selector").orderBy("pos")

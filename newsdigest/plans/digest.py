@@ -17,6 +17,7 @@ from ..operators.report import site_results, site_report_text, problem_accounts
 from ..operators.topk import accepted_hits, top_hits
 from ..operators.window import date_window
 from ..sources.rules import RuleSet
+from ..session import materialize
 from ..sources.source_list import account_sources, web_sources
 
 ACCOUNT_SOURCE_SUFFIX = " (公众号)"
@@ -45,32 +46,35 @@ class DigestResult:
     prompt: DataFrame | None     # A5 (only when a generator is configured)
 
 
-def web_articles(sources: DataFrame, pages: DataFrame, rules: RuleSet) -> DataFrame:
+def web_articles(sources: DataFrame, pages: DataFrame, rules: RuleSet, nodes=None) -> DataFrame:
     """E8/E9 for every listed site page; one copy per source entry (duplicate
     entries are kept, the URL dedup removes the copies later)."""
-    web = web_sources(sources).select(F.col("seq").alias("source_seq"), F.col("value").alias("url"))
-    used = pages.filter(F.col("html").isNotNull()).join(web.select("url").distinct(), "url", "left_semi")
-    arts = extract_articles(used, rules)
+    web = web_sources(sources).select(F.col("seq").alias("source_seq"), F.col("value").alias("src_url"))
+    if nodes is None:
+        used = pages.filter(F.col("html").isNotNull()) \
+            .join(web.select(F.col("src_url").alias("url")).distinct(), "url", "left_semi")
+        nodes = page_nodes(used, rules)
+    arts = extract_articles(pages, rules, nodes=nodes)
     # k: position among the page's accepted containers (bounded per page)
     arts = arts.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("cpos")))
-    return arts.join(web, arts["source_url"] == web["url"]).drop(web["url"]).select(
+    return arts.join(web, F.col("source_url") == F.col("src_url")).select(
         ((F.col("source_seq") * F.lit(1 << WEB_SEQ_SHIFT)) + F.col("k")).alias("seq"), "source_seq",
         *[c for c in ARTICLE_COLUMNS if c != "seq"])
 
 
 def account_articles(sources: DataFrame, hits: DataFrame, article_pages: DataFrame, as_of_ts: dt.datetime,
-                     k: int = 2, tz: str | None = None) -> DataFrame:
+                     k: int = 2, tz: str | None = None, nodes=None) -> DataFrame:
     """K1 + E10/E11/P13: the first k hits per followed account whose article
     page loads and is not blocked, as article rows."""
     accts = account_sources(sources).select(F.col("seq").alias("acct_seq"), F.col("value").alias("account"))
     h = hits.join(accts, "account")
     acc = accepted_hits(h, as_of_ts, tz=tz)
-    fields = account_article_fields(article_pages)
+    fields = account_article_fields(article_pages, nodes=nodes)
     ok = fields.filter(~F.col("blocked")).join(article_pages.select("page_id", "url"), "page_id")
     resolved = acc.join(ok.withColumnRenamed("page_id", "article_page_id"), "article_page_id")
     top = top_hits(resolved, k)
     return top.select(
-        (F.lit(ACCOUNT_BASE) + F.col("acct_seq") * F.lit(1 << 24) + F.col("page") * F.lit(1 << 12) + F.col("rank")).alias("seq"),
+        (F.lit(ACCOUNT_BASE) + F.col("acct_seq") * F.lit(1 << 20) + F.col("page") * F.lit(1 << 12) + F.col("rank")).alias("seq"),
         "account", "title", "url",
         F.concat(F.col("account"), F.lit(ACCOUNT_SOURCE_SUFFIX)).alias("source_name"),
         F.col("url").alias("source_url"),
@@ -87,9 +91,14 @@ def run_digest(sources: DataFrame, pages: DataFrame, hits: DataFrame, rules: Rul
                compose_template: str = DEFAULT_COMPOSE_TEMPLATE,
                site_title: str = "Daily News Digest", tz: str | None = None) -> DigestResult:
     as_of_ts = as_of_ts or dt.datetime.combine(as_of, dt.time(23, 59, 59))
+    shared = article_pages is None
     article_pages = article_pages if article_pages is not None else pages
-    web = web_articles(sources, pages, rules)
-    acct = account_articles(sources, hits, article_pages, as_of_ts, tz=tz)
+    # one node table for the list pages and the article pages when they are
+    # the same table; both article tables are small and feed several
+    # branches (union, site report), so they are materialised once
+    nodes = page_nodes(pages.filter(F.col("html").isNotNull()), rules) if shared else None
+    web = materialize(web_articles(sources, pages, rules, nodes=nodes))
+    acct = materialize(account_articles(sources, hits, article_pages, as_of_ts, tz=tz, nodes=nodes))
     articles = web.select(*ARTICLE_COLUMNS).unionByName(acct.select(*ARTICLE_COLUMNS))   # U1
     results = site_results(web_sources(sources), pages, web.select("source_seq"),
                            account_sources(sources), acct.select("account"))

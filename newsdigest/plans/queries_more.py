@@ -259,7 +259,7 @@ SOURCE_LINES_SQL = """SELECT CAST(0 AS BIGINT) AS line_no, '# sources' AS line U
 UNION ALL SELECT page_id * 2 + 10, CASE WHEN page_id % 9 = 4 THEN '- not a url ' || url
   WHEN page_id % 13 = 0 THEN '* ' || url ELSE '- ' || url END FROM pages
 UNION ALL SELECT page_id * 2 + 11, '' FROM pages
-UNION ALL SELECT 1000000000000 + row_number() OVER (ORDER BY event_type),
+UNION ALL SELECT 1000000000 + row_number() OVER (ORDER BY event_type),
   '- ' || CASE WHEN length(event_type) % 2 = 0 THEN 'WeChat:' ELSE 'wechat: ' END || event_type
   FROM (SELECT DISTINCT event_type FROM events) t"""
 
@@ -533,7 +533,7 @@ rows AS (SELECT pg.page_id, pg.html, pg.domain, p.rule_set, p.slot_no, p.slot, p
 c AS (SELECT *, CASE selector {cases} END AS m FROM rows)
 SELECT page_id, domain, rule_set, slot_no, slot,
   CASE WHEN selector = '' THEN '(未配置)' ELSE selector END AS selector,
-  CASE WHEN selector = '' THEN NULL ELSE m END AS matches,
+  CASE WHEN selector = '' THEN 0 ELSE m END AS matches,
   CASE WHEN selector = '' THEN 'NOT_CONFIGURED' WHEN m > 0 THEN 'OK' ELSE 'FAIL' END AS status FROM c"""
 
 
@@ -594,7 +594,7 @@ UNION_SQL = f"""SELECT * FROM (
   FROM {FIXTURE_ARTICLES_SQL} fa JOIN (SELECT seq, value FROM ({SOURCES_SQL}) s WHERE kind = 'web' AND valid) w
     ON w.value = fa.source_url
   UNION ALL
-  SELECT 4611686018427387904 + ac.seq * 16777216 + top.page * 4096 + top.rank AS seq, top.title, top.article_url AS url,
+  SELECT 4611686018427387904 + ac.seq * 1048576 + top.page * 4096 + top.rank AS seq, top.title, top.article_url AS url,
          top.account || ' (公众号)' AS source_name, top.article_url AS source_url, strftime(top.pub_time, '%Y-%m-%d') AS date,
          top.pub_time AS date_parsed, CAST(NULL AS VARCHAR) AS content_html, '' AS content_text
   FROM (SELECT * FROM top WHERE hit_no <= 2) top
@@ -629,7 +629,7 @@ src AS ({SOURCES_SQL}),
 fa AS (SELECT * FROM {FIXTURE_ARTICLES_SQL} x),
 web AS (SELECT s.seq, s.value AS url, count(fa.k) AS n FROM src s LEFT JOIN fa ON fa.source_url = s.value
         WHERE s.kind = 'web' AND s.valid GROUP BY 1, 2),
-acc AS (SELECT s.seq, s.value AS account, count(top.hit_no) AS n FROM src s
+accs AS (SELECT s.seq, s.value AS account, count(top.hit_no) AS n FROM src s
         LEFT JOIN (SELECT * FROM top WHERE hit_no <= 2) top ON top.account = s.value
         WHERE s.kind = 'account' AND s.valid GROUP BY 1, 2),
 res AS (SELECT web.seq, web.url, {Q.url_domain('web.url')} AS domain,
@@ -639,7 +639,7 @@ res AS (SELECT web.seq, web.url, {Q.url_domain('web.url')} AS domain,
         FROM web LEFT JOIN pages p ON p.url = web.url
         UNION ALL
         SELECT seq, 'wechat:' || account, '公众号:' || account, CASE WHEN n > 0 THEN '成功' ELSE '无匹配/搜索失败' END,
-          CASE WHEN n > 0 THEN '' ELSE '未搜索到文章' END, n FROM acc)"""
+          CASE WHEN n > 0 THEN '' ELSE '未搜索到文章' END, n FROM accs)"""
 
 
 @register("site_report", SITE_REPORT_SQL + "\nSELECT * FROM res")

@@ -63,9 +63,11 @@ def source_lines_from_tables(pages: DataFrame, events: DataFrame) -> DataFrame:
          .when(F.col("page_id") % 13 == 0, F.concat(F.lit("* "), F.col("url")))
          .otherwise(F.concat(F.lit("- "), F.col("url"))).alias("line"))
     blanks = pages.select((F.col("page_id") * 2 + 11).alias("line_no"), F.lit("").alias("line"))
+    # accounts: one bullet per distinct event type, in name order (the
+    # distinct set is the followed-account list, a handful of rows)
     types = events.select("event_type").distinct()
     acct = types.select(
-        (F.lit(1 << 40) + F.xxhash64("event_type") % (1 << 20)).alias("line_no"),
+        (F.lit(10 ** 9) + F.row_number().over(Window.orderBy("event_type"))).alias("line_no"),
         F.concat(F.lit("- "), F.when(F.length("event_type") % 2 == 0, F.lit("WeChat:")).otherwise(F.lit("wechat: ")),
                  F.col("event_type")).alias("line"))
     head = pages.sparkSession.createDataFrame([(0, "# sources"), (1, "## web")], "line_no long, line string")
