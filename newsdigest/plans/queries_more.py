@@ -632,7 +632,7 @@ web AS (SELECT s.seq, s.value AS url, count(fa.k) AS n FROM src s LEFT JOIN fa O
 accs AS (SELECT s.seq, s.value AS account, count(top.hit_no) AS n FROM src s
         LEFT JOIN (SELECT * FROM top WHERE hit_no <= 2) top ON top.account = s.value
         WHERE s.kind = 'account' AND s.valid GROUP BY 1, 2),
-res AS (SELECT web.seq, web.url, {Q.url_domain('web.url')} AS domain,
+sres AS (SELECT web.seq, web.url, {Q.url_domain('web.url')} AS domain,
           CASE WHEN p.html IS NULL THEN '失败' WHEN n > 0 THEN '成功' ELSE '无匹配' END AS status,
           CASE WHEN p.html IS NULL THEN '未知错误' WHEN n > 0 THEN '' ELSE 'CSS 选择器未匹配到文章' END AS reason,
           CASE WHEN p.html IS NULL THEN 0 ELSE n END AS articles
@@ -642,12 +642,12 @@ res AS (SELECT web.seq, web.url, {Q.url_domain('web.url')} AS domain,
           CASE WHEN n > 0 THEN '' ELSE '未搜索到文章' END, n FROM accs)"""
 
 
-@register("site_report", SITE_REPORT_SQL + "\nSELECT * FROM res")
+@register("site_report", SITE_REPORT_SQL + "\nSELECT * FROM sres")
 def q_site_report(spark, d):
     return _digest(spark, d).site_results
 
 
-@register("problem_accounts", SITE_REPORT_SQL + "\nSELECT seq, replace(domain, '公众号:', '') AS account FROM res WHERE starts_with(domain, '公众号:') AND status <> '成功'")
+@register("problem_accounts", SITE_REPORT_SQL + "\nSELECT seq, replace(domain, '公众号:', '') AS account FROM sres WHERE starts_with(domain, '公众号:') AND status <> '成功'")
 def q_problem_accounts(spark, d):
     return _digest(spark, d).problem_accounts
 
@@ -663,7 +663,7 @@ SELECT '2024-01-30' AS run_date,
   || coalesce(chr(10) || '--- 成功站点 ---' || chr(10) || string_agg(CASE WHEN status = '成功' THEN
        '  [OK] ' || domain || ' (' || CAST(articles AS VARCHAR) || ' 篇文章)' END, chr(10) ORDER BY seq), '') AS report,
   count(*) AS total, count(*) FILTER (WHERE status = '成功') AS n_ok
-FROM res""")
+FROM sres""")
 def q_site_report_text(spark, d):
     return _digest(spark, d).site_report
 
