@@ -83,14 +83,10 @@ def account_articles(sources: DataFrame, hits: DataFrame, article_pages: DataFra
         F.coalesce("content_text", F.lit("")).alias("content_text"))
 
 
-def run_digest(sources: DataFrame, pages: DataFrame, hits: DataFrame, rules: RuleSet,
-               as_of: dt.date, allow_undated: bool = False,
-               generator: Callable[[str], str] | None = None,
-               article_pages: DataFrame | None = None, as_of_ts: dt.datetime | None = None,
-               summary_template: str = DEFAULT_SUMMARY_TEMPLATE,
-               compose_template: str = DEFAULT_COMPOSE_TEMPLATE,
-               site_title: str = "Daily News Digest", tz: str | None = None) -> DigestResult:
-    as_of_ts = as_of_ts or dt.datetime.combine(as_of, dt.time(23, 59, 59))
+def collect_articles(sources: DataFrame, pages: DataFrame, hits: DataFrame, rules: RuleSet,
+                     as_of_ts: dt.datetime, article_pages: DataFrame | None = None, tz: str | None = None):
+    """S1-S3 -> E8/E9 + K1/E10/E11 -> U1 and A1: (web articles, account
+    articles, all articles, site results), without dedup."""
     shared = article_pages is None
     article_pages = article_pages if article_pages is not None else pages
     # one node table for the list pages and the article pages when they are
@@ -102,6 +98,18 @@ def run_digest(sources: DataFrame, pages: DataFrame, hits: DataFrame, rules: Rul
     articles = web.select(*ARTICLE_COLUMNS).unionByName(acct.select(*ARTICLE_COLUMNS))   # U1
     results = site_results(web_sources(sources), pages, web.select("source_seq"),
                            account_sources(sources), acct.select("account"))
+    return web, acct, articles, results
+
+
+def run_digest(sources: DataFrame, pages: DataFrame, hits: DataFrame, rules: RuleSet,
+               as_of: dt.date, allow_undated: bool = False,
+               generator: Callable[[str], str] | None = None,
+               article_pages: DataFrame | None = None, as_of_ts: dt.datetime | None = None,
+               summary_template: str = DEFAULT_SUMMARY_TEMPLATE,
+               compose_template: str = DEFAULT_COMPOSE_TEMPLATE,
+               site_title: str = "Daily News Digest", tz: str | None = None) -> DigestResult:
+    as_of_ts = as_of_ts or dt.datetime.combine(as_of, dt.time(23, 59, 59))
+    web, acct, articles, results = collect_articles(sources, pages, hits, rules, as_of_ts, article_pages, tz)
     survivors, removed = deduplicate(articles)
     kept = date_window(survivors, as_of, allow_undated)
     summed = summarize(kept, summary_template, generator)

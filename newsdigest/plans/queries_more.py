@@ -576,6 +576,14 @@ def _digest(spark, d, allow_undated=True):
                       AS_OF, allow_undated=allow_undated, as_of_ts=AS_OF_TS, tz="UTC")
 
 
+def _site_results(spark, d):
+    from .digest import collect_articles
+    from ..operators.report import problem_accounts, site_report_text
+    *_, results = collect_articles(_sources_df(spark, d), _t(spark, d, "pages"), X.search_hits(spark, d),
+                                   X.fixture_rules(), AS_OF_TS, tz="UTC")
+    return results
+
+
 def _edges_over(a_sql: str) -> str:
     return f"""a AS ({a_sql}),
 t AS (SELECT seq, {_TOK_SQL} AS tk FROM a), t2 AS (SELECT * FROM t WHERE len(tk) > 0),
@@ -644,12 +652,12 @@ sres AS (SELECT web.seq, web.url, {Q.url_domain('web.url')} AS domain,
 
 @register("site_report", SITE_REPORT_SQL + "\nSELECT * FROM sres")
 def q_site_report(spark, d):
-    return _digest(spark, d).site_results
+    return _site_results(spark, d)
 
 
 @register("problem_accounts", SITE_REPORT_SQL + "\nSELECT seq, replace(domain, '公众号:', '') AS account FROM sres WHERE starts_with(domain, '公众号:') AND status <> '成功'")
 def q_problem_accounts(spark, d):
-    return _digest(spark, d).problem_accounts
+    return report.problem_accounts(_site_results(spark, d))
 
 
 @register("site_report_text", SITE_REPORT_SQL + """
@@ -665,7 +673,7 @@ SELECT '2024-01-30' AS run_date,
   count(*) AS total, count(*) FILTER (WHERE status = '成功') AS n_ok
 FROM sres""")
 def q_site_report_text(spark, d):
-    return _digest(spark, d).site_report
+    return report.site_report_text(_site_results(spark, d), AS_OF)
 
 
 @register("digest_rows")
