@@ -108,7 +108,7 @@ def extract_articles(pages: DataFrame, rules: RuleSet, nodes=None) -> DataFrame:
     c = c.withColumn("title", title).filter(F.col("title") != "")
     href = F.coalesce(F.nullif(F.col("ll_href"), F.lit("")), F.nullif(F.col("tt_href"), F.lit("")),
                       F.when(F.col("ctag") == "a", F.nullif(F.col("chref"), F.lit(""))))
-    rid = rules.resolved_frame(pages.sparkSession).select("rule_id", "base_url", "date_format")
+    rid = rules.resolved_frame(el.sparkSession).select("rule_id", "base_url", "date_format")
     c = c.join(F.broadcast(rid), "rule_id", "left").join(pg.select("page_id", "url", "domain"), "page_id")
     base = F.when(F.coalesce(F.col("base_url"), F.lit("")) != "", F.col("base_url")).otherwise(F.col("url"))
     c = c.withColumn("article_url", resolve_url(href, base))

@@ -84,7 +84,8 @@ def account_articles(sources: DataFrame, hits: DataFrame, article_pages: DataFra
 
 
 def collect_articles(sources: DataFrame, pages: DataFrame, hits: DataFrame, rules: RuleSet,
-                     as_of_ts: dt.datetime, article_pages: DataFrame | None = None, tz: str | None = None):
+                     as_of_ts: dt.datetime, article_pages: DataFrame | None = None, tz: str | None = None,
+                     nodes=None):
     """S1-S3 -> E8/E9 + K1/E10/E11 -> U1 and A1: (web articles, account
     articles, all articles, site results), without dedup."""
     shared = article_pages is None
@@ -92,7 +93,8 @@ def collect_articles(sources: DataFrame, pages: DataFrame, hits: DataFrame, rule
     # one node table for the list pages and the article pages when they are
     # the same table; both article tables are small and feed several
     # branches (union, site report), so they are materialised once
-    nodes = page_nodes(pages.filter(F.col("html").isNotNull()), rules) if shared else None
+    if nodes is None and shared:
+        nodes = page_nodes(pages.filter(F.col("html").isNotNull()), rules)
     web = materialize(web_articles(sources, pages, rules, nodes=nodes))
     acct = materialize(account_articles(sources, hits, article_pages, as_of_ts, tz=tz, nodes=nodes))
     articles = web.select(*ARTICLE_COLUMNS).unionByName(acct.select(*ARTICLE_COLUMNS))   # U1
@@ -107,9 +109,9 @@ def run_digest(sources: DataFrame, pages: DataFrame, hits: DataFrame, rules: Rul
                article_pages: DataFrame | None = None, as_of_ts: dt.datetime | None = None,
                summary_template: str = DEFAULT_SUMMARY_TEMPLATE,
                compose_template: str = DEFAULT_COMPOSE_TEMPLATE,
-               site_title: str = "Daily News Digest", tz: str | None = None) -> DigestResult:
+               site_title: str = "Daily News Digest", tz: str | None = None, nodes=None) -> DigestResult:
     as_of_ts = as_of_ts or dt.datetime.combine(as_of, dt.time(23, 59, 59))
-    web, acct, articles, results = collect_articles(sources, pages, hits, rules, as_of_ts, article_pages, tz)
+    web, acct, articles, results = collect_articles(sources, pages, hits, rules, as_of_ts, article_pages, tz, nodes)
     survivors, removed = deduplicate(articles)
     kept = date_window(survivors, as_of, allow_undated)
     summed = summarize(kept, summary_template, generator)
