@@ -153,3 +153,14 @@ def test_read_sources(spark, tmp_path):
     assert web == ["https://www.a.org/news", "http://b.org", "https://www.a.org/news", "https://c.org/x"]
     assert acct == ["名字", "x"]
     assert read_sources(spark, str(tmp_path / "missing.md")).count() == 0
+
+
+def test_linked_headings_and_tag_counts(spark):
+    from newsdigest.operators import report
+    pages = spark.createDataFrame([(1, "https://www.s.org/news", PAGE)], "page_id long, url string, html string")
+    pg, el, tx = nodes(spark, pages)
+    got = sorted((r.tag, r.href, r.text) for r in report.linked_headings(el, tx).collect())
+    # h2 before h3 before h4; headings without a link are skipped
+    assert got == [("h2", "/a1", "Dup url"), ("h3", "/a1", "First & best")]
+    counts = {r.tag: r.n for r in report.tag_counts(el).collect()}
+    assert counts == {"a": 4, "h2": 2, "h3": 1, "h4": 1}
