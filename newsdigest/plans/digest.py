@@ -98,8 +98,10 @@ def collect_articles(sources: DataFrame, pages: DataFrame, hits: DataFrame, rule
     web = materialize(web_articles(sources, pages, rules, nodes=nodes))
     acct = materialize(account_articles(sources, hits, article_pages, as_of_ts, tz=tz, nodes=nodes))
     articles = web.select(*ARTICLE_COLUMNS).unionByName(acct.select(*ARTICLE_COLUMNS))   # U1
-    results = site_results(web_sources(sources), pages, web.select("source_seq"),
-                           account_sources(sources), acct.select("account"))
+    # one row per source; feeds three reports, so it is written once (this
+    # also keeps report filters from being pushed into the source parsing)
+    results = materialize(site_results(web_sources(sources), pages, web.select("source_seq"),
+                                       account_sources(sources), acct.select("account")))
     return web, acct, articles, results
 
 
