@@ -466,7 +466,6 @@ _PREVIEW_SEL = ["nav li", "h1", "footer"]
     f"""SELECT page_id, 'footer', CAST(1 AS BIGINT), {Q.ascii_preview(Q.strip(Q.decode("regexp_extract(html, '<footer>([^<]*)</footer>', 1)")), 80)} FROM pages"""]))
 def q_selector_preview(spark, d):
     pg, el, tx = _nodes(spark, d)
-    rows = None
     for i, css in enumerate(_PREVIEW_SEL):
         el = html.mark(el, css, f"s{i}")
     stacked = el.select("page_id", "pos", "end", F.explode(F.array(*[
