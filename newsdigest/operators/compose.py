@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.dates import day_label
 from ..functions.digest import fallback_summary, material_block, summary_card, summary_prompt
 from ..functions.text import md_to_html, safe_stem
+from ..session import materialize
 from .topk import last_wins
 
 # Fragments of the daily page.
@@ -24,14 +25,20 @@ BLOCK_SEP = "\n\n"
 
 
 def with_order(df: DataFrame) -> DataFrame:
-    """1-based position ``i`` in seq order (for P16).  The seq keys are
-    range-sorted and numbered with ``zipWithIndex`` (per-partition counts,
-    then offsets), then joined back on the unique seq; no single task sees
-    all rows."""
+    """1-based position ``i`` in seq order (for P16), JVM-side: the seq keys
+    are range-partitioned (materialised, so partition ids are fixed), each
+    partition's row count gives its offset (a table with one row per
+    partition), and ``i`` = offset + row_number within the partition.
+    No single task sees all rows; the result joins back on the unique seq."""
     spark = df.sparkSession
-    keys = df.select("seq").sort("seq")
-    idx = keys.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + 1))
-    order = spark.createDataFrame(idx, "seq bigint, i bigint")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = materialize(df.select("seq").repartitionByRange(n, "seq")
+                       .withColumn("_pid", F.spark_partition_id()))
+    counts = keys.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    order = keys.join(F.broadcast(offsets), "_pid").select(
+        "seq", (F.col("_off") + F.row_number().over(Window.partitionBy("_pid").orderBy("seq"))).cast("bigint").alias("i"))
     return df.join(order, "seq")
 
 
