@@ -90,8 +90,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     width = F.least(F.lit(SPAN), F.size("tokens"))
     need = F.when(F.size("tokens") >= SPAN, F.lit(SPAN - WRONG)).otherwise(F.size("tokens"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    dense = F.exists(F.sequence(F.lit(1), F.greatest(F.size("same") - F.col("width") + 1, F.lit(1))),
-                     lambda i: total(F.slice(F.col("same"), i, F.col("width"))) >= F.col("need"))
+    dense = (F.size("same") >= F.col("width")) & F.exists(
+        F.sequence(F.lit(1), F.greatest(F.size("same") - F.col("width") + 1, F.lit(1))), lambda i: total(F.slice(F.col("same"), i, F.col("width"))) >= F.col("need"))
     good = (aligned.withColumn("width", width).withColumn("need", need).filter(dense)
             .select("doc_id", F.explode("ids").alias("item_id"), total(F.col("same")).alias("matched"), F.size("tokens").alias("item_tokens")))
     return good.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("item_tokens").alias("item_tokens"))
