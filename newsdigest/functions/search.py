@@ -28,13 +28,18 @@ def account_match(account: Column, src_name: Column) -> Column:
     return s.contains(account) | account.contains(s)
 
 
+#: 9999-12-31 23:59:59, the last second that a timestamp can name.
+LAST_SECOND = 253_402_300_799
+
+
 def hit_time(script: Column, tz: str | None = None) -> Column:
     """Publish time from ``timeConvert('<epoch>')`` as a naive local
     timestamp; null when the script has no such call.  Local means the
     session time zone, or UTC wall time when ``tz='UTC'`` is given (then the
     result does not depend on the session)."""
     digits = F.regexp_extract(F.coalesce(script, F.lit("")), _TIME_RE, 1)
-    secs = F.when((digits != "") & (F.length(digits) <= 11), digits.try_cast("bigint"))
+    secs = digits.try_cast("bigint")
+    secs = F.when(secs <= LAST_SECOND, secs)
     if tz == "UTC":
         epoch = F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
         return F.timestamp_add("SECOND", secs, epoch)

@@ -86,7 +86,7 @@ def normalize_text(c: Column) -> Column:
 CLEAN_DROP_TAGS = ["script", "style", "noscript", "iframe", "svg"]
 _DROP_SUBTREES_RE = "(?is)<!--.*?-->|" + "|".join(
     rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in CLEAN_DROP_TAGS)
-_ANY_TAG_RE = r"(?s)<![^>]*>|</?[a-zA-Z][^>]*>"
+_ANY_TAG_RE = r"""(?s)<![^>]*>|</?[a-zA-Z][^>=]*(?:=(?:\s*"[^"]*"|\s*'[^']*')?[^>=]*)*>"""
 
 
 def clean_html(c: Column) -> Column:

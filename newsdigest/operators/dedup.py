@@ -59,7 +59,7 @@ def title_near_pairs(reps: DataFrame) -> DataFrame:
     return cand.join(ta, "a").join(tb, "b").filter(jaccard_dup(F.col("ta"), F.col("tb"))).select("a", "b")
 
 
-def greedy_keep(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def greedy_keep(edges: DataFrame) -> DataFrame:
     """Sequential greedy over ``edges (a < b)``: a node is kept iff no earlier
     *kept* neighbour exists.  Solved in rounds (a node is dropped once an
     earlier neighbour is kept, kept once all earlier neighbours are
@@ -72,9 +72,12 @@ def greedy_keep(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     has_earlier = edges.select(F.col("b").alias("seq")).distinct().withColumn("h", F.lit(True))
     status = nodes.join(has_earlier, "seq", "left").select(
         "seq", F.when(F.col("h").isNull(), F.lit(KEPT)).otherwise(F.lit(UNDECIDED)).alias("st")).checkpoint()
-    for _ in range(max_rounds):
-        if status.filter(F.col("st") == UNDECIDED).limit(1).count() == 0:
-            break
+    left = None
+    while (open_now := status.filter(F.col("st") == UNDECIDED).count()) > 0:
+        # the earliest undecided node of a chain is decided in every round
+        if left is not None and open_now >= left:
+            raise RuntimeError("greedy dedup made no progress: edges must have a < b")
+        left = open_now
         earlier = edges.join(status.select(F.col("seq").alias("a"), F.col("st").alias("sa")), "a")
         agg = earlier.groupBy(F.col("b").alias("seq")).agg(
             F.max((F.col("sa") == KEPT).cast("int")).alias("any_kept"),

@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import decode_entities, py_strip, normalize_text
 
+# A tag ends at the first ">" outside a quoted attribute value.
+TAG_RE = r"""</?[a-zA-Z][^>=]*(?:=(?:\s*"[^"]*"|\s*'[^']*')?[^>=]*)*>"""
 TOKEN_RE = (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-            r"|<![^>]*>|</?[a-zA-Z][^>]*>|[^<]+|<")
+            r"|<![^>]*>|" + TAG_RE + r"|[^<]+|<")
 
 # Elements without content.
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "keygen",

@@ -42,11 +42,11 @@ def accepted_hits(hits: DataFrame, as_of_ts: dt.datetime, days: int = 2,
                     & F.col("link").isNotNull()).drop("stop_page")
 
 
-def top_hits(accepted: DataFrame, k: int = 2) -> DataFrame:
-    """K1: first k accepted hits per account in search order (page, rank).
+def top_hits(accepted: DataFrame, k: int = 2, key: str = "account") -> DataFrame:
+    """K1: first k accepted hits per ``key`` (account or list entry) in search order (page, rank).
     Rows whose article did not resolve must be removed before, so they do
     not use up the limit.  ``row_number <= k`` plans as WindowGroupLimit."""
-    w = Window.partitionBy("account").orderBy("page", "rank")
+    w = Window.partitionBy(key).orderBy("page", "rank")
     return accepted.withColumn("hit_no", F.row_number().over(w)).filter(F.col("hit_no") <= k)
 
 

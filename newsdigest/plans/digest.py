@@ -72,7 +72,7 @@ def account_articles(sources: DataFrame, hits: DataFrame, article_pages: DataFra
     fields = account_article_fields(article_pages, nodes=nodes)
     ok = fields.filter(~F.col("blocked")).join(article_pages.select("page_id", "url"), "page_id")
     resolved = acc.join(ok.withColumnRenamed("page_id", "article_page_id"), "article_page_id")
-    top = top_hits(resolved, k)
+    top = top_hits(resolved, k, "acct_seq")        # an account listed twice has its hits twice
     return top.select(
         (F.lit(ACCOUNT_BASE) + F.col("acct_seq") * F.lit(1 << 20) + F.col("page") * F.lit(1 << 12) + F.col("rank")).alias("seq"),
         "account", "title", "url",

@@ -67,8 +67,7 @@ HITS_SQL = """SELECT event_type AS account, CAST(floor((rn - 1) / 10) + 1 AS INT
     ELSE '/link?url=' || CAST(event_id AS VARCHAR) END AS href,
   value > 489.5 AS blocked, event_id, user_id AS article_page_id
 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn,
-        CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR) AS ep FROM events) e
-WHERE rn <= 1000"""
+        CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR) AS ep FROM events) e"""
 
 HIT_TIME_SQL = ("(CASE WHEN regexp_extract(script, 'timeConvert\\([''\"]?([0-9]+)[''\"]?\\)', 1) <> '' "
                 "THEN TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(regexp_extract(script, "

@@ -4,7 +4,6 @@ W, T, X and the flagship).  See queries.py for the scalar ones."""
 from __future__ import annotations
 
 import datetime as dt
-import os
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,23 +22,9 @@ from .queries import (ACCOUNT_MATCH_SQL, DOC_ARTICLES_SQL, HIT_LINK_SQL, HIT_TIM
 
 AS_OF, AS_OF_TS = X.AS_OF, X.AS_OF_TS
 
-# Node tables are staging tables: one checkpointed (element, text) pair per
-# (session, input folder, rule set), reused by every query of the registry
-# that reads the same pages.  bench.py switches this off so each query is
-# timed from scratch.
-_NODE_CACHE: dict = {}
-
-
 def _nodes(spark, d, rules: RuleSet | None = None):
     rules = rules if rules is not None else X.fixture_rules()
-    key = (spark.sparkContext.applicationId, d, repr(sorted(rules.raw.items(), key=lambda kv: kv[0])))
-    use = os.environ.get("NEWSDIGEST_NODE_CACHE", "1") != "0"
-    if use and key in _NODE_CACHE:
-        return _NODE_CACHE[key]
-    n = extract.page_nodes(_t(spark, d, "pages"), rules)
-    if use:
-        _NODE_CACHE[key] = n
-    return n
+    return extract.page_nodes(_t(spark, d, "pages"), rules)
 
 AS_OF_TS_SQL = "TIMESTAMP '2024-01-30 23:59:59'"
 WS = T.WS

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -55,7 +54,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = os.environ.get("NEWSDIGEST_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="newsdigest-ckpt-")
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="newsdigest-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
@@ -64,10 +65,5 @@ def materialize(df):
     """Cut lineage: write ``df`` once to the reliable checkpoint folder and
     continue from the written copy (survives executor loss, keeps later
     plans small).  Used for the page node tables, which feed many branches."""
-    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    # the checkpoint write re-runs the plan; the cached copy makes that a read
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
+    return df.checkpoint(eager=True)

@@ -101,18 +101,14 @@ def _epoch_seconds_ntz(ts):
 
 
 RESULTS_PER_PAGE = 10
-MAX_SEARCH_PAGES = 100
 
 
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> search result rows per account (= event_type), newest
-    first, 10 per page over the 100 listed pages.  The listing cap is the
-    search engine's (only 100 pages are ever shown), so the top 1000 per
-    account are a per-group top-k (``WindowGroupLimit``, partial before
-    the shuffle)."""
+    first, 10 per page, over all events; the page limit is K1's own."""
     e = table(spark, sf_dir, "events")
     w = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    r = e.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= RESULTS_PER_PAGE * MAX_SEARCH_PAGES)
+    r = e.withColumn("rn", F.row_number().over(w))
     u7, u5, u11 = F.col("user_id") % 7, F.col("user_id") % 5, F.col("user_id") % 11
     acct = F.col("event_type")
     src = (F.when(u7 == 0, F.lit("")).when(u7 == 1, acct).when(u7 == 2, F.concat(acct, F.lit("官方")))
@@ -134,8 +130,3 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("value") > 489.5).alias("blocked"),
         F.col("event_id"), F.col("user_id").alias("article_page_id"))
 
-
-def account_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accounts followed: the distinct event types, in name order."""
-    e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_type").alias("account")).distinct()

@@ -2,8 +2,8 @@
 
 Pages land as parquet files in a folder.  Each micro-batch extracts the
 articles of the new pages and applies the per-run URL dedup inside the
-batch (the original keeps no state between runs), then appends the batch
-to the output table.  ``availableNow`` processes everything present and
+batch (the original keeps no state between runs), then writes the batch as
+a partition of its own, so a batch that is replayed replaces itself.  ``availableNow`` processes everything present and
 stops, so the same code serves a daily job and a test; the checkpoint
 records which files were consumed, so a restarted job resumes.
 """
@@ -23,17 +23,19 @@ PAGES_SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructFie
 
 
 def start_incremental_digest(spark: SparkSession, pages_dir: str, rules: RuleSet, out_path: str,
-                             checkpoint: str, glob: str = "*.parquet", max_files: int = 1,
+                             checkpoint: str, glob: str = "*.parquet",
                              available_now: bool = True):
-    stream = (spark.readStream.schema(PAGES_SCHEMA).option("pathGlobFilter", glob)
-              .option("maxFilesPerTrigger", max_files).parquet(pages_dir))
+    # all files that are new in a run are one batch, so the per-run dedup
+    # does not depend on how the pages are spread over files
+    stream = spark.readStream.schema(PAGES_SCHEMA).option("pathGlobFilter", glob).parquet(pages_dir)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         arts = extract_articles(batch, rules)
         arts = arts.withColumn("seq", F.col("page_id") * F.lit(1 << 32) + F.col("cpos"))
         kept = dedup_url(arts).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         kept.select("batch_id", "seq", "page_id", "title", "url", "source_name") \
-            .write.mode("append").parquet(out_path)
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("batch_id").parquet(out_path)
 
     writer = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -164,3 +164,16 @@ def test_linked_headings_and_tag_counts(spark):
     assert got == [("h2", "/a1", "Dup url"), ("h3", "/a1", "First & best")]
     counts = {r.tag: r.n for r in report.tag_counts(el).collect()}
     assert counts == {"a": 4, "h2": 2, "h3": 1, "h4": 1}
+
+
+def test_greedy_follows_a_long_chain(spark):
+    from newsdigest.operators.dedup import KEPT, greedy_keep
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 12)], "a long, b long")
+    assert sorted(r["seq"] for r in greedy_keep(edges).collect() if r["st"] == KEPT) == [1, 3, 5, 7, 9, 11]
+
+
+def test_an_account_listed_twice_keeps_its_hits_twice(spark):
+    from newsdigest.operators.topk import top_hits
+    rows = [("a", entry, 1, rank) for entry in (0, 5) for rank in range(4)]
+    got = top_hits(spark.createDataFrame(rows, "account string, acct_seq long, page int, rank int"), 2, "acct_seq").collect()
+    assert sorted((r["acct_seq"], r["rank"]) for r in got) == [(0, 0), (0, 1), (5, 0), (5, 1)]
