@@ -1,8 +1,9 @@
 """Operator 8, quality classifier: naive Bayes support vectors.
 
-Features are indicators of byte n-grams (pairs exact, triples hashed) of the whole text.  Each indicator is scaled
-by its class log-count ratio, the vector is brought to unit length, and a linear hinge-loss model is fitted by
-dual coordinate descent.  The fit uses a bounded sample of labelled rows (``sample_rows``, chosen by a hash of the
+Features are indicators of byte n-grams (pairs exact, triples hashed) of the whole text and of word pairs that
+repeat a word, by their share.  Each indicator is scaled by its class log-count ratio, the vector is brought to
+about unit length (less for short texts, which then lean on the bias), and a linear hinge-loss model is fitted by dual
+coordinate descent.  The fit uses a bounded sample of labelled rows (``sample_rows``, chosen by a hash of the
 id); scoring reads every text whole and needs no shuffle.  Model arrays have a fixed size and are broadcast.
 
 Defined results: a null or empty text scores by the bias alone; without labels of both classes every text gets the
@@ -23,7 +24,10 @@ from pyspark.sql import types as T
 
 PAIRS = 1 << 16
 TRIPLE_BITS = 17
-SIZE = PAIRS + (1 << TRIPLE_BITS)
+REPEATS = PAIRS + (1 << TRIPLE_BITS)
+#: Shares of the word pairs that repeat a word; each that is reached is an indicator.
+SHARES = (0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4)
+SIZE = REPEATS + len(SHARES)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -39,6 +43,10 @@ def mark(text: str | None, seen: np.ndarray) -> np.ndarray:
     seen[(b[:-1] << np.uint32(8)) | b[1:]] = True
     triple = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
     seen[PAIRS + ((triple * np.uint32(2654435761)) >> np.uint32(32 - TRIPLE_BITS))] = True
+    words = text.split()
+    again = sum(map(str.__eq__, words, words[1:]))
+    if again:
+        seen[REPEATS:REPEATS + sum(again >= s * len(words) for s in SHARES)] = True
     out = np.flatnonzero(seen).astype(np.int32)
     seen[out] = False
     return out
@@ -49,11 +57,12 @@ class Model:
     ratio: np.ndarray           # class log-count ratios
     weight: np.ndarray          # of the scaled indicators
     bias: float
+    room: float = 1.0           # added to the squared length of a scaled vector
     steepness: float = 4.0
 
     def score(self, features: np.ndarray) -> float:
         r = self.ratio[features]
-        margin = float(r @ self.weight[features]) / max(float(np.sqrt(r @ r)), 1e-9) + self.bias
+        margin = float(r @ self.weight[features]) / float(np.sqrt(r @ r + self.room)) + self.bias
         return float(1.0 / (1.0 + np.exp(-np.clip(self.steepness * margin, -60, 60))))
 
 
@@ -95,10 +104,12 @@ def fit_model(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0) ->
     if not n0 or not n1:
         return Model(np.zeros(SIZE), np.zeros(SIZE), 0.0 if not n0 and not n1 else 1.0 if n1 else -1.0)
     ratio = log_count_ratios(rows, labels)
-    scaled = [ratio[x] / max(float(np.sqrt(ratio[x] @ ratio[x])), 1e-9) for x in rows]
+    squares = np.array([ratio[x] @ ratio[x] for x in rows])
+    room = max(0.25 * float(np.median(squares)), 1e-9)
+    scaled = [ratio[x] / np.sqrt(q + room) for x, q in zip(rows, squares)]
     y = np.where(labels == 1, 1.0, -1.0)
     weight, bias = dual_descent(rows, scaled, y, np.where(labels == 1, cost, cost * min(4.0, max(0.25, n1 / n0))))
-    return Model(ratio, weight, bias)
+    return Model(ratio, weight, bias, room)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str = "doc_id",
@@ -127,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 5000, id_col: s
 
 def scores(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """The score of a text as a column of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.ratio, model.weight, model.bias, model.steepness))
+    shared = docs.sparkSession.sparkContext.broadcast((model.ratio, model.weight, model.bias, model.room, model.steepness))
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
