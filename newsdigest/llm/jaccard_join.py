@@ -34,6 +34,7 @@ BANDS, ROWS = 24, 4
 STEPS = (8, 16, 32, 64, BANDS * ROWS)
 TOLERANCE = 1e-6
 BLOCK = 384
+HOT_PART = 1000
 
 
 def least_matches(threshold: float, tolerance: float = TOLERANCE) -> list[int]:
@@ -277,7 +278,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     about = (classes.select("node", "rep", "rows").join(linked, "node", "left")
              .select("node", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                      (F.col("rows") - 1).alias("n_copies")))
-    found = all_rows.select("doc_id", "node").join(about, "node", "left")
+    return with_classes(all_rows.select("doc_id", "node"), written(about, "class-facts"))
+
+
+def with_classes(rows: DataFrame, about: DataFrame) -> DataFrame:
+    """Each row of (doc_id, node) with the facts of its class.  Classes of more than one row in ``HOT_PART`` meet their
+    rows by a broadcast: there are fewer than ``HOT_PART`` of them, whatever the input.  The others are joined by a
+    shuffle, and rows without words by none."""
     zero = F.lit(0).cast("long")
-    return found.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-                        F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_copies", zero).alias("n_copies"))
+    facts = ("class_id", "n_links", "n_copies")
+    hot = F.broadcast(about.filter((F.col("n_copies") + 1) * HOT_PART > rows.count()))
+    often = rows.join(hot, "node").select("doc_id", *facts)
+    seldom = rows.join(hot.select("node"), "node", "left_anti").filter("node IS NOT NULL").join(about, "node").select("doc_id", *facts)
+    wordless = rows.filter("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_copies"))
+    return often.unionByName(seldom).unionByName(wordless)
