@@ -6,8 +6,8 @@ hit is verified on its diagonal: an item leaks into a document when some ``span`
 but for at most ``wrong``.  The two masks are lossless for 13 tokens with any 2 substituted (checked by test).
 Items shorter than that must stand in the document whole, unchanged.
 
-Document texts are not shuffled to find hits while the benchmark's hashes are at most ``BROADCAST_ROWS``; beyond,
-the join shuffles hashes.  Texts of documents with hits are fetched once for the check.
+Document texts are not shuffled to find hits while the benchmark's hashes are at most ``BROADCAST_BYTES``;
+beyond, the join shuffles hashes.  Texts of documents with hits are fetched once for the check.
 
 Defined results: null texts and items without tokens match nothing; rows with equal ids count as one document; a null doc_id
 is an id of its own; repeated or tied items are reported each; an empty table gives an empty result; other columns
@@ -24,8 +24,8 @@ from .storage import written
 #: Token positions that each mask compares.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SPAN, WRONG = 13, 2
-#: Rows of a table that may be broadcast (some 50 bytes each).
-BROADCAST_ROWS = 200_000
+#: Bytes of a table that may be broadcast, and those of a row of numbers.
+BROADCAST_BYTES, ROW_BYTES = 10_000_000, 50
 
 
 def tokens(text: Column) -> Column:
@@ -39,9 +39,11 @@ def seeds(masks: tuple[tuple[int, ...], ...]) -> Column:
     return F.concat(*(one(m, mask) for m, mask in enumerate(masks)))
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame, marked for broadcast if it has at most ``most`` rows; a larger one is joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= most else df
+def bounded(df: DataFrame, row_bytes: Column | int = ROW_BYTES, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The frame, marked for broadcast if its rows have at most ``most`` bytes in all; a larger one is joined by a
+    shuffle."""
+    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def _starts(rows: DataFrame, key: str, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
@@ -83,9 +85,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     cut = lambda x: F.struct(
         x["item"].alias("item"), F.greatest(-x["shift"], F.lit(0)).alias("skip"),
         F.slice(F.col("tokens"), F.greatest(x["shift"], F.lit(0)) + 1, F.greatest(x["m"] + F.least(x["shift"], F.lit(0)), F.lit(0))).alias("part"))
-    near = (rows.join(bounded(wanted), F.col("doc_id").eqNullSafe(F.col("hit_id")))
+    near = (rows.join(bounded(wanted, ROW_BYTES * (1 + F.size("hits"))), F.col("doc_id").eqNullSafe(F.col("hit_id")))
             .select("doc_id", F.explode(F.transform("hits", cut)).alias("x")).select("doc_id", "x.*"))
-    aligned = near.join(bounded(items), "item").withColumn("same", F.transform(
+    item_bytes = ROW_BYTES * (1 + F.size("ids")) + F.octet_length(F.array_join("tokens", " ")) + 8 * F.size("tokens")
+    aligned = near.join(bounded(items, item_bytes), "item").withColumn("same", F.transform(
         "part", lambda w, i: F.when(w == F.get(F.col("tokens"), F.col("skip") + i), 1).otherwise(0)))
     width = F.least(F.lit(SPAN), F.size("tokens"))
     need = F.when(F.size("tokens") >= SPAN, F.lit(SPAN - WRONG)).otherwise(F.size("tokens"))
