@@ -52,13 +52,15 @@ def summarize(df: DataFrame, template: str, generator: Callable[[str], str] | No
     """``summary`` = generator(prompt) per row, where a failure or an
     empty answer falls back to P14.  ``generator=None`` plans no Python at
     all (P14 only).  The generator runs inside executors on Arrow batches
-    (``mapInPandas``)."""
+    (``mapInPandas``) that hold only the key and the prompt; its answers are
+    written once, so file and page get the same text and no later action
+    asks again."""
     out = add_fallback_summary(df)
     if generator is None:
         return out
-    out = out.withColumn("_prompt", summary_prompt(template, F.col("title"), F.col("url"),
-                                                   F.col("source_name"), F.col("content_text")))
-    schema = T.StructType(list(out.schema.fields) + [T.StructField("_gen", T.StringType())])
+    prompts = df.select("seq", summary_prompt(template, F.col("title"), F.col("url"),
+                                              F.col("source_name"), F.col("content_text")).alias("_prompt"))
+    schema = T.StructType([prompts.schema["seq"], T.StructField("_gen", T.StringType())])
 
     def run(batches):
         for pdf in batches:
@@ -69,12 +71,11 @@ def summarize(df: DataFrame, template: str, generator: Callable[[str], str] | No
                     res.append((r or "").strip() if isinstance(r, str) else "")
                 except Exception:  # any failure -> empty, like the original client
                     res.append("")
-            pdf["_gen"] = res
-            yield pdf
+            yield pdf[["seq"]].assign(_gen=res)
 
-    gen = out.mapInPandas(run, schema)
-    return gen.withColumn("summary", F.when(F.col("_gen") != "", F.col("_gen")).otherwise(F.col("summary"))) \
-        .drop("_gen", "_prompt")
+    gen = materialize(prompts.mapInPandas(run, schema))
+    return out.join(gen, "seq").withColumn(
+        "summary", F.when(F.col("_gen") != "", F.col("_gen")).otherwise(F.col("summary"))).drop("_gen")
 
 
 def compose_blocks(df: DataFrame) -> DataFrame:

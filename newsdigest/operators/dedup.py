@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard_dup, title_tokens
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 
 UNDECIDED, KEPT, DROPPED = 0, 1, 2
 
@@ -27,12 +27,13 @@ def dedup_url(df: DataFrame, key: str = "url") -> DataFrame:
 def _distinct_sets(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Token sets of the titles; equal sets collapse to their earliest row
     (an equal set always shares its representative's fate or duplicates
-    it).  Returns (rows with tokens, representatives)."""
+    it).  Returns (rows with tokens, representatives); the representatives
+    feed every step of the pair search, so they are written once."""
     toks = df.select("seq", title_tokens(F.col("title")).alias("tokens"))
     toks = toks.filter(F.size("tokens") > 0) \
         .withColumn("key", F.array_join(F.array_sort("tokens"), " "))
     first = toks.groupBy("key").agg(F.min("seq").alias("seq"))
-    reps = toks.join(first, ["key", "seq"], "left_semi").select("seq", "tokens")
+    reps = materialize(toks.join(first, ["key", "seq"], "left_semi").select("seq", "tokens"))
     return toks, reps
 
 
@@ -48,8 +49,8 @@ def title_near_pairs(reps: DataFrame) -> DataFrame:
     ranked = ex.join(dfreq, "tok")
     per = ranked.groupBy("seq", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ordered"))
     plen = F.col("n") - F.floor((F.col("n") * 17 + 19) / 20) + 1
-    prefix = per.select("seq", "n", F.explode(F.slice("ordered", F.lit(1), plen.cast("int"))).alias("p")) \
-        .select("seq", "n", F.col("p.tok").alias("tok"))
+    prefix = materialize(per.select("seq", "n", F.explode(F.slice("ordered", F.lit(1), plen.cast("int"))).alias("p"))
+                         .select("seq", "n", F.col("p.tok").alias("tok")))
     a, b = prefix.alias("a"), prefix.alias("b")
     cand = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.seq") < F.col("b.seq"))
                   & (F.least("a.n", "b.n") * 20 > F.greatest("a.n", "b.n") * 17)) \

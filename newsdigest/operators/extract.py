@@ -12,7 +12,7 @@ from ..functions.search import blocked_article
 from ..functions.text import WS, normalize_text, py_strip
 from ..functions.urls import resolve_url, url_domain
 from ..session import materialize
-from ..sources.rules import RuleSet, assign_rules
+from ..sources.rules import RuleSet, assign_rules, broadcast_if_small
 from .html import elements, first_inside, mark, node_lookup, texts, tokenize, with_text
 
 ARTICLE_COLUMNS = ["page_id", "cpos", "title", "url", "source_name", "source_url",
@@ -109,7 +109,7 @@ def extract_articles(pages: DataFrame, rules: RuleSet, nodes=None) -> DataFrame:
     href = F.coalesce(F.nullif(F.col("ll_href"), F.lit("")), F.nullif(F.col("tt_href"), F.lit("")),
                       F.when(F.col("ctag") == "a", F.nullif(F.col("chref"), F.lit(""))))
     rid = rules.resolved_frame(el.sparkSession).select("rule_id", "base_url", "date_format")
-    c = c.join(F.broadcast(rid), "rule_id", "left").join(pg.select("page_id", "url", "domain"), "page_id")
+    c = c.join(broadcast_if_small(rid, len(rules.resolved())), "rule_id", "left").join(pg.select("page_id", "url", "domain"), "page_id")
     base = F.when(F.coalesce(F.col("base_url"), F.lit("")) != "", F.col("base_url")).otherwise(F.col("url"))
     c = c.withColumn("article_url", resolve_url(href, base))
     # The first accepted container claims the URL within its page

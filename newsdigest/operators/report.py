@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_preview
 from ..functions.urls import url_domain
+from ..sources.pages import latest_pages
 from ..sources.rules import SLOTS, RuleSet, broadcast_if_small
 from .html import mark, with_text, node_lookup
 
@@ -30,12 +31,11 @@ HEADING_TAGS = ["h2", "h3", "h4"]
 def site_results(web: DataFrame, pages: DataFrame, web_articles: DataFrame,
                  accounts: DataFrame, account_articles: DataFrame) -> DataFrame:
     """A1 (+J1): one row per source ``(seq, url, domain, status, reason,
-    articles)``.  ``web``: (seq, value) site sources; ``pages``: (url, html,
-    fail_reason); ``web_articles``: (source_seq) one row per article;
+    articles)``.  ``web``: (seq, value) site sources; ``pages``: (page_id, url,
+    html, fail_reason), of which the latest counts for a URL; ``web_articles``: (source_seq) one row per article;
     ``accounts``: (seq, value); ``account_articles``: (account) rows."""
     per_src = web_articles.groupBy("source_seq").agg(F.count(F.lit(1)).alias("n"))
-    pg = pages.select("url", (F.col("html").isNotNull()).alias("fetched"),
-                      (F.col("fail_reason") if "fail_reason" in pages.columns else F.lit(None).cast("string")).alias("fail_reason"))
+    pg = latest_pages(pages).drop("page_id")
     w = web.select("seq", F.col("value").alias("url")).join(pg, "url", "left") \
         .join(per_src, F.col("seq") == F.col("source_seq"), "left")
     n = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..operators.compose import compose_prompt, daily_page, output_paths, summarize
 from ..operators.dedup import deduplicate
-from ..operators.extract import account_article_fields, extract_articles, page_nodes
+from ..operators.extract import account_article_fields, extract_articles
 from ..operators.report import site_results, site_report_text, problem_accounts
 from ..operators.topk import accepted_hits, top_hits
 from ..operators.window import date_window
+from ..sources.pages import latest_pages
 from ..sources.rules import RuleSet
 from ..session import materialize
 from ..sources.source_list import account_sources, web_sources
@@ -46,15 +47,14 @@ class DigestResult:
     prompt: DataFrame | None     # A5 (only when a generator is configured)
 
 
-def web_articles(sources: DataFrame, pages: DataFrame, rules: RuleSet, nodes=None) -> DataFrame:
+def web_articles(sources: DataFrame, pages: DataFrame, rules: RuleSet) -> DataFrame:
     """E8/E9 for every listed site page; one copy per source entry (duplicate
-    entries are kept, the URL dedup removes the copies later)."""
+    entries are kept, the URL dedup removes the copies later) and one page
+    per URL, the latest."""
     web = web_sources(sources).select(F.col("seq").alias("source_seq"), F.col("value").alias("src_url"))
-    if nodes is None:
-        used = pages.filter(F.col("html").isNotNull()) \
-            .join(web.select(F.col("src_url").alias("url")).distinct(), "url", "left_semi")
-        nodes = page_nodes(used, rules)
-    arts = extract_articles(pages, rules, nodes=nodes)
+    latest = materialize(latest_pages(pages).filter("fetched").select("page_id", "url")
+                         .join(web.select(F.col("src_url").alias("url")).distinct(), "url", "left_semi").select("page_id"))
+    arts = extract_articles(pages.join(latest, "page_id", "left_semi"), rules)
     # k: position among the page's accepted containers (bounded per page)
     arts = arts.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("cpos")))
     return arts.join(web, F.col("source_url") == F.col("src_url")).select(
@@ -63,13 +63,15 @@ def web_articles(sources: DataFrame, pages: DataFrame, rules: RuleSet, nodes=Non
 
 
 def account_articles(sources: DataFrame, hits: DataFrame, article_pages: DataFrame, as_of_ts: dt.datetime,
-                     k: int = 2, tz: str | None = None, nodes=None) -> DataFrame:
+                     k: int = 2, tz: str | None = None) -> DataFrame:
     """K1 + E10/E11/P13: the first k hits per followed account whose article
-    page loads and is not blocked, as article rows."""
+    page loads and is not blocked, as article rows.  Only the pages that an
+    accepted hit leads to are read as articles."""
     accts = account_sources(sources).select(F.col("seq").alias("acct_seq"), F.col("value").alias("account"))
     h = hits.join(accts, "account")
-    acc = accepted_hits(h, as_of_ts, tz=tz)
-    fields = account_article_fields(article_pages, nodes=nodes)
+    acc = materialize(accepted_hits(h, as_of_ts, tz=tz))
+    led = materialize(acc.select(F.col("article_page_id").alias("page_id")).distinct())
+    fields = account_article_fields(article_pages.filter(F.col("html").isNotNull()).join(led, "page_id", "left_semi"))
     ok = fields.filter(~F.col("blocked")).join(article_pages.select("page_id", "url"), "page_id")
     resolved = acc.join(ok.withColumnRenamed("page_id", "article_page_id"), "article_page_id")
     top = top_hits(resolved, k, "acct_seq")        # an account listed twice has its hits twice
@@ -84,19 +86,15 @@ def account_articles(sources: DataFrame, hits: DataFrame, article_pages: DataFra
 
 
 def collect_articles(sources: DataFrame, pages: DataFrame, hits: DataFrame, rules: RuleSet,
-                     as_of_ts: dt.datetime, article_pages: DataFrame | None = None, tz: str | None = None,
-                     nodes=None):
+                     as_of_ts: dt.datetime, article_pages: DataFrame | None = None, tz: str | None = None):
     """S1-S3 -> E8/E9 + K1/E10/E11 -> U1 and A1: (web articles, account
     articles, all articles, site results), without dedup."""
-    shared = article_pages is None
     article_pages = article_pages if article_pages is not None else pages
-    # one node table for the list pages and the article pages when they are
-    # the same table; both article tables are small and feed several
-    # branches (union, site report), so they are materialised once
-    if nodes is None and shared:
-        nodes = page_nodes(pages.filter(F.col("html").isNotNull()), rules)
-    web = materialize(web_articles(sources, pages, rules, nodes=nodes))
-    acct = materialize(account_articles(sources, hits, article_pages, as_of_ts, tz=tz, nodes=nodes))
+    # only listed pages and pages that accepted hits lead to are tokenised;
+    # both article tables are small and feed several branches (union, site
+    # report), so they are materialised once
+    web = materialize(web_articles(sources, pages, rules))
+    acct = materialize(account_articles(sources, hits, article_pages, as_of_ts, tz=tz))
     articles = web.select(*ARTICLE_COLUMNS).unionByName(acct.select(*ARTICLE_COLUMNS))   # U1
     # one row per source; feeds three reports, so it is written once (this
     # also keeps report filters from being pushed into the source parsing)
@@ -111,9 +109,9 @@ def run_digest(sources: DataFrame, pages: DataFrame, hits: DataFrame, rules: Rul
                article_pages: DataFrame | None = None, as_of_ts: dt.datetime | None = None,
                summary_template: str = DEFAULT_SUMMARY_TEMPLATE,
                compose_template: str = DEFAULT_COMPOSE_TEMPLATE,
-               site_title: str = "Daily News Digest", tz: str | None = None, nodes=None) -> DigestResult:
+               site_title: str = "Daily News Digest", tz: str | None = None) -> DigestResult:
     as_of_ts = as_of_ts or dt.datetime.combine(as_of, dt.time(23, 59, 59))
-    web, acct, articles, results = collect_articles(sources, pages, hits, rules, as_of_ts, article_pages, tz, nodes)
+    web, acct, articles, results = collect_articles(sources, pages, hits, rules, as_of_ts, article_pages, tz)
     survivors, removed = deduplicate(articles)
     kept = date_window(survivors, as_of, allow_undated)
     summed = summarize(kept, summary_template, generator)

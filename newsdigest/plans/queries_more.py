@@ -12,12 +12,13 @@ from ..functions import digest as G
 from ..functions import text as T
 from ..functions.urls import url_domain
 from ..operators import compose, dedup, extract, html, report, topk, window
+from ..session import materialize
 from ..sources import fixtures as X
 from ..sources import source_list as SL
 from ..sources.pages import read_pages
 from ..sources.rules import GENERIC_KEY, SLOT_DEFAULTS, SLOTS, RuleSet, resolve_rules_for_domains
 from . import sql as Q
-from .queries import (ACCOUNT_MATCH_SQL, DOC_ARTICLES_SQL, HIT_LINK_SQL, HIT_TIME_SQL, HITS_SQL,
+from .queries import (ACCOUNT_MATCH_SQL, DOC_ARTICLES_SQL, HIT_LINK_SQL, HIT_TIME_SQL, HITS_SQL, ORACLES,
                       _card_sql, _material_sql, _t, register)
 
 AS_OF, AS_OF_TS = X.AS_OF, X.AS_OF_TS
@@ -429,7 +430,9 @@ def _top_hits_df(spark, d):
     hits = X.search_hits(spark, d)
     acc = topk.accepted_hits(hits, AS_OF_TS, tz="UTC")
     pages = _t(spark, d, "pages")
-    fields = extract.account_article_fields(None, nodes=_nodes(spark, d)).filter(~F.col("blocked"))
+    acc = materialize(acc)
+    led = acc.select(F.col("article_page_id").alias("page_id")).distinct()
+    fields = extract.account_article_fields(pages.join(led, "page_id", "left_semi")).filter(~F.col("blocked"))
     art = fields.join(pages.select("page_id", F.col("url").alias("article_url")), "page_id") \
         .withColumnRenamed("page_id", "article_page_id")
     return topk.top_hits(acc.join(art, "article_page_id"), 2)
@@ -577,14 +580,14 @@ def _digest(spark, d, allow_undated=True):
     from .digest import run_digest
     sources = _sources_df(spark, d)
     return run_digest(sources, _t(spark, d, "pages"), X.search_hits(spark, d), X.fixture_rules(),
-                      AS_OF, allow_undated=allow_undated, as_of_ts=AS_OF_TS, tz="UTC", nodes=_nodes(spark, d))
+                      AS_OF, allow_undated=allow_undated, as_of_ts=AS_OF_TS, tz="UTC")
 
 
 def _site_results(spark, d):
     from .digest import collect_articles
     from ..operators.report import problem_accounts, site_report_text
     *_, results = collect_articles(_sources_df(spark, d), _t(spark, d, "pages"), X.search_hits(spark, d),
-                                   X.fixture_rules(), AS_OF_TS, tz="UTC", nodes=_nodes(spark, d))
+                                   X.fixture_rules(), AS_OF_TS, tz="UTC")
     return results
 
 
@@ -680,7 +683,7 @@ def q_site_report_text(spark, d):
     return report.site_report_text(_site_results(spark, d), AS_OF)
 
 
-@register("digest_rows")
+@register("digest_rows", f"SELECT run_date, path, summary AS content FROM ({DIGEST_SQL}) d")
 def q_digest_rows(spark, d):
     """J5 + W1: the digest rows written as the per-day summary table and read back."""
     from ..session import ensure_checkpoint_dir
@@ -691,7 +694,8 @@ def q_digest_rows(spark, d):
     return spark.read.parquet(out).withColumn("run_date", F.col("run_date").cast("string"))
 
 
-@register("incremental_digest")
+@register("incremental_digest", f"""SELECT CAST(0 AS BIGINT) AS batch_id, page_id, title, url, source_name FROM (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id, k) AS rn FROM {_nav_articles_sql()} n) x WHERE rn = 1""")
 def q_incremental_digest(spark, d):
     """Pages.parquet consumed as a stream (availableNow), per-batch digest."""
     from ..session import ensure_checkpoint_dir
@@ -700,7 +704,7 @@ def q_incremental_digest(spark, d):
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
     q = start_incremental_digest(spark, d, RuleSet(NAV_RULES), f"{base}/out", f"{base}/chk", glob="pages.parquet")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").select(F.col("batch_id").cast("bigint"), "page_id", "title", "url", "source_name")
 
 
 def first_sentence(prompt: str) -> str:
@@ -711,7 +715,12 @@ def first_sentence(prompt: str) -> str:
     return body[: end + 1] if end >= 0 else ""
 
 
-@register("summarize")
+_BODY_SQL = "CASE WHEN strpos(prompt, chr(10)) > 0 THEN substr(prompt, strpos(prompt, chr(10)) + 1) ELSE prompt END"
+_FIRST_SQL = Q.strip("substr(body, 1, strpos(body, '.'))")      # empty without a full stop
+
+
+@register("summarize", f"""SELECT seq, CASE WHEN {_FIRST_SQL} <> '' THEN {_FIRST_SQL} ELSE summary END AS summary
+FROM (SELECT seq, {_BODY_SQL} AS body FROM ({ORACLES['summary_prompt']}) p) b JOIN ({ORACLES['fallback_summary']}) f USING (seq)""")
 def q_summarize(spark, d):
     """X1 with a user generator running in executors (mapInPandas)."""
     from .queries import PROMPT_TEMPLATE

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +37,12 @@ def parse_source_lines(lines: DataFrame, line_col: str = "line", seq_col: str =
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """S1 from a text file; a missing file gives an empty table."""
-    if not os.path.exists(path) and "://" not in path:
+    try:
+        whole = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], SOURCES_SCHEMA)
-    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split(F.col("value"), LINE_BREAK_RE)).alias("line_no", "line"))
     return parse_source_lines(lines)
 

@@ -3,8 +3,8 @@
 Pages land as parquet files in a folder.  Each micro-batch extracts the
 articles of the new pages and applies the per-run URL dedup inside the
 batch (the original keeps no state between runs), then writes the batch as
-a partition of its own, so a batch that is replayed replaces itself.  ``availableNow`` processes everything present and
-stops, so the same code serves a daily job and a test; the checkpoint
+a partition of its own, so a batch that is replayed replaces itself.
+``availableNow`` processes everything present and stops, so the same code serves a daily job and a test; the checkpoint
 records which files were consumed, so a restarted job resumes.
 """
 
@@ -31,9 +31,9 @@ def start_incremental_digest(spark: SparkSession, pages_dir: str, rules: RuleSet
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         arts = extract_articles(batch, rules)
-        arts = arts.withColumn("seq", F.col("page_id") * F.lit(1 << 32) + F.col("cpos"))
+        arts = arts.withColumn("seq", F.struct("page_id", "cpos"))
         kept = dedup_url(arts).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        kept.select("batch_id", "seq", "page_id", "title", "url", "source_name") \
+        kept.select("batch_id", "page_id", "cpos", "title", "url", "source_name") \
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("batch_id").parquet(out_path)
 

@@ -177,3 +177,61 @@ def test_an_account_listed_twice_keeps_its_hits_twice(spark):
     rows = [("a", entry, 1, rank) for entry in (0, 5) for rank in range(4)]
     got = top_hits(spark.createDataFrame(rows, "account string, acct_seq long, page int, rank int"), 2, "acct_seq").collect()
     assert sorted((r["acct_seq"], r["rank"]) for r in got) == [(0, 0), (0, 1), (5, 0), (5, 1)]
+
+
+def test_a_generator_runs_once_per_row(spark, tmp_path):
+    from newsdigest.operators.compose import daily_page, output_paths, summarize
+    log = str(tmp_path / "calls")
+
+    def generator(prompt):
+        with open(log, "a") as f:
+            f.write("x\n")
+        return "made of " + prompt
+
+    rows = [(i, f"Title {i}", f"https://s.org/{i}", "s.org", None, f"Body {i}.") for i in range(5)]
+    df = spark.createDataFrame(rows, "seq long, title string, url string, source_name string, date string, content_text string")
+    summed = summarize(df, "{article_text}", generator)
+    paths = output_paths(summed, dt.date(2024, 1, 30)).collect()
+    page = daily_page(summed, dt.date(2024, 1, 30)).first()
+    assert sorted(r.summary for r in paths) == [f"made of Body {i}." for i in range(5)] and page.article_count == 5
+    assert len(open(log).read().split()) == 5
+
+
+def test_a_url_fetched_twice_counts_once(spark):
+    from newsdigest.operators.report import site_results
+    from newsdigest.plans.digest import web_articles
+    nav = "<nav><ul><li><a href='/{0}'>{0}</a></li></ul></nav>"
+    pages = spark.createDataFrame([(1, "https://s.org/", nav.format("old")), (2**40, "https://s.org/", nav.format("new")),
+                                   (3, "https://f.org/", nav.format("x")), (4, "https://f.org/", None)],
+                                  "page_id long, url string, html string")
+    rules = RuleSet({"generic_list_rule": {"article_list_css": "nav li", "title_css": "a", "link_css": "a"}})
+    sources = spark.createDataFrame([(0, "web", "https://s.org/", True), (1, "web", "https://f.org/", True)],
+                                    "seq long, kind string, value string, valid boolean")
+    web = web_articles(sources, pages, rules)
+    assert [(r.title, r.url) for r in web.collect()] == [("new", "https://s.org/new")]
+    none = spark.createDataFrame([], "seq long, value string"), spark.createDataFrame([], "account string")
+    got = site_results(sources.select("seq", "value"), pages, web.select("source_seq"), *none).collect()
+    assert sorted((r.seq, r.articles, r.status) for r in got) == [(0, 1, "成功"), (1, 0, "失败")]
+
+
+def test_account_pages_without_an_accepted_hit_are_not_read(spark):
+    from newsdigest.plans.digest import account_articles
+    sources = spark.createDataFrame([(7, "account", "acc", True)], "seq long, kind string, value string, valid boolean")
+    body = "<html><body><h1 id='activity-name'> A  title </h1><div id='js_content'><p>Text</p></div></body></html>"
+    pages = spark.createDataFrame([(1, "https://a.org/1", body), (2, "https://a.org/2", "<p>\u73af\u5883\u5f02\u5e38</p>")],
+                                  "page_id long, url string, html string")
+    hit = lambda rank, page_id: ("acc", 1, rank, "acc", "timeConvert('1706572800')", "/link?url=x", False, page_id)
+    hits = spark.createDataFrame([hit(0, 2), hit(1, 1)], "account string, page int, rank int, src_name string, script string, "
+                                 "href string, blocked boolean, article_page_id long")
+    got = account_articles(sources, hits, pages, dt.datetime(2024, 1, 30, 23, 59, 59), tz="UTC").collect()
+    assert [(r.title, r.url, r.content_text) for r in got] == [("A title", "https://a.org/1", "Text")]
+
+
+def test_large_page_ids_keep_their_order_in_the_stream(spark, tmp_path):
+    from newsdigest.streaming.incremental import start_incremental_digest
+    html_text = "<nav><ul><li><a href='https://x.org/'>{}</a></li></ul></nav>"
+    spark.createDataFrame([(2**40 + 1, "https://b.org/", html_text.format("later")), (2**40, "https://a.org/", html_text.format("first"))],
+                          "page_id long, url string, html string").write.parquet(str(tmp_path / "in"))
+    rules = RuleSet({"generic_list_rule": {"article_list_css": "nav li", "title_css": "a", "link_css": "a"}})
+    start_incremental_digest(spark, str(tmp_path / "in"), rules, str(tmp_path / "out"), str(tmp_path / "chk")).awaitTermination()
+    assert [r.title for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["first"]
