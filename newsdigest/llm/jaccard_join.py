@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -267,28 +267,33 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     buckets = written(keyed.join(sizes, "key"), "buckets")
     edges = written(bucket_edges(buckets.join(classes.select("node", "sig"), "node"), threshold), "candidates")
     parts = connected_components(edges)
-    counts = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = (parts.join(counts, "component").join(classes.select("node", "rep", "sig"), "node"))
+    counts = written(parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component-sizes")
+    members = hot_join(parts, counts, "component", F.col("size")).join(classes.select("node", "rep", "sig"), "node")
     texts = members.join(rows.filter("doc_id IS NOT NULL"), F.col("rep") == F.col("doc_id")).select("component", "size", "node", "sig", "text")
     checked = written(verified_links(texts, threshold), "links")
     links = checked.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("n_links"))
     names = connected_components(checked.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    least = names.join(classes, "node").groupBy("component").agg(F.min("rep").alias("class_id"))
-    linked = names.join(least, "component").join(links, "node", "left").select("node", "class_id", "n_links")
+    least = written(names.join(classes.select("node", "rep"), "node").groupBy("component")
+                    .agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("size")), "component-ids")
+    linked = hot_join(names, least, "component", F.col("size")).join(links, "node", "left").select("node", "class_id", "n_links")
     about = (classes.select("node", "rep", "rows").join(linked, "node", "left")
              .select("node", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                      (F.col("rows") - 1).alias("n_copies")))
     return with_classes(all_rows.select("doc_id", "node"), written(about, "class-facts"))
 
 
+def hot_join(rows: DataFrame, facts: DataFrame, key: str, size: Column) -> DataFrame:
+    """Each row with the facts of its key; ``facts`` has one row per key, whose number of rows is ``size``.  Keys of more
+    than one row in ``HOT_PART`` meet their rows by a broadcast: there are fewer than ``HOT_PART`` of them, whatever the
+    input.  The others are joined by a shuffle."""
+    hot = F.broadcast(facts.filter(size * HOT_PART > rows.count()))
+    seldom = rows.join(hot.select(key), key, "left_anti").join(facts, key)
+    return rows.join(hot, key).unionByName(seldom)
+
+
 def with_classes(rows: DataFrame, about: DataFrame) -> DataFrame:
-    """Each row of (doc_id, node) with the facts of its class.  Classes of more than one row in ``HOT_PART`` meet their
-    rows by a broadcast: there are fewer than ``HOT_PART`` of them, whatever the input.  The others are joined by a
-    shuffle, and rows without words by none."""
+    """Each row of (doc_id, node) with the facts of its class; rows without words are joined to nothing."""
     zero = F.lit(0).cast("long")
-    facts = ("class_id", "n_links", "n_copies")
-    hot = F.broadcast(about.filter((F.col("n_copies") + 1) * HOT_PART > rows.count()))
-    often = rows.join(hot, "node").select("doc_id", *facts)
-    seldom = rows.join(hot.select("node"), "node", "left_anti").filter("node IS NOT NULL").join(about, "node").select("doc_id", *facts)
+    named = hot_join(rows.filter("node IS NOT NULL"), about, "node", F.col("n_copies") + 1)
     wordless = rows.filter("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_copies"))
-    return often.unionByName(seldom).unionByName(wordless)
+    return named.select("doc_id", "class_id", "n_links", "n_copies").unionByName(wordless)
