@@ -8,6 +8,8 @@ an explicit class equal to Python's ``str.isspace`` set, not ``\\s``.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,55 +22,44 @@ WS = f"[{WS_CHARS}]"
 LINE_BREAK_RE = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 STRIP_RE = f"^{WS}+|{WS}+$"
 
-# HTML named character references decoded by the text
-# functions, as (name, character).  "&amp;" is decoded last, after the
-# numeric references, so "&amp;lt;" yields "&lt;" exactly once.
-NAMED_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"),
-    ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"),
-    ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
-    ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"),
-    ("&euro;", "€"), ("&pound;", "£"), ("&yen;", "¥"),
-    ("&cent;", "¢"), ("&sect;", "§"), ("&para;", "¶"),
-    ("&deg;", "°"), ("&times;", "×"), ("&divide;", "÷"),
-]
-
-
 def py_strip(c: Column) -> Column:
     """Python ``str.strip()``: Unicode whitespace plus \\x1c-\\x1f."""
     return F.regexp_replace(c, STRIP_RE, "")
 
 
-ENTITY_RE = r"&(?:#[xX][0-9a-fA-F]{1,8}|#[0-9]{1,10}|[a-zA-Z][a-zA-Z0-9]{1,31});"
-_ENTITY_MAP = None
+# Names that need no semicolon, longest first ("&notin;" is not "&not" + "in;").
+_BARE_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+_NUMERIC_RE = "#[xX][0-9a-fA-F]+;?|#[0-9]+;?"
+ENTITY_RE = f"&(?:{_NUMERIC_RE}|[a-zA-Z][a-zA-Z0-9]*;|(?:{_BARE_NAMES}))"
+# Inside an attribute value "&copy=1" and "&copyright" are not references.
+ATTRIBUTE_ENTITY_RE = f"&(?:{_NUMERIC_RE}|[a-zA-Z][a-zA-Z0-9]*;|(?:{_BARE_NAMES})(?![=a-zA-Z0-9]))"
 
 
-def _entity_map() -> Column:
-    global _ENTITY_MAP
-    if _ENTITY_MAP is None:
-        pairs = NAMED_ENTITIES + [("&amp;", "&")]
-        _ENTITY_MAP = F.create_map(*[x for name, ch in pairs for x in (F.lit(name), F.lit(ch))])
-    return _ENTITY_MAP
+def _literal_map(pairs: dict) -> Column:
+    """A constant map."""
+    return F.map_from_arrays(F.lit(list(pairs)), F.lit(list(pairs.values())))
 
 
 def _decode_one(m: Column) -> Column:
-    """One reference -> its character; unknown names are kept as written."""
+    """One reference -> its characters; unknown names are kept as written.
+    Numbers 128-159 mean the Windows-1252 characters, as browsers read them."""
     is_hex = m.startswith("&#x") | m.startswith("&#X")
-    digits = F.regexp_extract(m, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+    digits = F.regexp_extract(m, r"^&#[xX]?([0-9a-fA-F]+);?$", 1)
     code = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
     valid = (code > 0) & (code <= 0x10FFFF) & ~((code >= 0xD800) & (code <= 0xDFFF))
     as_char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "utf-32")
-    numeric = F.when(valid, as_char).otherwise(F.lit("\ufffd"))
-    return F.when(m.startswith("&#"), numeric).otherwise(F.coalesce(F.element_at(_entity_map(), m), m))
+    windows = F.element_at(_literal_map({n: ch for n in range(128, 160) if (ch := bytes([n]).decode("cp1252", "ignore"))}),
+                           code.cast("int"))
+    numeric = F.when(valid, F.coalesce(F.when(code.between(128, 159), windows), as_char)).otherwise(F.lit("\ufffd"))
+    named = F.element_at(_literal_map({"&" + n: html5[n] for n in sorted(html5, key=lambda n: (len(n), n))}), m)
+    return F.when(m.startswith("&#"), numeric).otherwise(F.coalesce(named, m))
 
 
-def decode_entities(c: Column) -> Column:
+def decode_entities(c: Column, pattern: str = ENTITY_RE) -> Column:
     """Decode character references in one left-to-right pass (so '&amp;lt;'
-    gives '&lt;'): the known names above, '&amp;', and every numeric one."""
-    parts = F.split(c, ENTITY_RE)
-    found = F.transform(F.regexp_extract_all(c, F.lit(ENTITY_RE), 0), _decode_one)
+    gives '&lt;'): every named one of HTML and every numeric one."""
+    parts = F.split(c, pattern)
+    found = F.transform(F.regexp_extract_all(c, F.lit(pattern), 0), _decode_one)
     joined = F.array_join(F.zip_with(parts, F.concat(found, F.array(F.lit(""))),
                                      lambda p, d: F.concat(p, F.coalesce(d, F.lit("")))), "")
     return F.when(c.contains("&"), joined).otherwise(c)

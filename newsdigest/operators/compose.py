@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,8 +86,9 @@ def compose_blocks(df: DataFrame) -> DataFrame:
 
 def compose_prompt(df: DataFrame, template: str) -> DataFrame:
     """A5: all material blocks in order, joined by a blank line, put into the
-    template; no articles -> ''.  The prompt is one text, so this is one
-    ordered aggregate; blocks are numbered by their array position."""
+    template; no articles -> ''.  The prompt is one row, which a generator
+    needs, so this is one ordered aggregate; ``prompt_parts`` is the form of
+    any size."""
     fields = df.select(F.struct("seq", "title", "source_name", "url", "date", "content_text").alias("r"))
     agg = fields.agg(F.array_sort(F.collect_list("r")).alias("b"))
     blocks = F.transform("b", lambda r, k: material_block(k + 1, r["title"], r["source_name"], r["url"],
@@ -97,6 +98,22 @@ def compose_prompt(df: DataFrame, template: str) -> DataFrame:
                       .otherwise(F.lit("")).alias("prompt"))
 
 
+def prompt_parts(df: DataFrame, template: str) -> DataFrame:
+    """A5 as rows ``(section, seq, text)``, whose texts in this order are the
+    prompt: no task holds all of it.  No articles -> no rows."""
+    pieces = template.split("{articles_text}")
+    none = F.lit(None).cast(df.schema["seq"].dataType)
+    fixed = df.limit(1).select(F.explode(F.array(*(
+        F.struct(F.lit(2 * j).alias("section"), none.alias("seq"), F.lit(piece).alias("text"))
+        for j, piece in enumerate(pieces)))).alias("x")).select("x.*")
+    if len(pieces) == 1:
+        return fixed
+    blocks = compose_blocks(df).select(
+        F.explode(F.lit([2 * j + 1 for j in range(len(pieces) - 1)])).alias("section"), "seq",
+        F.concat(F.when(F.col("i") > 1, BLOCK_SEP).otherwise(""), "block").alias("text"))
+    return fixed.unionByName(blocks)
+
+
 def output_paths(df: DataFrame, run_date) -> DataFrame:
     """P16 + K3: ``daily_summaries/<date>/<stem>.md`` per row; when several
     rows share a path the last one (largest seq) is written."""
@@ -106,28 +123,58 @@ def output_paths(df: DataFrame, run_date) -> DataFrame:
     return last_wins(rows, "path")
 
 
+def _card() -> Column:
+    return summary_card(F.col("title"), F.col("source_name"), F.col("date"), F.col("url"), md_to_html(F.col("summary")))
+
+
+def _daily_section(daily_article: str | None) -> Column:
+    if not daily_article:
+        return F.lit(DAILY_SECTION_EMPTY)
+    return F.concat(F.lit(DAILY_SECTION_OPEN), md_to_html(F.lit(daily_article)), F.lit(DAILY_SECTION_CLOSE))
+
+
+def _stats_line() -> Column:
+    return F.concat(F.lit("共 "), F.col("n").cast("string"), F.lit(" 篇新闻 · 来自 "), F.col("n_src").cast("string"), F.lit(" 个来源"))
+
+
+def _page_head(date_str: Column, header_title: str, section: Column) -> Column:
+    return F.concat(F.lit("<header><h1>"), F.lit(header_title), F.lit("</h1><div class=\"date\">"), date_str,
+                    F.lit("</div><div class=\"stats\">"), _stats_line(), F.lit("</div></header>\n"), section,
+                    F.lit("\n<section><div class=\"summary-list\">\n"))
+
+
+PAGE_TAIL = "\n</div></section>"
+
+
+def page_parts(df: DataFrame, run_date, daily_article: str | None = None, header_title: str = "Daily News Digest") -> DataFrame:
+    """A6 as rows ``(run_date, section, seq, text)``, whose texts in this order
+    are the page's body: head (0), one card per article (1), tail (2)."""
+    date_str = F.date_format(F.lit(run_date).cast("date"), "yyyy-MM-dd")
+    totals = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_name").alias("n_src"))
+    none = F.lit(None).cast(df.schema["seq"].dataType)
+    texts = [_page_head(date_str, header_title, _daily_section(daily_article)),
+             F.when(F.col("n") == 0, F.lit(EMPTY_SUMMARIES)), F.lit(PAGE_TAIL)]
+    fixed = totals.select(F.explode(F.array(*(F.struct(F.lit(k).alias("section"), none.alias("seq"), t.alias("text"))
+                                              for k, t in enumerate(texts)))).alias("x")).select("x.*").filter("text IS NOT NULL")
+    cards = df.select(F.lit(1).alias("section"), "seq", _card().alias("text"))
+    return fixed.unionByName(cards).select(date_str.alias("run_date"), "section", "seq", "text")
+
+
 def daily_page(df: DataFrame, run_date, daily_article: str | None = None,
                site_title: str = "Daily News Digest", header_title: str = "Daily News Digest") -> DataFrame:
-    """One row per run date with the page title, stats line, daily
-    section, the ordered summary cards and the assembled body."""
+    """A6 as one row, for a page that is small: the page title, stats line,
+    daily section, the ordered summary cards and the body (``page_parts`` is
+    the form of any size)."""
     d = F.lit(run_date).cast("date")
-    cards = df.select("seq", summary_card(F.col("title"), F.col("source_name"), F.col("date"), F.col("url"),
-                                          md_to_html(F.col("summary"))).alias("card"), "source_name")
+    cards = df.select("seq", _card().alias("card"), "source_name")
     agg = cards.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_name").alias("n_src"),
                     F.array_sort(F.collect_list(F.struct("seq", "card"))).alias("cards"))
     summaries = F.when(F.size("cards") > 0, F.array_join(F.transform("cards", lambda s: s["card"]), "")) \
         .otherwise(F.lit(EMPTY_SUMMARIES))
-    if daily_article:
-        section = F.concat(F.lit(DAILY_SECTION_OPEN), md_to_html(F.lit(daily_article)), F.lit(DAILY_SECTION_CLOSE))
-    else:
-        section = F.lit(DAILY_SECTION_EMPTY)
+    section = _daily_section(daily_article)
     title = F.concat(F.lit(site_title + " · "), day_label(d))
-    stats = F.concat(F.lit("共 "), F.col("n").cast("string"), F.lit(" 篇新闻 · 来自 "),
-                     F.col("n_src").cast("string"), F.lit(" 个来源"))
     date_str = F.date_format(d, "yyyy-MM-dd")
-    body = F.concat(F.lit("<header><h1>"), F.lit(header_title), F.lit("</h1><div class=\"date\">"), date_str,
-                    F.lit("</div><div class=\"stats\">"), stats, F.lit("</div></header>\n"), section,
-                    F.lit("\n<section><div class=\"summary-list\">\n"), summaries, F.lit("\n</div></section>"))
-    return agg.select(date_str.alias("run_date"), title.alias("title"), stats.alias("stats"),
+    body = F.concat(_page_head(date_str, header_title, section), summaries, F.lit(PAGE_TAIL))
+    return agg.select(date_str.alias("run_date"), title.alias("title"), _stats_line().alias("stats"),
                       F.col("n").alias("article_count"), section.alias("daily_section"),
                       summaries.alias("summaries_html"), body.alias("html"))

@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import decode_entities, py_strip, normalize_text
+from ..functions.text import ATTRIBUTE_ENTITY_RE, decode_entities, py_strip, normalize_text
 
 # A tag ends at the first ">" outside a quoted attribute value.
 TAG_RE = r"""</?[a-zA-Z][^>=]*(?:=(?:\s*"[^"]*"|\s*'[^']*')?[^>=]*)*>"""
@@ -54,13 +54,19 @@ DROP_TEXT_TAGS = ["script", "style", "noscript", "iframe", "svg"]
 _UNB = Window.unboundedPreceding
 
 
+_VALUE_RE = r"""(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+)?)?"""
+
+
 def attr(tok: Column, name: str) -> Column:
-    """Value of attribute ``name`` in a start-tag token (entities decoded);
-    null when absent."""
-    raw = F.regexp_extract(tok, r"(?is)[\s\"'/]" + re.escape(name) + r"\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    """Value of attribute ``name`` in a start-tag token (entities decoded,
+    '' for an attribute without a value); null when absent.  Attributes are
+    read from left to right, so a name inside another one's value is none."""
+    named = f"{re.escape(name)}(?=[\\s=/>])"
+    found = F.regexp_extract(tok, rf"(?is)^<[a-z][^\s/>]*+(?:[\s/]*+(?!{named})[^\s/>][^\s=/>]*+{_VALUE_RE})*+[\s/]*+({named}{_VALUE_RE})", 1)
+    raw = F.regexp_replace(found, rf"(?is)^{re.escape(name)}\s*=?\s*", "")
     quoted = raw.startswith('"') | raw.startswith("'")
     val = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return F.when(raw != "", decode_entities(val))
+    return F.when(found != "", decode_entities(val, ATTRIBUTE_ENTITY_RE))
 
 
 # --------------------------------------------------------------------------

@@ -3,7 +3,7 @@ coverage job (C1-C4)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_preview
@@ -57,28 +57,59 @@ def site_results(web: DataFrame, pages: DataFrame, web_articles: DataFrame,
     return web_rows.unionByName(acct_rows)
 
 
+def _failed_line() -> Column:
+    return F.concat(F.lit("  ["), F.col("status"), F.lit("] "), F.col("domain"), F.lit("\n    URL: "), F.col("url"),
+                    F.when(F.col("reason") != "", F.concat(F.lit("\n    原因: "), F.col("reason"))).otherwise(F.lit("")))
+
+
+def _ok_line() -> Column:
+    return F.concat(F.lit("  [OK] "), F.col("domain"), F.lit(" ("), F.col("articles").cast("string"), F.lit(" 篇文章)"))
+
+
+def _report_head(d: Column) -> Column:
+    return F.concat(F.lit("站点抓取报告 ("), d, F.lit(")\n"), F.lit("=" * 60), F.lit("\n"),
+                    F.lit("总计: "), F.col("total").cast("string"), F.lit(" 个站点 | 成功: "), F.col("n_ok").cast("string"),
+                    F.lit(" | 失败/无匹配: "), (F.col("total") - F.col("n_ok")).cast("string"), F.lit("\n"))
+
+
+# The report's block headings.
+FAILED_HEADING = "\n--- 失败/无匹配站点 ---\n"
+OK_HEADING = "\n--- 成功站点 ---"
+
+
+def site_report_parts(results: DataFrame, report_date) -> DataFrame:
+    """A2 as rows ``(run_date, section, seq, text)``, whose texts in this order
+    are the report: totals (0), heading and lines of the failed sites (1, 2)
+    and of the others (3, 4).  No task holds all lines."""
+    ok = F.col("status") == STATUS_OK
+    d = F.date_format(F.lit(report_date), "yyyy-MM-dd")
+    totals = results.agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("n_ok"))
+    none = F.lit(None).cast(results.schema["seq"].dataType)
+    texts = {0: _report_head(d), 1: F.when(F.col("total") > F.col("n_ok"), F.lit(FAILED_HEADING)),
+             3: F.when(F.col("n_ok") > 0, F.lit(OK_HEADING))}
+    fixed = totals.select(F.explode(F.array(*(F.struct(F.lit(k).alias("section"), none.alias("seq"), t.alias("text"))
+                                              for k, t in texts.items()))).alias("x")).select("x.*").filter("text IS NOT NULL")
+    lines = results.select(F.when(ok, 4).otherwise(2).alias("section"), "seq",
+                           F.when(ok, F.concat(F.lit("\n"), _ok_line())).otherwise(F.concat(_failed_line(), F.lit("\n"))).alias("text"))
+    return fixed.unionByName(lines).select(d.alias("run_date"), "section", "seq", "text")
+
+
 def site_report_text(results: DataFrame, report_date) -> DataFrame:
-    """A2: the site report as one text (sources are configuration, so the
-    report is small): header with totals, failed block, succeeded block,
+    """A2 as one text, for a report that is small (``site_report_parts`` is
+    the form of any size): header with totals, failed block, succeeded block,
     both in source order."""
     ok = F.col("status") == STATUS_OK
-    failed_line = F.concat(F.lit("  ["), F.col("status"), F.lit("] "), F.col("domain"), F.lit("\n    URL: "), F.col("url"),
-                           F.when(F.col("reason") != "", F.concat(F.lit("\n    原因: "), F.col("reason"))).otherwise(F.lit("")))
-    ok_line = F.concat(F.lit("  [OK] "), F.col("domain"), F.lit(" ("), F.col("articles").cast("string"), F.lit(" 篇文章)"))
-    r = results.select("seq", ok.alias("ok"), F.when(ok, ok_line).otherwise(failed_line).alias("line"))
+    r = results.select("seq", ok.alias("ok"), F.when(ok, _ok_line()).otherwise(_failed_line()).alias("line"))
     agg = r.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("ok")).alias("n_ok"),
         F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("seq", "line")))).alias("bad"),
         F.array_sort(F.collect_list(F.when(F.col("ok"), F.struct("seq", "line")))).alias("good"))
     d = F.date_format(F.lit(report_date), "yyyy-MM-dd")
-    header = F.concat(F.lit("站点抓取报告 ("), d, F.lit(")\n"), F.lit("=" * 60), F.lit("\n"),
-                      F.lit("总计: "), F.col("total").cast("string"), F.lit(" 个站点 | 成功: "), F.col("n_ok").cast("string"),
-                      F.lit(" | 失败/无匹配: "), (F.col("total") - F.col("n_ok")).cast("string"), F.lit("\n"))
-    bad = F.when(F.size("bad") > 0, F.concat(F.lit("\n--- 失败/无匹配站点 ---\n"),
+    bad = F.when(F.size("bad") > 0, F.concat(F.lit(FAILED_HEADING),
                                             F.array_join(F.transform("bad", lambda s: s["line"]), "\n"), F.lit("\n")))
-    good = F.when(F.size("good") > 0, F.concat(F.lit("\n--- 成功站点 ---\n"),
+    good = F.when(F.size("good") > 0, F.concat(F.lit(OK_HEADING), F.lit("\n"),
                                               F.array_join(F.transform("good", lambda s: s["line"]), "\n")))
-    return agg.select(d.alias("run_date"), F.concat(header, F.coalesce(bad, F.lit("")), F.coalesce(good, F.lit(""))).alias("report"),
+    return agg.select(d.alias("run_date"), F.concat(_report_head(d), F.coalesce(bad, F.lit("")), F.coalesce(good, F.lit(""))).alias("report"),
                       F.col("total").alias("total"), F.col("n_ok").alias("n_ok"))
 
 

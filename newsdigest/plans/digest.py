@@ -10,10 +10,10 @@ from typing import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.compose import compose_prompt, daily_page, output_paths, summarize
+from ..operators.compose import output_paths, page_parts, prompt_parts, summarize
 from ..operators.dedup import deduplicate
 from ..operators.extract import account_article_fields, extract_articles
-from ..operators.report import site_results, site_report_text, problem_accounts
+from ..operators.report import problem_accounts, site_report_parts, site_results
 from ..operators.topk import accepted_hits, top_hits
 from ..operators.window import date_window
 from ..sources.pages import latest_pages
@@ -37,14 +37,14 @@ ACCOUNT_BASE = 1 << 62
 class DigestResult:
     articles: DataFrame          # U1: every extracted article, with seq
     site_results: DataFrame      # A1
-    site_report: DataFrame       # A2
+    site_report: DataFrame       # A2 (ordered rows)
     problem_accounts: DataFrame  # A3
     survivors: DataFrame         # D3 survivors
     removed: DataFrame           # D3 removed rows
     kept: DataFrame              # F1 window
     digest_rows: DataFrame       # P14/X1 + P16/K3 (W1 rows)
-    page: DataFrame              # A6 (W3 row)
-    prompt: DataFrame | None     # A5 (only when a generator is configured)
+    page: DataFrame              # A6 (ordered rows, W3)
+    prompt: DataFrame | None     # A5 (ordered rows; only when a generator is configured)
 
 
 def web_articles(sources: DataFrame, pages: DataFrame, rules: RuleSet) -> DataFrame:
@@ -117,7 +117,7 @@ def run_digest(sources: DataFrame, pages: DataFrame, hits: DataFrame, rules: Rul
     summed = summarize(kept, summary_template, generator)
     rows = output_paths(summed, as_of).select("seq", "run_date", "path", "title", "url", "source_name",
                                               "date", "summary")
-    prompt = compose_prompt(kept, compose_template) if generator is not None else None
-    return DigestResult(articles, results, site_report_text(results, as_of), problem_accounts(results),
-                        survivors, removed, kept, rows, daily_page(summed, as_of, None, site_title, site_title),
+    prompt = prompt_parts(kept, compose_template) if generator is not None else None
+    return DigestResult(articles, results, site_report_parts(results, as_of), problem_accounts(results),
+                        survivors, removed, kept, rows, page_parts(summed, as_of, None, site_title),
                         prompt)

@@ -6,7 +6,14 @@ They are written independently of the Spark expressions (list lambdas,
 
 from __future__ import annotations
 
-from ..functions.text import NAMED_ENTITIES, WS, WS_CHARS
+from ..functions.text import WS, WS_CHARS
+
+# The named character references that occur in the given tables, and some more.
+NAMED_ENTITIES = [
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"),
+    ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"),
+    ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&euro;", "€"),
+]
 
 
 def q(s: str) -> str:
@@ -40,15 +47,6 @@ def clean_html(x: str) -> str:
     return norm(decode(s))
 
 
-def strip_join_text(inner_html: str) -> str:
-    """Text strings of an HTML fragment, each stripped, empties dropped,
-    joined with '' (script/style blocks and comments removed)."""
-    s = f"regexp_replace({inner_html}, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', chr(1), 'g')"
-    s = f"regexp_replace({s}, '(?s)<![^>]*>|</?[a-zA-Z][^>]*>', chr(1), 'g')"
-    return (f"array_to_string(list_filter(list_transform(string_split({s}, chr(1)), "
-            f"lambda t: {strip(decode('t'))}), lambda t: t <> ''), '')")
-
-
 def tokens(x: str) -> str:
     """Distinct lower-case whitespace tokens of the normalised text."""
     return f"list_distinct(list_filter(string_split_regex(lower({norm(x)}), '{WS}+'), lambda t: t <> ''))"
@@ -99,5 +97,5 @@ def md_to_html(x: str) -> str:
 
 
 WS_CLASS = WS
-__all__ = ["q", "strip", "norm", "decode", "clean_html", "strip_join_text", "tokens", "url_domain",
+__all__ = ["q", "strip", "norm", "decode", "clean_html", "tokens", "url_domain",
            "resolve_url", "or_default", "ascii_preview", "safe_stem", "md_to_html", "WS_CHARS"]

@@ -43,3 +43,12 @@ def write_site_report(report: DataFrame, base: str) -> str:
     out = f"{base}/site_reports"
     _write(report.select("run_date", F.col("report").alias("content")), out)
     return out
+
+
+def write_parts(parts: DataFrame, base: str, name: str) -> str:
+    """W2-W4 for texts of any size: ordered rows ``(run_date, section, seq,
+    text)``, range-partitioned so that the files in name order, read row by
+    row, are the text."""
+    out = f"{base}/{name}"
+    _write(parts.repartitionByRange("run_date", "section", "seq").sortWithinPartitions("run_date", "section", "seq"), out)
+    return out

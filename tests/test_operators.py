@@ -235,3 +235,21 @@ def test_large_page_ids_keep_their_order_in_the_stream(spark, tmp_path):
     rules = RuleSet({"generic_list_rule": {"article_list_css": "nav li", "title_css": "a", "link_css": "a"}})
     start_incremental_digest(spark, str(tmp_path / "in"), rules, str(tmp_path / "out"), str(tmp_path / "chk")).awaitTermination()
     assert [r.title for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["first"]
+
+
+def test_ordered_rows_are_the_text(spark):
+    from newsdigest.operators.compose import add_fallback_summary, compose_prompt, daily_page, page_parts, prompt_parts
+    from newsdigest.operators.report import site_report_parts, site_report_text
+    text = lambda parts: "".join(r.text for r in parts.orderBy("section", "seq").collect())
+    schema = "seq long, title string, source_name string, url string, date string, content_text string"
+    rows = [(1 << 40, "B", "s", "u2", None, "later"), (3, "A", "s", "u1", "2024-01-02", "first"), (7, "C", "t", "u3", "", "")]
+    for df in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for template in ("Write {articles_text} now.", "{articles_text}|{articles_text}", "no place"):
+            assert text(prompt_parts(df, template)) == compose_prompt(df, template).first().prompt
+        day, summed = dt.date(2024, 1, 30), add_fallback_summary(df)
+        assert text(page_parts(summed, day, "**x**")) == daily_page(summed, day, "**x**").first().html
+    schema = "seq long, url string, domain string, status string, reason string, articles long"
+    sites = [(2, "u2", "d2", "成功", "", 4), (1, "u1", "d1", "失败", "why", 0), (0, "u0", "d0", "成功", "", 1)]
+    for part in (sites, sites[:1], sites[1:2], []):
+        results = spark.createDataFrame(part, schema)
+        assert text(site_report_parts(results, day)) == site_report_text(results, day).first().report
