@@ -496,12 +496,12 @@ def q_compose_prompt(spark, d):
 
 @register("compose_prompt_parts", f"""WITH a AS ({DOC_ARTICLES_SQL}), o AS (SELECT *, row_number() OVER (ORDER BY seq) AS i FROM a),
 f AS (SELECT string_split({Q.q(COMPOSE_TEMPLATE)}, '{{articles_text}}') AS p FROM (SELECT count(*) AS n FROM a) c WHERE n > 0)
-SELECT CAST(2 * (k - 1) AS INTEGER) AS section, CAST(NULL AS BIGINT) AS seq, p[k] AS text
+SELECT CAST(2 * (k - 1) AS INTEGER) AS section, CAST(-1 AS BIGINT) AS seq, p[k] AS text
 FROM (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM f) x
 UNION ALL SELECT 1, seq, CASE WHEN i > 1 THEN chr(10) || chr(10) ELSE '' END
   || {_material_sql('i', 'title', 'source_name', 'url', 'date', 'content_text')} FROM o""")
 def q_compose_prompt_parts(spark, d):
-    return compose.prompt_parts(X.doc_articles(spark, d), COMPOSE_TEMPLATE)
+    return compose.prompt_parts(X.doc_articles(spark, d), COMPOSE_TEMPLATE).fillna(-1, ["seq"])
 
 
 def _summary_sql():
@@ -524,20 +524,20 @@ def q_daily_page(spark, d):
 
 @register("daily_page_parts", f"""WITH a AS ({DOC_ARTICLES_SQL}), s AS (SELECT *, {_summary_sql()} AS summary FROM a),
 g AS (SELECT count(*) AS n, count(DISTINCT source_name) AS n_src FROM a)
-SELECT '2024-01-30' AS run_date, 0 AS section, CAST(NULL AS BIGINT) AS seq,
+SELECT '2024-01-30' AS run_date, 0 AS section, CAST(-1 AS BIGINT) AS seq,
   '<header><h1>Daily News Digest</h1><div class="date">2024-01-30</div><div class="stats">共 ' || CAST(n AS VARCHAR)
   || ' 篇新闻 · 来自 ' || CAST(n_src AS VARCHAR) || ' 个来源</div></header>' || chr(10) || {Q.q(compose.DAILY_SECTION_EMPTY)}
   || chr(10) || '<section><div class="summary-list">' || chr(10) AS text FROM g
 UNION ALL SELECT '2024-01-30', 1, seq, {_card_sql('title', 'source_name', 'date', 'url', Q.md_to_html('summary'))} FROM s
-UNION ALL SELECT '2024-01-30', 1, NULL, {Q.q(compose.EMPTY_SUMMARIES)} FROM g WHERE n = 0
-UNION ALL SELECT '2024-01-30', 2, NULL, chr(10) || '</div></section>'""")
+UNION ALL SELECT '2024-01-30', 1, -1, {Q.q(compose.EMPTY_SUMMARIES)} FROM g WHERE n = 0
+UNION ALL SELECT '2024-01-30', 2, -1, chr(10) || '</div></section>'""")
 def q_daily_page_parts(spark, d):
     """A6 + W3: the page as ordered rows, written and read back."""
     from ..session import ensure_checkpoint_dir
     from ..sinks.writers import write_parts
     parts = compose.page_parts(compose.add_fallback_summary(X.doc_articles(spark, d)), AS_OF)
     out = write_parts(parts, f"{ensure_checkpoint_dir(spark)}/page-{uuid.uuid4().hex}", "daily_html")
-    return spark.read.schema(parts.schema).parquet(out)
+    return spark.read.schema(parts.schema).parquet(out).fillna(-1, ["seq"])
 
 
 # --------------------------------------------------------------------------
@@ -712,16 +712,16 @@ def q_site_report_text(spark, d):
 
 
 @register("site_report_parts", SITE_REPORT_SQL + """, g AS (SELECT count(*) AS n, count(*) FILTER (WHERE status = '成功') AS n_ok FROM sres)
-SELECT '2024-01-30' AS run_date, 0 AS section, CAST(NULL AS BIGINT) AS seq,
+SELECT '2024-01-30' AS run_date, 0 AS section, CAST(-1 AS BIGINT) AS seq,
   '站点抓取报告 (2024-01-30)' || chr(10) || repeat('=', 60) || chr(10) || '总计: ' || CAST(n AS VARCHAR)
   || ' 个站点 | 成功: ' || CAST(n_ok AS VARCHAR) || ' | 失败/无匹配: ' || CAST(n - n_ok AS VARCHAR) || chr(10) AS text FROM g
-UNION ALL SELECT '2024-01-30', 1, NULL, chr(10) || '--- 失败/无匹配站点 ---' || chr(10) FROM g WHERE n > n_ok
+UNION ALL SELECT '2024-01-30', 1, -1, chr(10) || '--- 失败/无匹配站点 ---' || chr(10) FROM g WHERE n > n_ok
 UNION ALL SELECT '2024-01-30', 2, seq, '  [' || status || '] ' || domain || chr(10) || '    URL: ' || url
   || CASE WHEN reason <> '' THEN chr(10) || '    原因: ' || reason ELSE '' END || chr(10) FROM sres WHERE status <> '成功'
-UNION ALL SELECT '2024-01-30', 3, NULL, chr(10) || '--- 成功站点 ---' FROM g WHERE n_ok > 0
+UNION ALL SELECT '2024-01-30', 3, -1, chr(10) || '--- 成功站点 ---' FROM g WHERE n_ok > 0
 UNION ALL SELECT '2024-01-30', 4, seq, chr(10) || '  [OK] ' || domain || ' (' || CAST(articles AS VARCHAR) || ' 篇文章)' FROM sres WHERE status = '成功'""")
 def q_site_report_parts(spark, d):
-    return report.site_report_parts(_site_results(spark, d), AS_OF)
+    return report.site_report_parts(_site_results(spark, d), AS_OF).fillna(-1, ["seq"])
 
 
 @register("digest_rows", f"SELECT run_date, path, summary AS content FROM ({DIGEST_SQL}) d")
