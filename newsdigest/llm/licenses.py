@@ -32,15 +32,22 @@ TEMPLATES = {
     "cc-by": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> "
              "<<beginOptional>>creative commons<<endOptional>> <<beginOptional>>cc<<endOptional>> "
              "<<var;match=attribution|by;min=1;max=1>> <<beginOptional>>international<<endOptional>> 4 0",
-    "cc-by-nc": "licensed under cc by nc <<var;match=[0-9]+;min=1;max=2>>",
-    "cc-by-sa": "licensed under cc by sa <<var;match=[0-9]+;min=1;max=2>>",
-    "gpl-3.0": "licensed under the gnu general public license <<beginOptional>>as published by the free software "
-               "foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3 "
-               "<<beginOptional>>of the license<<endOptional>> <<beginOptional>>or any later version<<endOptional>>",
+    "cc-by-nc": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> "
+                "<<beginOptional>>creative commons<<endOptional>> <<beginOptional>>cc<<endOptional>> "
+                "<<var;match=attribution|by;min=1;max=1>> <<var;match=noncommercial|nc;min=1;max=1>> "
+                "<<beginOptional>>international<<endOptional>> <<var;match=[0-9]+;min=1;max=2>>",
+    "cc-by-sa": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> "
+                "<<beginOptional>>creative commons<<endOptional>> <<beginOptional>>cc<<endOptional>> "
+                "<<var;match=attribution|by;min=1;max=1>> <<var;match=sharealike|sa;min=1;max=1>> "
+                "<<beginOptional>>international<<endOptional>> <<var;match=[0-9]+;min=1;max=2>>",
+    "gpl-3.0": "<<beginOptional>>licensed<<endOptional>> under <<beginOptional>>the terms of<<endOptional>> the gnu general "
+               "public license <<beginOptional>>as published by the free software foundation<<endOptional>> "
+               "<<beginOptional>>either<<endOptional>> version 3 <<beginOptional>>of the license<<endOptional>> "
+               "<<beginOptional>>or <<beginOptional>>at your option<<endOptional>> any later version<<endOptional>>",
     "gpl-header": "<<beginOptional>>this program is free software<<endOptional>> you can redistribute it and or modify it "
                   "under the terms of the gnu <<beginOptional>>lesser<<endOptional>> general public license",
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of "
-           "<<var;match=[^ ]+;max=6>> to deal in the software without restriction",
+           "<<var;match=[^ ]+;min=1;max=16>> to deal in <<var;match=[^ ]+;min=1;max=4>> without restriction",
 }
 _WORD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _MARK = re.compile(r"<<(.*?)>>")
@@ -148,12 +155,15 @@ def match_templates(tokens: list[bytes], padded: bytes, automata: dict[str, Auto
     """Accepted word ranges by label, first found first; ranges of a label don't overlap."""
     out: dict[str, list[tuple[int, int]]] = {}
     for label, auto in automata.items():
-        if b" " + auto.key + b" " not in padded:
+        if auto.key and b" " + auto.key + b" " not in padded:
             continue
-        starts = {w for s in auto.closure({0}) for w in auto.words[s]}
+        first = auto.closure({0})
+        starts = {w for s in first for w in auto.words[s]}
+        patterns = [p for s in first for p, _ in auto.patterns[s]]
         at = 0
         while at < len(tokens):
-            end = auto.longest(tokens, at) if tokens[at] in starts else -1
+            begins = tokens[at] in starts or any(p.fullmatch(tokens[at].decode("utf-8", "surrogatepass")) for p in patterns)
+            end = auto.longest(tokens, at) if begins else -1
             if end > at:
                 out.setdefault(label, []).append((at, end))
             at = max(at + 1, end)

@@ -210,6 +210,44 @@ def test_license_scan(spark, none):
     assert licenses.find_licenses(none).count() == 0
 
 
+#: The wording that the licences publish, by template.
+PUBLISHED = {
+    "all-rights-reserved": "Copyright (c) 1994, The Regents of the University. All rights reserved.",
+    "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file',
+    "apache-2.0-header": 'you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at',
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the "
+           "following conditions are met:",
+    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-sa": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+               "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+               "later version.",
+    "gpl-header": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General "
+                  "Public License as published by",
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated '
+           'documentation files (the "Software"), to deal in the Software without restriction, including without limitation',
+}
+
+
+def test_templates_accept_the_published_wording():
+    automata = {label: licenses.compile_template(t) for label, t in licenses.TEMPLATES.items()}
+    assert set(PUBLISHED) == set(automata)
+    found = {label: licenses.scan("Some text. " + text + " More text.", automata)[7] for label, text in PUBLISHED.items()}
+    assert {label for label in found if label + ":" not in found[label]} == set()
+    assert "gpl-3.0:15:44" in found["gpl-3.0"] and "mit:2:31" in found["mit"]
+
+
+def test_templates_may_begin_with_a_pattern():
+    def found(markup, text):
+        return licenses.scan(text, {"x": licenses.compile_template(markup)})[7]
+
+    assert found("<<var;match=[0-9]+;min=1;max=2>> some rights reserved", "in 2020 2021 some rights reserved") == "x:1:6"
+    assert found("<<var;match=[0-9]+;min=1;max=2>> some rights reserved", "in some rights reserved") == ""
+    assert found("<<var;match=(mit|isc);min=1;max=1>>", "the MIT or ISC terms") == "x:1:2,x:3:4"
+    assert found("<<var;match=(mit|isc);min=1;max=1>>", "") == ""
+
+
 def test_statistics_and_rules(spark, docs, none, corpus):
     def expected(d, t):
         w, lines = words(t), [x for x in (t or "").split("\n") if WORD.search(x)]
