@@ -2,8 +2,10 @@
 
 Named patterns give the base spans.  The method adds spans from a sliding-window Shannon entropy: candidate
 strings are cut into runs of one character class, a window moves over each run with counts that are updated as
-characters enter and leave, and windows above the class's entropy are joined.  An allow-list suppresses strings
-that are random by nature but no secrets.
+characters enter and leave, and windows above the class's entropy are joined.  Windows are as short as the shortest
+candidate.  An allow-list cuts out parts that are random by nature but no secrets (dates, UUIDs, digests); what stands
+around them is a candidate of its own.  A candidate whose parts are words and numbers (a path, an identifier) needs
+longer windows of a higher entropy, with several digits; any other mixes digits or cases within a part.
 
 Defined results: a null text counts as empty (no spans; the digest of the empty string); rows are independent,
 so ties and repeated rows repeat their result; an empty table gives an empty result; other columns are not read
@@ -29,18 +31,19 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")       # a run is matched whole, so shorter runs drop
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Character class, window length, least entropy in bits, least digits in a window.
-CLASSES = (
-    ("hex", re.compile(r"[0-9a-f]{20,}|[0-9A-F]{20,}"), 20, 2.9, 3),
-    ("base64", re.compile(r"[A-Za-z0-9+/_-]{24,}"), 24, 3.8, 3),
-)
-#: Strings that look random and are no secrets.
-ALLOWED = tuple(map(re.compile, (
-    r"\d+\Z",                                                                     # plain numbers
-    r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z",                    # UUIDs
-    r"(?:[A-Za-z]+[-_/=+])*[A-Za-z]+\Z",                                          # words and paths of words
-    r"\d{4}-\d\d-\d\d",                                                           # dates and time stamps
-    r"(?i:sha(?:1|256|384|512)-)",                                                # subresource digests
-)))
+HEX = ("hex", re.compile(r"[0-9a-f]{20,}|[0-9A-F]{20,}"), 20, 2.75, 0)
+MIXED = ("base64", re.compile(r"[A-Za-z0-9+/_-]{20,}"), 20, 3.3, 0)
+PLAIN = ("base64", re.compile(r"[A-Za-z0-9+/_-]{24,}"), 24, 3.8, 3)
+#: Parts that look random and are no secrets, each whole.
+ALLOWED = re.compile(r"(?<![A-Za-z0-9])(?:"
+                     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"                            # UUIDs
+                     r"|\d{4}-\d\d-\d\d(?:[T_-]\d\d(?:-?\d\d){0,2}(?:-?\d{3,9})?Z?)?"                 # dates and time stamps
+                     r"|(?i:sha1-(?:[a-z0-9+/]{27}=|[0-9a-f]{40})|sha256-(?:[a-z0-9+/]{43}=|[0-9a-f]{64})"     # digests
+                     r"|sha384-(?:[a-z0-9+/]{64}|[0-9a-f]{96})|sha512-(?:[a-z0-9+/]{86}==|[0-9a-f]{128}))"
+                     r")(?![A-Za-z0-9])")
+#: Words (lower, upper or camel case) and numbers.
+_PLAIN = re.compile(r"[-_/=+]*+(?:(?:[A-Z]?[a-z]++(?:[A-Z][a-z]++)*+|[A-Z]++|[0-9]++)(?:[-_/=+]++|\Z))*+")
+_DIGIT = re.compile(r"[0-9]")
 
 Span = tuple[int, int, int]     # start, kind, end
 
@@ -82,15 +85,28 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def candidates(text: str) -> Iterator[tuple[int, str]]:
+    """Place and characters of the candidate strings, without their allowed parts."""
+    for m in _CANDIDATE.finditer(text):
+        word, at = m[0], 0
+        for part in ALLOWED.finditer(word):
+            yield m.start() + at, word[at:part.start()]
+            at = part.end()
+        yield m.start() + at, word[at:]
+
+
 def entropy_spans(text: str, known: list[Span]) -> list[Span]:
     found: list[tuple[int, int]] = []
-    for m in _CANDIDATE.finditer(text):
-        word = m[0]
-        if not any(c.isdigit() for c in word) or any(a.match(word) for a in ALLOWED):
+    for at, word in candidates(text):
+        if len(word) < 20:
+            continue
+        plain = _PLAIN.fullmatch(word) is not None
+        digits = _DIGIT.search(word) is not None
+        if word.isdigit() or plain and not digits:
             continue
-        for _, run, size, least, digits in CLASSES:
+        for _, run, size, least, numbers in ((HEX,) if digits else ()) + ((PLAIN,) if plain else (MIXED,)):
             for r in run.finditer(word):
-                found += [(m.start() + r.start() + a, m.start() + r.start() + b) for a, b in window_hits(r[0], size, least, digits)]
+                found += [(at + r.start() + a, at + r.start() + b) for a, b in window_hits(r[0], size, least, numbers)]
     out: list[Span] = []
     for a, b in sorted(found):
         if out and a <= out[-1][2]:

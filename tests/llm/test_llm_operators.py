@@ -100,6 +100,29 @@ def test_entropy_window_equals_a_recount():
     assert {k for a, b in secrets.window_hits(text, 20, 3.2, 0) for k in range(a, b)} == covered
 
 
+def test_random_keys_are_found():
+    rng = random.Random(8)
+    mixed = "".join(chr(c) for c in range(33, 127) if chr(c).isalnum())
+    for alphabet, least in ((mixed, 990), ("abcdefghijklmnopqrstuvwxyz0123456789", 970), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 950),
+                            ("0123456789abcdef", 970), (mixed + "-_", 990)):
+        for n in (20, 22, 24, 28, 32, 40):
+            keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(1000)]
+            found = [s for s in (secrets.scan(f"see {k} there")[1] for k in keys) if s and min(a for a, _, _ in s) < 4 + n]
+            assert len(found) >= least, (alphabet, n, len(found))
+
+
+def test_allowed_parts_end_where_they_end():
+    key = "k9fQ2xLw7Zr4TnB8vYc1HdPs6GmJ3u"
+    spans = lambda t: secrets.joined(secrets.scan(t)[1])
+    assert spans(f"2024-05-01/{key}") == "entropy:10:41" and spans(f"{key}/2024-05-01") == "entropy:0:31"
+    assert spans(f"sha256-{key}").startswith("entropy:")
+    assert spans(f"123e4567-e89b-12d3-a456-426614174000/{key}") == "entropy:36:67"
+    for text in ("2024-05-01T10-20-30Z", "part-2-of-the-annual-report", "getElementByIdFromTheDocument", "9" * 20,
+                 "sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=", "id/123e4567-e89b-12d3-a456-426614174000",
+                 "annual-report-2024-05-01-final-version", "a_long_name_of_some_function"):
+        assert spans(text) == "", text
+
+
 def test_substring_dedup_equals_brute_force(docs, none, corpus):
     count = collections.Counter(tuple(w[i:i + 35]) for w in (words(t) for _, t, *_ in corpus) for i in range(len(w) - 34))
 
