@@ -11,8 +11,9 @@ no task holds a large bucket and no pair becomes a row; within a bucket, pairs t
 compared.  Every pair inside a group is then verified, whichever bucket it came from.
 
 Defined results: texts without words (null, empty) are linked to nothing and are classes of their own; repeated
-rows are copies; rows without an id get the class of an equal text that has one, else null; ids that repeat with
-different texts stand for each of them; an empty table gives an empty result; other columns are not read.
+rows are copies; rows without an id are linked like others and get the least id of all that are linked, null if none
+has one; ids that repeat with different texts stand for each of them; an empty table gives an empty result; other columns
+are not read.  Texts are fetched by a 128-bit digest of their own (``DIGEST``), never by an id.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ STEPS = (8, 16, 32, 64, BANDS * ROWS)
 TOLERANCE = 1e-6
 BLOCK = 384
 HOT_PART = 1000
+#: With the id, what names a row: two digests of its text.
+DIGEST = ("digest", "digest2")
 
 
 def least_matches(threshold: float, tolerance: float = TOLERANCE) -> list[int]:
@@ -89,17 +92,24 @@ def node_names(w: Words) -> list[str | None]:
     return [f"{a:016x}{b:016x}" if n else None for a, b, n in zip(one.tolist(), two.tolist(), w.counts().tolist())]
 
 
+def digests(text: Column) -> list[Column]:
+    """The columns ``DIGEST`` of a text."""
+    return [F.xxhash64(text).alias(DIGEST[0]), F.xxhash64(F.lit(1), text).alias(DIGEST[1])]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (name of the word sequence) and the MinHash values of every row of (doc_id, text)."""
+    """doc_id, digests, node (name of the word sequence) and the MinHash values of every row of (doc_id, text, digests)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
             for a, b in text_chunks(texts):
                 w = split_words(texts[a:b])
                 values = minhashes(*shingle_hashes(w), b - a)
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].to_numpy(), "node": node_names(w), "sig": [v.tobytes() for v in values]})
+                own = {c: batch[c].iloc[a:b].to_numpy() for c in ("doc_id", *DIGEST)}
+                yield pd.DataFrame({**own, "node": node_names(w), "sig": [v.tobytes() for v in values]})
 
-    return docs.mapInPandas(run, T.StructType([docs.schema["doc_id"], T.StructField("node", T.StringType()), T.StructField("sig", T.BinaryType())]))
+    return docs.mapInPandas(run, T.StructType([docs.schema["doc_id"], *(docs.schema[c] for c in DIGEST),
+                                               T.StructField("node", T.StringType()), T.StructField("sig", T.BinaryType())]))
 
 
 def agreeing(sig: np.ndarray, a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
@@ -221,8 +231,8 @@ def verified_links(groups: DataFrame, threshold: float) -> DataFrame:
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
                 parts += [(name, np.unique(hashes[i:j])) for name, i, j in zip(node_names(w), cut[:-1], cut[1:])]
             node = frame["node"].to_numpy()
-            # an id that repeats with another text brings that text along; only the named text counts, once
-            keep = np.array([name == own for (name, _), own in zip(parts, node)]) & ~frame.duplicated(["g", "node"]).to_numpy()
+            # a text of equal digests with other words would be another node's
+            keep = np.array([name == own for (name, _), own in zip(parts, node)], dtype=bool)
             frame, sets, node = frame[keep].reset_index(drop=True), [s for (_, s), k in zip(parts, keep) if k], node[keep]
             if not len(frame):
                 continue
@@ -245,13 +255,16 @@ def verified_links(groups: DataFrame, threshold: float) -> DataFrame:
     return blocks(groups, "component", "size").mapInPandas(run, "node string, other string, links long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (least id of all that are linked, directly or by others), n_links
-    (different texts with a similarity of at least ``threshold``) and n_copies (other rows with the same words)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def linked_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, digests, node) and the classes of equal words: node, first (the class's first row: no_id, doc_id
+    and digests; the least id, rows without one last), leader (the least such row of all that are linked), n_links and
+    n_copies."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *digests(text))
     all_rows = written(signatures(rows), "signatures")
     named = all_rows.filter("node IS NOT NULL")
-    classes = written(named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"),
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *DIGEST))
+    classes = written(named.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("rows"),
                                                 F.first("sig").alias("sig")), "classes")
 
     @F.pandas_udf("array<long>")
@@ -268,18 +281,27 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     edges = written(bucket_edges(buckets.join(classes.select("node", "sig"), "node"), threshold), "candidates")
     parts = connected_components(edges)
     counts = written(parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component-sizes")
-    members = hot_join(parts, counts, "component", F.col("size")).join(classes.select("node", "rep", "sig"), "node")
-    texts = members.join(rows.filter("doc_id IS NOT NULL"), F.col("rep") == F.col("doc_id")).select("component", "size", "node", "sig", "text")
+    members = hot_join(parts, counts, "component", F.col("size")).join(classes.select("node", *(f"first.{c}" for c in DIGEST), "sig"), "node")
+    # one copy of each text: equal rows don't meet in one task
+    single = rows.filter("text IS NOT NULL").select(*DIGEST, "text").dropDuplicates(list(DIGEST))
+    texts = members.join(single, list(DIGEST)).select("component", "size", "node", "sig", "text")
     checked = written(verified_links(texts, threshold), "links")
     links = checked.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("n_links"))
     names = connected_components(checked.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    least = written(names.join(classes.select("node", "rep"), "node").groupBy("component")
-                    .agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("size")), "component-ids")
-    linked = hot_join(names, least, "component", F.col("size")).join(links, "node", "left").select("node", "class_id", "n_links")
-    about = (classes.select("node", "rep", "rows").join(linked, "node", "left")
-             .select("node", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                     (F.col("rows") - 1).alias("n_copies")))
-    return with_classes(all_rows.select("doc_id", "node"), written(about, "class-facts"))
+    least = written(names.join(classes.select("node", "first"), "node").groupBy("component")
+                    .agg(F.min("first").alias("leader"), F.count(F.lit(1)).alias("size")), "component-ids")
+    linked = hot_join(names, least, "component", F.col("size")).join(links, "node", "left").select("node", "leader", "n_links")
+    about = (classes.select("node", "first", "rows").join(linked, "node", "left")
+             .select("node", "first", F.coalesce("leader", "first").alias("leader"),
+                     F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("rows") - 1).alias("n_copies")))
+    return all_rows.select("doc_id", *DIGEST, "node"), written(about, "class-facts")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (least id of all that are linked, directly or by others), n_links
+    (different texts with a similarity of at least ``threshold``) and n_copies (other rows with the same words)."""
+    rows, about = linked_classes(docs, threshold, id_col, text_col)
+    return with_classes(rows.select("doc_id", "node"), about.select("node", F.col("leader.doc_id").alias("class_id"), "n_links", "n_copies"))
 
 
 def hot_join(rows: DataFrame, facts: DataFrame, key: str, size: Column) -> DataFrame:

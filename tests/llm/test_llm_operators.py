@@ -167,6 +167,26 @@ def test_jaccard_join_equals_brute_force(docs, none, corpus, monkeypatch):
     assert jaccard_join.near_duplicates(none).count() == 0
 
 
+def test_jaccard_join_of_ids_with_two_texts_and_of_rows_without_ids(spark):
+    rng = random.Random(12)
+
+    def near(text, k):
+        w = text.split()
+        w[k] = f"x{k}"
+        return " ".join(w)
+
+    a, b, c, d = (prose(rng, 80, 5000) for _ in range(4))
+    rows = [(1, a), (1, b), (2, near(a, 3)), (3, near(b, 5)),                    # an id with two texts
+            (None, c), (None, near(c, 7)), (None, near(c, 40)), (None, c),       # near copies without ids
+            (None, d), (9, near(d, 9)), (None, prose(rng, 80, 5000))]
+    expected = [(1, 1, 1, 0), (1, 1, 1, 0), (2, 1, 1, 0), (3, 1, 1, 0),
+                (None, None, 2, 1), (None, None, 1, 0), (None, None, 1, 0), (None, None, 2, 1),
+                (None, 9, 1, 0), (9, 9, 1, 0), (None, None, 0, 0)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        assert bag(jaccard_join.near_duplicates(docs).collect()) == bag(expected)
+
+
 def test_posterior_table_keeps_similar_pairs():
     need = jaccard_join.least_matches(0.8)
     assert len(need) == len(jaccard_join.STEPS) and need == sorted(need) and need[-1] / jaccard_join.STEPS[-1] < 0.8
