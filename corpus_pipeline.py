@@ -7,7 +7,7 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsdigest.llm import jaccard_join, nbsvm, packing, secrets, spaced_seeds
@@ -20,21 +20,26 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return docs.filter(nbsvm.scores(docs, model) >= 0.5)
 
 
+def row_key() -> Column:
+    """What names a row: its id and two digests of its text.  Equal rows share it; rows without an id don't."""
+    return F.struct("doc_id", *jaccard_join.digests(F.col("text")))
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the least id.  Rows without an id whose text no row
-    with an id has stay."""
-    found = jaccard_join.near_duplicates(docs)
-    stay = found.filter("class_id IS NULL OR doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.withColumn("_digest", F.xxhash64("text"))
-    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    """One document of each near-duplicate group: the one with the least id, or without an id if none has one.  Repeated
+    rows are one; rows of one id with different texts are judged each."""
+    stay = jaccard_join.representatives(docs)
+    stay = stay.select(F.struct("doc_id", *jaccard_join.DIGEST).alias("_stay"))
+    kept = docs.withColumn("_row", row_key()).join(stay, F.col("_row").eqNullSafe(F.col("_stay")), "left_semi")
+    return kept.dropDuplicates(["_row"]).drop("_row")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = spaced_seeds.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = written(found.select(F.col("doc_id").alias("_id")).distinct(), "leaking-ids")
-    return docs.join(spaced_seeds.bounded(gone), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Documents that hold no benchmark item; rows of one id, or without an id, are judged each by its own text."""
+    rows = docs.withColumn("_row", row_key())
+    found = spaced_seeds.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
+    gone = written(found.select(F.col("doc_id").alias("_gone")).distinct(), "leaking-rows")
+    return rows.join(spaced_seeds.bounded(gone, 2 * spaced_seeds.ROW_BYTES), F.col("_row").eqNullSafe(F.col("_gone")), "left_anti").drop("_row")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

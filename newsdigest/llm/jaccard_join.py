@@ -304,6 +304,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     return with_classes(rows.select("doc_id", "node"), about.select("node", F.col("leader.doc_id").alias("class_id"), "n_links", "n_copies"))
 
 
+def representatives(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and digests of the rows that stand for all that are linked: of each group the row with the least id, then the
+    least digests, rows without an id last.  Rows without words stand for themselves."""
+    rows, about = linked_classes(docs, threshold, id_col, text_col)
+    leaders = about.filter(F.col("first").eqNullSafe(F.col("leader"))).select("leader.doc_id", *(f"leader.{c}" for c in DIGEST))
+    return leaders.unionByName(rows.filter("node IS NULL").drop("node").distinct())
+
+
 def hot_join(rows: DataFrame, facts: DataFrame, key: str, size: Column) -> DataFrame:
     """Each row with the facts of its key; ``facts`` has one row per key, whose number of rows is ``size``.  Keys of more
     than one row in ``HOT_PART`` meet their rows by a broadcast: there are fewer than ``HOT_PART`` of them, whatever the

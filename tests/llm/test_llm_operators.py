@@ -187,6 +187,23 @@ def test_jaccard_join_of_ids_with_two_texts_and_of_rows_without_ids(spark):
         assert bag(jaccard_join.near_duplicates(docs).collect()) == bag(expected)
 
 
+def test_pipeline_judges_rows_by_id_and_text(spark, tmp_path):
+    import corpus_pipeline
+    rng = random.Random(13)
+    a, b, c, d, e, item = (prose(rng, 80, 5000) for _ in range(6))
+    near = lambda t, k: " ".join("x" if i == k else w for i, w in enumerate(t.split()))
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    stage = lambda f, rows: bag(f(spark, table(rows), str(tmp_path)).collect())
+    rows = [(1, a), (5, a), (5, b), (7, near(b, 3)), (5, c), (3, near(c, 4)), (None, a), (None, near(a, 9)), (None, d), (None, d),
+            (None, near(d, 2)), (None, e), (None, None), (8, None), (8, "")]
+    got = stage(corpus_pipeline.ngram_jaccard_join, rows)
+    one = [r for r in got if r[0] is None and r[1] in (d, near(d, 2))]
+    assert len(one) == 1 and got - bag(one) == bag([(1, a), (5, b), (3, near(c, 4)), (None, e), (None, None), (8, None), (8, "")])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, a), (None, f"so {item}"), (None, b), (2, item), (2, c), (3, d), (None, None), (3, d)]
+    assert stage(corpus_pipeline.benchmark_decontamination, rows) == bag([(None, a), (None, b), (2, c), (3, d), (3, d), (None, None)])
+
+
 def test_posterior_table_keeps_similar_pairs():
     need = jaccard_join.least_matches(0.8)
     assert len(need) == len(jaccard_join.STEPS) and need == sorted(need) and need[-1] / jaccard_join.STEPS[-1] < 0.8
