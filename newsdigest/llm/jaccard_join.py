@@ -312,6 +312,13 @@ def representatives(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     return leaders.unionByName(rows.filter("node IS NULL").drop("node").distinct())
 
 
+def clusters(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Digests of each different text with words, and cluster: the name of all that are linked to it."""
+    rows, about = linked_classes(docs, threshold, id_col, text_col)
+    texts = rows.filter("node IS NOT NULL").select(*DIGEST, "node").distinct()
+    return texts.join(about.select("node", F.concat_ws(":", *(f"leader.{c}" for c in DIGEST)).alias("cluster")), "node").drop("node")
+
+
 def hot_join(rows: DataFrame, facts: DataFrame, key: str, size: Column) -> DataFrame:
     """Each row with the facts of its key; ``facts`` has one row per key, whose number of rows is ``size``.  Keys of more
     than one row in ``HOT_PART`` meet their rows by a broadcast: there are fewer than ``HOT_PART`` of them, whatever the

@@ -5,8 +5,8 @@ Open bins are kept in order of their residual room; each carries a bitmap of the
 clusters that it holds.  The search starts at the smallest residual that is large enough and goes on to the next
 larger ones until a bin without a conflict is found; otherwise a bin is opened.
 
-Pieces are dealt by a hash over shards of about ``shard_tokens`` tokens, whose number follows the input, so a
-shard is a bounded group whatever the sources are; a bin lies in one shard.
+Pieces are dealt by a hash of id, source, text, copy and piece over shards of about ``shard_tokens`` tokens, whose number
+follows the input, so a shard is a bounded group whatever the sources and ids are; a bin lies in one shard.
 
 Defined results: a null or empty text has its end mark only (length 1); a null source or cluster conflicts with
 nothing; rows repeated whole are packed as often as they occur; an empty table gives an empty result; other
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .jaccard_join import DIGEST, digests, hot_join
 from .storage import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,24 +65,30 @@ def word_tokens(text: Column) -> Column:
 
 
 def pack(docs: DataFrame, length: Column | None = None, cluster: Column | None = None, source: Column | None = None,
-         capacity: int = 2048, shard_tokens: int = 1 << 20, id_col: str = "doc_id") -> DataFrame:
+         capacity: int = 2048, shard_tokens: int = 1 << 20, id_col: str = "doc_id", clusters: DataFrame | None = None) -> DataFrame:
     """One row per piece: doc_id, copy, piece, n_tokens, bin, bin_offset.  No bin holds two pieces of one source or of
-    one duplicate cluster (default: documents with equal texts)."""
+    one duplicate cluster: ``cluster``, or that of the text's digests in ``clusters`` (default: documents with equal
+    texts)."""
     text = F.col("text").cast("string")
     length = word_tokens(text) if length is None else length
     cluster = F.xxhash64(text) if cluster is None else cluster
     source = F.col("source").cast("string") if source is None else source
     items = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"),
                         F.when(F.col("text").isNotNull(), cluster).cast("string").alias("cluster"),
-                        length.cast("long").alias("n"))
-    items = items.groupBy("doc_id", "source", "cluster", "n").agg(F.count(F.lit(1)).alias("rows"))
+                        length.cast("long").alias("n"), F.concat_ws(":", *digests(text)).alias("key"))
+    items = items.groupBy("doc_id", "source", "cluster", "n", "key").agg(F.count(F.lit(1)).alias("rows"))
     items = written(items, "pack-items")
+    if clusters is not None:
+        named = clusters.select(F.concat_ws(":", *DIGEST).alias("key"), F.col("cluster").alias("found"))
+        facts = written(items.groupBy("key").agg(F.count(F.lit(1)).alias("size")).join(named, "key", "left"), "pack-clusters")
+        items = hot_join(items, facts, "key", F.col("size")).withColumn(
+            "cluster", F.when(F.col("cluster").isNotNull(), F.coalesce("found", "cluster")))
     total = items.agg(F.sum(F.col("n") * F.col("rows"))).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
     pieces = (items.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
               .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity))))
               .withColumn("n_tokens", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity))
-              .withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(shards)))
+              .withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "key", "copy", "piece"), F.lit(shards)))
               .select("shard", "doc_id", "copy", "piece", "n_tokens", "source", "cluster"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

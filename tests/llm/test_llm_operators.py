@@ -237,6 +237,25 @@ def test_packing(docs, none, corpus):
     assert total == expected and packing.pack(none).count() == 0
 
 
+def test_packing_shards_are_bounded_without_ids(spark):
+    rng = random.Random(14)
+    docs = spark.createDataFrame([(None, prose(rng, 99), f"s{i}") for i in range(400)], "doc_id long, text string, source string")
+    shards = collections.Counter(r.bin >> 32 for r in packing.pack(docs, capacity=256, shard_tokens=4000).collect())
+    assert sum(shards.values()) == 400 and len(shards) == 10 and max(shards.values()) < 100
+
+
+def test_packing_keeps_near_copies_apart(spark):
+    rng = random.Random(15)
+    base = prose(rng, 60, 5000).split()
+    texts = {i: " ".join("x" if k == i else w for k, w in enumerate(base)) for i in range(4)}
+    texts |= {i: prose(rng, 60, 5000) for i in range(4, 8)}
+    docs = spark.createDataFrame([(i, t, f"s{i}") for i, t in texts.items()] + [(8, None, None), (9, "", None)],
+                                 "doc_id long, text string, source string")
+    pairs = jaccard_join.near_duplicates(docs).filter("class_id = 0").count()
+    placed = {r.doc_id: r.bin for r in packing.pack(docs, clusters=jaccard_join.clusters(docs)).collect()}
+    assert pairs == 4 and len(placed) == 10 and len({placed[i] for i in range(4)}) == 4 and len(set(placed.values())) == 4
+
+
 def test_best_fit_goes_on_to_the_next_bin():
     # the tightest bin that is large enough holds the source already
     assert packing.best_fit([(7, 1, 0), (6, 2, 0), (3, 1, 0)], 10) == [(0, 0), (1, 0), (1, 6)]
