@@ -98,6 +98,25 @@ def compose_prompt(df: DataFrame, template: str) -> DataFrame:
                       .otherwise(F.lit("")).alias("prompt"))
 
 
+def compose_article(df: DataFrame, template: str, generator: Callable[[str], str]) -> str | None:
+    """The day's article: the generator's answer to the whole prompt, asked
+    once, in an executor; None without articles, or for a failure or an
+    empty answer."""
+    def run(batches):
+        for pdf in batches:
+            res = []
+            for p in pdf["prompt"]:
+                try:
+                    r = generator(p)
+                    res.append(r.strip() if isinstance(r, str) else "")
+                except Exception:  # any failure -> empty, like summarize
+                    res.append("")
+            yield pdf[[]].assign(content=res)
+
+    asked = compose_prompt(df, template).filter("prompt <> ''").mapInPandas(run, "content string").collect()
+    return (asked[0].content or None) if asked else None
+
+
 def prompt_parts(df: DataFrame, template: str) -> DataFrame:
     """A5 as rows ``(section, seq, text)``, whose texts in this order are the
     prompt: no task holds all of it.  No articles -> no rows."""

@@ -10,7 +10,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.compose import output_paths, page_parts, prompt_parts, summarize
+from ..operators.compose import compose_article, output_paths, page_parts, prompt_parts, summarize
 from ..operators.dedup import deduplicate
 from ..operators.extract import account_article_fields, extract_articles
 from ..operators.report import problem_accounts, site_report_parts, site_results
@@ -45,6 +45,7 @@ class DigestResult:
     digest_rows: DataFrame       # P14/X1 + P16/K3 (W1 rows)
     page: DataFrame              # A6 (ordered rows, W3)
     prompt: DataFrame | None     # A5 (ordered rows; only when a generator is configured)
+    daily_article: str | None = None   # W2: the generator's answer to the prompt
 
 
 def web_articles(sources: DataFrame, pages: DataFrame, rules: RuleSet) -> DataFrame:
@@ -118,6 +119,7 @@ def run_digest(sources: DataFrame, pages: DataFrame, hits: DataFrame, rules: Rul
     rows = output_paths(summed, as_of).select("seq", "run_date", "path", "title", "url", "source_name",
                                               "date", "summary")
     prompt = prompt_parts(kept, compose_template) if generator is not None else None
+    article = compose_article(kept, compose_template, generator) if generator is not None else None
     return DigestResult(articles, results, site_report_parts(results, as_of), problem_accounts(results),
-                        survivors, removed, kept, rows, page_parts(summed, as_of, None, site_title),
-                        prompt)
+                        survivors, removed, kept, rows, page_parts(summed, as_of, article, site_title),
+                        prompt, article)

@@ -746,6 +746,18 @@ def q_incremental_digest(spark, d):
     return spark.read.parquet(f"{base}/out").select(F.col("batch_id").cast("bigint"), "page_id", "title", "url", "source_name")
 
 
+@register("incremental_daily_digest", f"SELECT CAST(0 AS BIGINT) AS batch_id, * FROM ({DIGEST_SQL}) d")
+def q_incremental_daily_digest(spark, d):
+    """The whole digest over pages.parquet consumed as a stream (availableNow)."""
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.incremental import start_digest_stream
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    start_digest_stream(spark, d, _sources_df(spark, d), X.search_hits(spark, d), X.fixture_rules(), AS_OF, f"{base}/out", f"{base}/chk",
+                        glob="pages.parquet", allow_undated=True, as_of_ts=AS_OF_TS, tz="UTC").awaitTermination()
+    return spark.read.parquet(f"{base}/out/digest_rows").select(F.col("batch_id").cast("bigint"), "seq", F.col("run_date").cast("string"),
+                                                                "path", "title", "url", "source_name", "date", "summary")
+
+
 def first_sentence(prompt: str) -> str:
     """A user text generator for X1: the first sentence of the article
     body in the prompt (after the first line)."""

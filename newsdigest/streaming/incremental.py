@@ -1,42 +1,74 @@
 """The digest over newly landed pages, as a Structured Streaming query.
 
-Pages land as parquet files in a folder.  Each micro-batch extracts the
-articles of the new pages and applies the per-run URL dedup inside the
-batch (the original keeps no state between runs), then writes the batch as
-a partition of its own, so a batch that is replayed replaces itself.
+Pages land as parquet files in a folder.  ``start_digest_stream`` runs the
+whole digest (``run_digest``) over the new pages of each micro-batch;
+``start_incremental_digest`` only extracts their articles and removes equal
+URLs.  The original keeps no state between runs, so dedup is inside the
+batch.  A batch is written as a partition of its own, so a batch that is
+replayed replaces itself.
 ``availableNow`` processes everything present and stops, so the same code serves a daily job and a test; the checkpoint
 records which files were consumed, so a restarted job resumes.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import dedup_url
 from ..operators.extract import extract_articles
+from ..plans.digest import run_digest
+from ..session import materialize
 from ..sources.rules import RuleSet
 
 PAGES_SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
                              T.StructField("html", T.StringType())])
 
 
-def start_incremental_digest(spark: SparkSession, pages_dir: str, rules: RuleSet, out_path: str,
-                             checkpoint: str, glob: str = "*.parquet",
-                             available_now: bool = True):
+def _write_batch(df: DataFrame, batch_id: int, path: str) -> None:
+    df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
+def _start(spark: SparkSession, pages_dir: str, glob: str, run_batch, checkpoint: str, available_now: bool) -> StreamingQuery:
     # all files that are new in a run are one batch, so the per-run dedup
     # does not depend on how the pages are spread over files
     stream = spark.readStream.schema(PAGES_SCHEMA).option("pathGlobFilter", glob).parquet(pages_dir)
+    writer = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
+
 
+def start_digest_stream(spark: SparkSession, pages_dir: str, sources: DataFrame, hits: DataFrame, rules: RuleSet, as_of: dt.date,
+                        out_path: str, checkpoint: str, glob: str = "*.parquet", available_now: bool = True,
+                        **options) -> StreamingQuery:
+    """``run_digest`` (with its ``options``) over the new pages of each
+    batch.  Written by ``batch_id``: digest_rows, removed, page, site_report
+    and, with a generator, prompt and daily_article."""
+    def run_batch(batch: DataFrame, batch_id: int) -> None:
+        res = run_digest(sources, materialize(batch), hits, rules, as_of, **options)
+        parts = {"digest_rows": res.digest_rows, "removed": res.removed, "page": res.page, "site_report": res.site_report}
+        if res.prompt is not None:
+            parts["prompt"] = res.prompt
+            parts["daily_article"] = batch.sparkSession.createDataFrame([(as_of.isoformat(), res.daily_article)], "run_date string, content string")
+        for name, rows in parts.items():
+            _write_batch(rows, batch_id, f"{out_path}/{name}")
+
+    return _start(spark, pages_dir, glob, run_batch, checkpoint, available_now)
+
+
+def start_incremental_digest(spark: SparkSession, pages_dir: str, rules: RuleSet, out_path: str,
+                             checkpoint: str, glob: str = "*.parquet",
+                             available_now: bool = True) -> StreamingQuery:
+    """The first steps of T1 only: articles of the new pages without equal
+    URLs (no title dedup, date window, summaries or page)."""
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         arts = extract_articles(batch, rules)
         arts = arts.withColumn("seq", F.struct("page_id", "cpos"))
-        kept = dedup_url(arts).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        kept.select("batch_id", "page_id", "cpos", "title", "url", "source_name") \
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("batch_id").parquet(out_path)
+        _write_batch(dedup_url(arts).select("page_id", "cpos", "title", "url", "source_name"), batch_id, out_path)
 
-    writer = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start()
+    return _start(spark, pages_dir, glob, run_batch, checkpoint, available_now)

@@ -42,3 +42,26 @@ def test_incremental_digest_processes_new_files(spark, tmp_path):
     start_incremental_digest(spark, str(land), rules, out, chk).awaitTermination()
     got = sorted((r.batch_id, r.title, r.url) for r in spark.read.parquet(out).collect())
     assert got == [(0, "T0", "https://s0.org/x0"), (1, "T1", "https://s1.org/x1")]
+
+
+def test_digest_stream_runs_the_whole_digest(spark, tmp_path):
+    import datetime as dt
+
+    from newsdigest.streaming.incremental import start_digest_stream
+    item = "<li><a href='/{}'>{}</a><i>{}</i></li>"
+    html = "<nav><ul>" + item.format("a", "Big news today", "2024-01-30") + item.format("b", "today Big news", "2024-01-30") \
+        + item.format("c", "Old news", "2020-01-01") + "</ul></nav>"
+    spark.createDataFrame([(1, "https://s.org/", html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "in"))
+    sources = spark.createDataFrame([(0, "web", "https://s.org/", True)], "seq long, kind string, value string, valid boolean")
+    hits = spark.createDataFrame([], "account string, page int, rank int, src_name string, script string, href string, "
+                                 "blocked boolean, article_page_id long")
+    rules = RuleSet({"generic_list_rule": {"article_list_css": "nav li", "title_css": "a", "link_css": "a", "date_css": "i",
+                                           "date_format": "%Y-%m-%d"}})
+    out = str(tmp_path / "out")
+    start_digest_stream(spark, str(tmp_path / "in"), sources, hits, rules, dt.date(2024, 1, 30), out, str(tmp_path / "chk"), tz="UTC",
+                        generator=lambda p: "The day's article" if p.startswith("Write one") else "A summary").awaitTermination()
+    rows = spark.read.parquet(f"{out}/digest_rows").collect()
+    assert [(r.batch_id, r.title, r.summary, r.path[:27]) for r in rows] == [(0, "Big news today", "A summary", "daily_summaries/2024-01-30/")]
+    assert [r.content for r in spark.read.parquet(f"{out}/daily_article").collect()] == ["The day's article"]
+    page = "".join(r.text for r in spark.read.parquet(f"{out}/page").orderBy("section", "seq").collect())
+    assert "The day's article" in page or "The day&#x27;s article" in page
