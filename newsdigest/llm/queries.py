@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, licenses, nbsvm, packing, phrases, rules, secrets, spaced_seeds, storage, tokens, warc
+from . import (jaccard_join, lexical_search, licenses, nbsvm, packing, phrases, rules, secrets, spaced_seeds, spelling, storage, tokens,
+               url_filters, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -67,5 +80,11 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_url_filters": op11_url_filters,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_lexical_search": op13_lexical_search,
+}
+ORACLES: dict[str, str] = {
+    "op12_spelling_variants": spelling.ORACLE_SQL,
+    "op13_lexical_search": lexical_search.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {}
