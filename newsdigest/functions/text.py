@@ -36,8 +36,12 @@ ATTRIBUTE_ENTITY_RE = f"&(?:{_NUMERIC_RE}|[a-zA-Z][a-zA-Z0-9]*;|(?:{_BARE_NAMES}
 
 
 def _literal_map(pairs: dict) -> Column:
-    """A constant map."""
-    return F.map_from_arrays(F.lit(list(pairs)), F.lit(list(pairs.values())))
+    """A constant map from text to text, made of one literal and folded once."""
+    return F.str_to_map(F.lit("\ue000".join(f"{k}\ue001{v}" for k, v in pairs.items())), F.lit("\ue000"), F.lit("\ue001"))
+
+
+_WINDOWS = {n: ch for n in range(128, 160) if (ch := bytes([n]).decode("cp1252", "ignore"))}
+_NAMED = {"&" + n: html5[n] for n in sorted(html5, key=lambda n: (len(n), n))}
 
 
 def _decode_one(m: Column) -> Column:
@@ -48,10 +52,9 @@ def _decode_one(m: Column) -> Column:
     code = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
     valid = (code > 0) & (code <= 0x10FFFF) & ~((code >= 0xD800) & (code <= 0xDFFF))
     as_char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "utf-32")
-    windows = F.element_at(_literal_map({n: ch for n in range(128, 160) if (ch := bytes([n]).decode("cp1252", "ignore"))}),
-                           code.cast("int"))
+    windows = F.element_at(_literal_map(_WINDOWS), code.cast("string"))
     numeric = F.when(valid, F.coalesce(F.when(code.between(128, 159), windows), as_char)).otherwise(F.lit("\ufffd"))
-    named = F.element_at(_literal_map({"&" + n: html5[n] for n in sorted(html5, key=lambda n: (len(n), n))}), m)
+    named = F.element_at(_literal_map(_NAMED), m)
     return F.when(m.startswith("&#"), numeric).otherwise(F.coalesce(named, m))
 
 
@@ -73,20 +76,10 @@ def normalize_text(c: Column) -> Column:
     return F.regexp_replace(F.array_join(kept, "\n"), " +", " ")
 
 
-# Element subtrees whose text is dropped by the HTML cleaner.
-CLEAN_DROP_TAGS = ["script", "style", "noscript", "iframe", "svg"]
-_DROP_SUBTREES_RE = "(?is)<!--.*?-->|" + "|".join(
-    rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in CLEAN_DROP_TAGS)
-_ANY_TAG_RE = r"""(?s)<![^>]*>|</?[a-zA-Z][^>=]*(?:=(?:\s*"[^"]*"|\s*'[^']*')?[^>=]*)*>"""
-
-
 def clean_html(c: Column) -> Column:
-    """P5: HTML fragment -> text.  Dropped subtrees and comments become line
-    breaks, every tag becomes a line break (text strings joined by '\\n'),
-    entities are decoded after the tags are gone, then P4."""
-    s = F.regexp_replace(c, _DROP_SUBTREES_RE, "\n")
-    s = F.regexp_replace(s, _ANY_TAG_RE, "\n")
-    return normalize_text(decode_entities(s))
+    """P5: HTML fragment -> text (see ``operators.html.clean_html``, which needs the page parser)."""
+    from ..operators.html import clean_html as clean
+    return clean(c)
 
 
 def title_tokens(c: Column) -> Column:

@@ -3,72 +3,45 @@ pages (E10, E11, P13)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
 from ..functions.search import blocked_article
 from ..functions.text import WS, normalize_text, py_strip
 from ..functions.urls import resolve_url, url_domain
-from ..session import materialize
 from ..sources.rules import RuleSet, assign_rules, broadcast_if_small
-from .html import elements, first_inside, mark, node_lookup, texts, tokenize, with_text
+from .html import STATES, bind, clean_text, firsts, label, lines_text, matching, page_text, parse, state_table, states, strip_text
 
 ARTICLE_COLUMNS = ["page_id", "cpos", "title", "url", "source_name", "source_url",
                    "date", "date_parsed", "content_html", "content_text"]
 # Aria-label suffixes removed (in this order) from a fallback title.
 ARIA_SUFFIXES = [" news link", " link"]
+SLOT_LABELS = {"article_list_css": "list", "title_css": "title", "link_css": "link", "date_css": "date", "content_css": "content"}
+INNER_SLOTS = ["title", "heading", "link", "date", "content"]
 
 
-def page_nodes(pages: DataFrame, rules: RuleSet | None = None):
-    """Pages ``(page_id, url, html)`` -> (page table with domain/rule_id,
-    element table, text table)."""
-    pg = pages.withColumn("domain", url_domain(F.col("url")))
-    if rules is not None:
-        pg = assign_rules(pg, rules)
-    else:
-        pg = pg.withColumn("rule_id", F.lit(0))
-    toks = tokenize(pg, carry=["rule_id"]).persist(StorageLevel.MEMORY_AND_DISK)
-    # The element and text tables feed several branches (selector flags,
-    # lookups, text assembly): write them once to the checkpoint folder so
-    # no branch re-tokenises and every later plan starts from a scan.
-    el = materialize(elements(toks, carry=["rule_id"]))
-    tx = materialize(texts(toks))
-    toks.unpersist()
-    return pg.drop("html"), el, tx
-
-
-def _mark_slot(el: DataFrame, rules: RuleSet, slot: str, out: str) -> DataFrame:
-    """Flag ``out``: element matches the page's resolved selector for ``slot``."""
-    by_css: dict[str, list[int]] = {}
+def rule_frame(rules: RuleSet, spark) -> DataFrame:
+    """One row per rule: rule_id, base_url, date_format, no_link (its link slot is empty) and the states of its selectors."""
+    rows = []
     for r in rules.resolved():
-        css = r.slot(slot)
-        if css:
-            by_css.setdefault(css, []).append(r.rule_id)
-    flags = []
-    for i, (css, ids) in enumerate(sorted(by_css.items())):
-        name = f"{out}_{i}"
-        el = mark(el, css, name, scope=F.col("rule_id").isin(*ids))
-        flags.append(name)
-    res = F.lit(False)
-    for f in flags:
-        res = res | F.col(f)
-    return el.withColumn(out, res).drop(*flags)
-
-
-def _rules_where(rules: RuleSet, pred) -> Column:
-    ids = [r.rule_id for r in rules.resolved() if pred(r)]
-    return F.col("rule_id").isin(*ids) if ids else F.lit(False)
-
-
-def containers(el: DataFrame, rules: RuleSet) -> DataFrame:
-    """Elements flagged ``is_container``: matches of the page's list
-    selector; a page with none uses every <article>."""
-    el = _mark_slot(el, rules, "article_list_css", "_list")
-    has = F.max(F.col("_list").cast("int")).over(Window.partitionBy("page_id")) > 0
-    return el.withColumn("is_container", F.when(has, F.col("_list")).otherwise(F.col("tag") == "article")) \
-        .drop("_list")
+        selectors = [(name, r.slot(slot)) for slot, name in SLOT_LABELS.items() if r.slot(slot)]
+        table = state_table([*selectors, ("article", "article"), ("heading", "h2, h3, h4")])
+        rows.append((r.rule_id, r.base_url, r.date_format, not r.link_css, table))
+    return spark.createDataFrame(rows, f"rule_id int, base_url string, date_format string, no_link boolean, states {STATES}")
+
+
+def with_rules(pages: DataFrame, rules: RuleSet) -> DataFrame:
+    """Pages ``(page_id, url, html)`` with their domain and the columns of their rule."""
+    rows = assign_rules(pages.select("page_id", "url", "html").withColumn("domain", url_domain(F.col("url"))), rules)
+    return rows.join(broadcast_if_small(rule_frame(rules, pages.sparkSession), len(rules.resolved())), "rule_id", "left")
+
+
+def containers(el: Column, labels: Column) -> Column:
+    """Matches of the page's list selector with the first elements of each slot inside; a page with none uses every
+    <article>."""
+    listed = F.exists(labels, lambda has: F.array_contains(has, "list"))
+    return bind(F.when(listed, "list").otherwise("article"), lambda name: firsts(el, labels, INNER_SLOTS, name))
 
 
 def _aria_title(aria: Column) -> Column:
@@ -78,53 +51,48 @@ def _aria_title(aria: Column) -> Column:
     return t
 
 
-def extract_articles(pages: DataFrame, rules: RuleSet, nodes=None) -> DataFrame:
+def _article(tx: Column, c: Column, base: Column) -> Column:
+    """One container's article; its title may be ''."""
+    slot = lambda name: F.get(c["first"], F.lit(INNER_SLOTS.index(name)))                                   # noqa: E731
+    own = F.when(c["at"]["tag"] == "a", c["at"])
+
+    def article(t: Column) -> Column:
+        link = F.when(F.col("no_link"), t).otherwise(slot("link"))
+        href = F.coalesce(F.nullif(link["href"], F.lit("")), F.nullif(t["href"], F.lit("")), F.nullif(own["href"], F.lit("")))
+        title = bind(strip_text(tx, t), lambda text: F.when(text != "", text).otherwise(_aria_title(t["aria_label"])))
+        return F.struct(c["at"]["pos"].alias("cpos"), F.when(t.isNotNull(), title).otherwise("").alias("title"),
+                        resolve_url(href, base).alias("url"), strip_text(tx, slot("date")).alias("date"),
+                        clean_text(tx, slot("content")).alias("content_html"),
+                        normalize_text(strip_text(tx, slot("content"))).alias("content_text"))
+
+    return bind(F.coalesce(slot("title"), slot("heading"), own), article)
+
+
+def first_by(rows: Column, name: str) -> Column:
+    """The first of the page's rows for each value of a field."""
+    return bind(rows, lambda every: bind(F.transform(every, lambda r: r[name]), lambda values: F.filter(
+        every, lambda r, i: F.array_position(values, r[name]) == i + 1)))
+
+
+def page_articles(html: Column, url: Column) -> Column:
+    """E8 + E9 as an array: the accepted containers of a page, the first of each URL.  Reads the rule's columns."""
+    base = F.when(F.coalesce(F.col("base_url"), F.lit("")) != "", F.col("base_url")).otherwise(url)
+    found = lambda tx, cs: F.filter(F.transform(cs, lambda c: _article(tx, c, base)), lambda a: a["title"] != "")       # noqa: E731
+    return first_by(bind(parse(html), lambda p: bind(label(p["el"], F.col("states")), lambda has: found(
+        p["tx"], containers(p["el"], has)))), "url")
+
+
+def extract_articles(pages: DataFrame, rules: RuleSet) -> DataFrame:
     """E8 + E9 + cleaning: one row per accepted container, first container
     per (page, url).  ``content_html`` is already cleaned to text (P5) and
-    ``content_text`` normalised (P4), as the digest does right after parsing."""
-    pg, el, tx = nodes if nodes is not None else page_nodes(pages, rules)
-    el = containers(el, rules)
-    el = _mark_slot(el, rules, "title_css", "_t")
-    el = _mark_slot(el, rules, "link_css", "_l")
-    el = _mark_slot(el, rules, "date_css", "_d")
-    el = _mark_slot(el, rules, "content_css", "_c")
-    el = el.withColumn("_hx", F.col("tag").isin("h2", "h3", "h4"))
-    el = first_inside(el, {"t1": "_t", "t2": "_hx", "lk": "_l", "dt": "_d", "ct": "_c"})
-    el = materialize(el)
-    c = el.filter(F.col("is_container")).select(
-        "page_id", "rule_id", F.col("pos").alias("cpos"), F.col("tag").alias("ctag"),
-        F.col("href").alias("chref"), "t1", "t2", "lk", "dt", "ct")
-    title_pos = F.coalesce("t1", "t2", F.when(F.col("ctag") == "a", F.col("cpos")))
-    link_empty = _rules_where(rules, lambda r: not r.link_css)
-    c = c.withColumn("tpos", title_pos) \
-        .withColumn("lpos", F.when(link_empty, F.col("tpos")).otherwise(F.col("lk"))) \
-        .filter(F.col("tpos").isNotNull())
-    c = node_lookup(c, el, "tpos", "tt", ("end", "href", "aria_label"))
-    c = node_lookup(c, el, "lpos", "ll", ("href",))
-    c = node_lookup(c, el, "dt", "dd", ("end",))
-    c = node_lookup(c, el, "ct", "cc", ("end",))
-    c = with_text(c, el, tx, "tpos", "tt")
-    title = F.when(F.col("tt_strip") != "", F.col("tt_strip")).otherwise(_aria_title(F.col("tt_aria_label")))
-    c = c.withColumn("title", title).filter(F.col("title") != "")
-    href = F.coalesce(F.nullif(F.col("ll_href"), F.lit("")), F.nullif(F.col("tt_href"), F.lit("")),
-                      F.when(F.col("ctag") == "a", F.nullif(F.col("chref"), F.lit(""))))
-    rid = rules.resolved_frame(el.sparkSession).select("rule_id", "base_url", "date_format")
-    c = c.join(broadcast_if_small(rid, len(rules.resolved())), "rule_id", "left").join(pg.select("page_id", "url", "domain"), "page_id")
-    base = F.when(F.coalesce(F.col("base_url"), F.lit("")) != "", F.col("base_url")).otherwise(F.col("url"))
-    c = c.withColumn("article_url", resolve_url(href, base))
-    # The first accepted container claims the URL within its page
-    w = Window.partitionBy("page_id", "article_url").orderBy("cpos")
-    c = c.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-    c = with_text(c, el, tx, "dt", "dd")
-    c = with_text(c, el, tx, "ct", "cc")
-    date_text = F.when(F.col("dt").isNotNull(), F.col("dd_strip"))
-    return c.select(
-        "page_id", "cpos", "title", F.col("article_url").alias("url"),
-        F.col("domain").alias("source_name"), F.col("url").alias("source_url"),
-        date_text.alias("date"),
-        parse_date(date_text, F.col("date_format"), rules.date_formats()).alias("date_parsed"),
-        F.when(F.col("ct").isNotNull(), normalize_text(F.col("cc_nl"))).alias("content_html"),
-        normalize_text(F.when(F.col("ct").isNotNull(), F.col("cc_strip"))).alias("content_text"))
+    ``content_text`` normalised (P4), as the digest does right after parsing.
+    A page's articles are one expression: nothing is shuffled."""
+    rows = with_rules(pages, rules)
+    found = rows.select("page_id", "domain", F.col("url").alias("source_url"), "date_format",
+                        F.inline_outer(page_articles(F.col("html"), F.col("url")))).filter("cpos IS NOT NULL")
+    return found.select(
+        "page_id", "cpos", "title", "url", F.col("domain").alias("source_name"), "source_url", "date",
+        parse_date(F.col("date"), F.col("date_format"), rules.date_formats()).alias("date_parsed"), "content_html", "content_text")
 
 
 # --------------------------------------------------------------------------
@@ -138,37 +106,22 @@ ACCOUNT_BODY_SECOND = ".rich_media_content, #article-content"
 UNKNOWN_TITLE = "未知标题"
 
 
-def account_article_fields(pages: DataFrame, nodes=None) -> DataFrame:
+def account_article_fields(pages: DataFrame) -> DataFrame:
     """E10/E11/P13 on article pages ``(page_id, url, html)`` -> ``(page_id,
-    title, content_html, content_text, blocked)``.  Each selector's first
-    match in the page is a per-page ``min(pos)``."""
-    pg, el, tx = nodes if nodes is not None else page_nodes(pages)
-    names = []
-    for i, css in enumerate(ACCOUNT_TITLE_SELECTORS):
-        el = mark(el, css, f"_at{i}")
-        names.append(f"_at{i}")
-    el = mark(el, ACCOUNT_BODY_FIRST, "_b1")
-    el = mark(el, ACCOUNT_BODY_SECOND, "_b2")
-    el = mark(el, ".rich_media_content", "_b3")
-    el = materialize(el.withColumn("_title_tag", F.col("tag") == "title"))
-    firsts = el.groupBy("page_id").agg(
-        *[F.min(F.when(F.col(n), F.col("pos"))).alias(n) for n in names + ["_b1", "_b2", "_b3", "_title_tag"]])
-    f = firsts.withColumn("body_pos", F.coalesce("_b1", "_b2")) \
-        .withColumn("has_body", F.col("_b1").isNotNull() | F.col("_b3").isNotNull())
-    for n in names + ["body_pos", "_title_tag"]:
-        f = node_lookup(f, el, n, n + "x", ("end",))
-        f = with_text(f, el, tx, n, n + "x")
-    title = F.lit(None).cast("string")
-    for n in reversed(names):
-        title = F.when(F.coalesce(F.col(n + "x_strip"), F.lit("")) != "",
-                       F.regexp_replace(py_strip(F.col(n + "x_strip")), WS + "+", " ")).otherwise(title)
-    page_text = tx.groupBy("page_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "txt"))), lambda s: s["txt"]), "")
-        .alias("page_text"))
-    f = f.join(page_text, "page_id", "left")
-    return f.select(
-        "page_id",
-        F.coalesce(title, F.lit(UNKNOWN_TITLE)).alias("title"),
-        F.when(F.col("body_pos").isNotNull(), normalize_text(F.col("body_posx_nl"))).alias("content_html"),
-        normalize_text(F.when(F.col("body_pos").isNotNull(), F.col("body_posx_lines"))).alias("content_text"),
-        blocked_article(F.col("has_body"), F.col("page_text"), F.col("_title_tagx_strip")).alias("blocked"))
+    title, content_html, content_text, blocked)``, without a shuffle."""
+    titles = [f"title{i}" for i in range(len(ACCOUNT_TITLE_SELECTORS))]
+    table = states([*zip(titles, ACCOUNT_TITLE_SELECTORS), ("body1", ACCOUNT_BODY_FIRST), ("body2", ACCOUNT_BODY_SECOND),
+                    ("rich", ".rich_media_content"), ("head", "title")])
+
+    def fields(el: Column, tx: Column, has: Column) -> Column:
+        first = lambda name: F.get(matching(el, has, name), F.lit(0))                                      # noqa: E731
+        named = F.filter(F.array(*(bind(first(n), lambda e: strip_text(tx, e)) for n in titles)), lambda t: t != "")
+        title = F.regexp_replace(py_strip(F.get(named, F.lit(0))), WS + "+", " ")
+        return bind(F.coalesce(first("body1"), first("body2")), lambda body: F.struct(
+            F.coalesce(title, F.lit(UNKNOWN_TITLE)).alias("title"), clean_text(tx, body).alias("content_html"),
+            normalize_text(lines_text(tx, body)).alias("content_text"),
+            blocked_article(first("body1").isNotNull() | first("rich").isNotNull(), page_text(tx),
+                            bind(first("head"), lambda e: strip_text(tx, e))).alias("blocked")))
+
+    found = bind(parse(F.col("html")), lambda p: bind(label(p["el"], table), lambda has: fields(p["el"], p["tx"], has)))
+    return pages.select("page_id", F.inline(F.array(found)))

@@ -1,195 +1,226 @@
-"""Relational HTML: token table, interval-encoded element table, CSS
-selectors and element text (E1-E5).
+"""Pages as arrays: tokens, element tree, CSS selectors and element text.
 
-A page is tokenised with one regular expression into ``(page_id, pos, tok)``
-rows.  Elements get an exclusive end position so that "d is inside a" is
-``a.pos < d.pos < a.end``, a depth and a parent.  Everything after the one
-hash shuffle of the raw pages by ``page_id`` is a window inside that
-partitioning (running sums, ``lead``, ``last(ignorenulls)`` over a running
-frame), so no step enumerates pairs of elements of a page.
+Everything here is a column expression over one page: ``parse`` turns the HTML into its elements (exclusive end
+position, so that "d is inside a" is ``a.pos < d.pos < a.end``; depth; parent; attributes) and its texts by token position.
+``label`` runs all selectors of a page's rule at once, ``firsts`` finds the first labelled elements inside containers, and
+the text functions read a slice of the texts.  Nothing is shuffled: a page is a row until its results are exploded.
 
-Tree-building rules (tolerant, close to a forgiving HTML parser):
+Tree-building rules (tolerant, close to a forgiving HTML parser), kept by a stack of open elements in one fold over the
+tokens, so elements always nest:
 
 * void tags, ``<x/>`` and whole script/style blocks have no children;
-* a close tag closes the nearest open element of the same name (per-tag
-  nesting levels);
-* an element left open is closed by a start tag that implies its end
-  (``<p>`` by a block start, ``<li>`` by ``<li>`` ...) or else by the close
-  of the nearest closed ancestor, or at the end of the page.
+* a start tag first closes the innermost open elements that it implies the end of (``<li>`` ends ``<p>`` and ``<li>``), as
+  long as the innermost one is of these: a list inside an item, or a table inside a cell, keeps its own;
+* a close tag closes the nearest open element of its name and all inside it, unless one of higher rank (a cell, row, table ...)
+  stands between: then it has no effect;
+* what is open at the end of the page ends there.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ATTRIBUTE_ENTITY_RE, decode_entities, py_strip, normalize_text
+from ..functions.text import ATTRIBUTE_ENTITY_RE, WS, decode_entities, normalize_text, py_strip
 
 # A tag ends at the first ">" outside a quoted attribute value.
 TAG_RE = r"""</?[a-zA-Z][^>=]*(?:=(?:\s*"[^"]*"|\s*'[^']*')?[^>=]*)*>"""
 TOKEN_RE = (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
             r"|<![^>]*>|" + TAG_RE + r"|[^<]+|<")
+#: Stands for a "<" that begins no tag while the page is cut into tokens; no character of a text.
+STRAY = "﷐"
+_ATTRIBUTE_RE = r"""(?s)[\s/]*+([^\s/>][^\s=/>]*+)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>][^\s>]*+)?)?+"""
 
 # Elements without content.
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "keygen",
              "link", "meta", "param", "source", "track", "wbr"]
-# Start tags that end an open <p>.
+# Start tags that end an open <p> (or <head>).
 P_CLOSERS = ["address", "article", "aside", "blockquote", "center", "dd", "details",
              "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
              "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup",
              "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"]
-# Open element -> start tags that end it when it was left open.
+# Start tag -> other open elements that it ends.
 IMPLIED_END = {
-    "li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"],
-    "option": ["option", "optgroup"], "tr": ["tr", "tbody", "thead", "tfoot"],
-    "td": ["td", "th", "tr", "tbody", "thead", "tfoot"],
-    "th": ["td", "th", "tr", "tbody", "thead", "tfoot"],
+    "a": ["a"], "body": ["head", "p"], "form": ["form"], "li": ["li", "h1", "h2", "h3", "h4", "h5", "h6", "dl", "address", "pre"],
+    "dt": ["dt", "dd"], "dd": ["dt", "dd"], "option": ["option"], "optgroup": ["option"],
+    "p": ["h1", "h2", "h3", "h4", "h5", "h6", "tt", "i", "b", "u", "s", "strike", "big", "small"],
+    "table": ["h1", "h2", "h3", "h4", "h5", "h6", "pre", "a"],
+    "td": ["td", "th", "p", "span", "font", "a", "b", "i", "u"], "th": ["td", "th", "p", "span", "font", "a", "b", "i", "u"],
+    "tr": ["td", "th", "tr", "caption", "colgroup", "p"],
+    "tbody": ["td", "th", "tr", "caption", "colgroup", "thead", "tfoot", "tbody", "p"],
+    "thead": ["td", "th", "tr", "caption", "colgroup", "tbody", "p"],
+    "tfoot": ["td", "th", "tr", "caption", "colgroup", "thead", "tbody", "p"],
 }
-# Subtrees whose text the HTML cleaner drops.
-DROP_TEXT_TAGS = ["script", "style", "noscript", "iframe", "svg"]
+# Rank of an element; a close tag has no effect across an open element of a higher one (others: 100).
+CLOSE_RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190,
+              "head": 200, "body": 200, "html": 220}
+# Elements whose texts are no text of the elements around them.
+BOX_TAGS = ["rt", "rp", "template"]
+# Subtrees whose text the HTML cleaner drops (scripts and styles are no texts at all).
+DROP_TEXT_TAGS = ["noscript", "iframe", "svg"]
 
-_UNB = Window.unboundedPreceding
+CHUNK = 64
+_OPEN = "array<struct<pos:int,tag:string,rank:int,tok:string,depth:int,parent:int,box:string,drop:boolean>>"
+_DONE = "array<struct<pos:int,end:int,depth:int,parent:int,tag:string,tok:string>>"
+_TEXT = "struct<txt:string,box:string,drop:boolean>"
 
 
-_VALUE_RE = r"""(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+)?)?"""
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the value, which is computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
-def attr(tok: Column, name: str) -> Column:
-    """Value of attribute ``name`` in a start-tag token (entities decoded,
-    '' for an attribute without a value); null when absent.  Attributes are
-    read from left to right, so a name inside another one's value is none."""
-    named = f"{re.escape(name)}(?=[\\s=/>])"
-    found = F.regexp_extract(tok, rf"(?is)^<[a-z][^\s/>]*+(?:[\s/]*+(?!{named})[^\s/>][^\s=/>]*+{_VALUE_RE})*+[\s/]*+({named}{_VALUE_RE})", 1)
-    raw = F.regexp_replace(found, rf"(?is)^{re.escape(name)}\s*=?\s*", "")
-    quoted = raw.startswith('"') | raw.startswith("'")
-    val = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return F.when(found != "", decode_entities(val, ATTRIBUTE_ENTITY_RE))
+def _empty(kind: str) -> Column:
+    return F.array().cast(kind)
+
+
+def _table(pairs: dict[str, str]) -> Column:
+    """A constant map from text to text, made of one literal."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in pairs.items())), F.lit("\x01"), F.lit("\x02"))
+
+
+def fold(items: Column, state: dict[str, Column], grown: dict[str, str], step: Callable[[Column, Column], Column]) -> Column:
+    """Fold over an array.  ``step(acc, item)`` gives a struct of the new state and of what is appended to the ``grown`` arrays.
+    They grow in chunks, so that a long page isn't copied for each of its tokens."""
+    def merged(acc: Column, new: Column) -> Column:
+        return F.struct(*(new[k].alias(k) for k in state), *(F.concat(acc[k], new[k]).alias(k) for k in grown))
+
+    nothing = [_empty(t).alias(k) for k, t in grown.items()]
+
+    def chunk(acc: Column, at: Column, every: Column) -> Column:
+        part = F.aggregate(F.slice(every, at * CHUNK + 1, F.lit(CHUNK)), F.struct(*(acc[k].alias(k) for k in state), *nothing),
+                           lambda inner, item: bind(step(inner, item), lambda new: merged(inner, new)))
+        return bind(part, lambda new: merged(acc, new))
+
+    start = F.struct(*(v.alias(k) for k, v in state.items()), *nothing)
+    return bind(items, lambda every: F.aggregate(F.sequence(F.lit(0), (F.size(every) / CHUNK).cast("int")), start,
+                                                 lambda acc, at: chunk(acc, at, every)))
 
 
 # --------------------------------------------------------------------------
-# Tokens and elements
+# Tokens, elements and texts
 # --------------------------------------------------------------------------
 
-def tokenize(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """Pages ``(page_id, html, *carry)`` -> tokens ``(page_id, pos, kind, tag,
-    tok, ntok, *carry)``.  The raw pages are hash-partitioned by page_id once;
-    all later page-level windows reuse that partitioning."""
-    carry = carry or []
-    p = pages.select("page_id", "html", *carry).repartition("page_id")
-    arr = F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(TOKEN_RE), 0)
-    t = p.select("page_id", *carry, F.size(arr).alias("ntok"),
-                 F.posexplode(arr).alias("pos", "tok"))
-    tok = F.col("tok")
-    kind = (F.when(tok.startswith("<!--"), "comment")
-            .when(tok.rlike(r"(?is)^<(script|style)\b.*</(script|style)\s*>$"), "raw")
-            .when(tok.startswith("<!"), "decl")
-            .when(tok.rlike("^</[a-zA-Z]"), "close")
-            .when(tok.rlike("^<[a-zA-Z]"), "open")
-            .otherwise("text"))
-    tag = F.lower(F.regexp_extract(tok, r"^</?([a-zA-Z][^\s/>]*)", 1))
-    return t.select("page_id", *carry, "ntok", "pos", kind.alias("kind"), tag.alias("tag"), "tok")
-
-
-def texts(tokens: DataFrame) -> DataFrame:
-    """Text tokens ``(page_id, pos, txt)`` with entities decoded."""
-    return tokens.filter(F.col("kind") == "text") \
-        .select("page_id", "pos", decode_entities(F.col("tok")).alias("txt"))
-
-
-def _with_enclosing_end(el: DataFrame, closed: Column, end_col: str, probe: Column, out: str) -> DataFrame:
-    ev = F.when(closed, F.array(
-        F.struct((F.col("pos") * 2).alias("ord"), F.lit(1).alias("d"), F.lit(0).alias("role")),
-        F.struct((F.col(end_col) * 2 - 1).alias("ord"), F.lit(-1).alias("d"), F.lit(1).alias("role")),
-    )).otherwise(F.array(
-        F.struct((F.col("pos") * 2).alias("ord"), F.lit(0).alias("d"), F.lit(2).alias("role")),
-    ))
-    x = el.select("*", F.explode(ev).alias("e"))
-    x = x.withColumn("depth", F.sum("e.d").over(
-        Window.partitionBy("page_id").orderBy("e.ord").rowsBetween(_UNB, 0)))
-    x = x.withColumn("lvl", F.when(F.col("e.role") == 1, F.col("depth") + 1).otherwise(F.col("depth")))
-    w = Window.partitionBy("page_id", "lvl").orderBy(F.desc("e.ord")).rowsBetween(_UNB, -1)
-    x = x.withColumn("_nxt", F.last(F.when(F.col("e.role") == 1, F.col("e.ord")), ignorenulls=True).over(w))
-    keep = x.filter(F.col("e.role") != 1)
-    res = F.when(probe & (F.col("e.role") == 2), F.coalesce(((F.col("_nxt") + 1) / 2).cast("bigint"), F.col("ntok")))
-    return keep.withColumn(out, res).drop("e", "depth", "lvl", "_nxt")
-
-
-def elements(tokens: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """Element table ``(page_id, pos, end, depth, parent, tag, tok, id,
-    classes, href, aria_label, ntok, *carry)``.  ``end`` is exclusive."""
-    carry = carry or []
-    tg = tokens.filter(F.col("kind").isin("open", "close", "raw"))
-    kind, tag, tok = F.col("kind"), F.col("tag"), F.col("tok")
-    void = (kind == "raw") | ((kind == "open") & (tag.isin(*VOID_TAGS) | tok.rlike(r"/\s*>$")))
-    tg = tg.withColumn("void", void)
-    nv_open = (kind == "open") & ~F.col("void")
-
-    # per-tag nesting levels -> matching close tag
-    w_tag = Window.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(_UNB, 0)
-    run = F.sum(F.when(nv_open, 1).when(kind == "close", -1).otherwise(0)).over(w_tag)
-    tg = tg.withColumn("_run", run)
-    tg = tg.withColumn("_lvl", F.when(kind == "close", F.col("_run") + 1).otherwise(F.col("_run")))
-    w_lvl = Window.partitionBy("page_id", "tag", "_lvl").orderBy("pos")
-    tg = tg.withColumn("close_pos", F.when(nv_open & (F.lead("kind").over(w_lvl) == "close"),
-                                           F.lead("pos").over(w_lvl)))
-
-    # implied ends: next start tag that ends an element left open
-    w_next = Window.partitionBy("page_id").orderBy(F.desc("pos")).rowsBetween(_UNB, -1)
-    is_start = kind.isin("open", "raw")
-    nxt_p = F.last(F.when(is_start & tag.isin(*P_CLOSERS), F.col("pos")), ignorenulls=True).over(w_next)
-    groups = {}
-    for t, enders in IMPLIED_END.items():
-        groups.setdefault(tuple(enders), []).append(t)
-    barrier = F.when(tag == "p", nxt_p)
-    for enders, tags in groups.items():
-        nxt = F.last(F.when(is_start & tag.isin(*enders), F.col("pos")), ignorenulls=True).over(w_next)
-        barrier = barrier.when(tag.isin(*tags), nxt)
-    tg = tg.withColumn("barrier", barrier)
-
-    el = tg.filter(is_start).drop("_run", "_lvl")
-    matched = F.col("close_pos").isNotNull()
-    open_nv = ~F.col("void")
-    # pass A: ancestors = matched elements
-    el = _with_enclosing_end(el, open_nv & matched, "close_pos", open_nv & ~matched, "_encA")
-    end1 = (F.when(F.col("void"), F.col("pos") + 1)
-            .when(matched, F.col("close_pos"))
-            .when(F.col("barrier").isNotNull(), F.least(F.col("barrier"), F.col("_encA")))
-            .otherwise(F.col("_encA")))
-    el = el.withColumn("_end1", end1)
-    # pass B: ancestors also include elements ended by an implied end
-    closed_b = open_nv & (matched | F.col("barrier").isNotNull())
-    el = _with_enclosing_end(el, closed_b, "_end1", open_nv & ~closed_b, "_encB")
-    el = el.withColumn("end", F.when(open_nv & ~closed_b, F.col("_encB")).otherwise(F.col("_end1")))
-
-    # depth and parent from the final intervals
-    ev = F.array(F.struct((F.col("pos") * 2).alias("ord"), F.lit(1).alias("d")),
-                 F.struct((F.col("end") * 2 - 1).alias("ord"), F.lit(-1).alias("d")))
-    x = el.select("*", F.explode(ev).alias("e"))
-    x = x.withColumn("depth", F.sum("e.d").over(Window.partitionBy("page_id").orderBy("e.ord").rowsBetween(_UNB, 0)))
-    x = x.filter(F.col("e.d") == 1).drop("e")
-    roles = F.array(F.struct(F.col("depth").alias("lvl"), F.lit(True).alias("anchor")),
-                    F.struct((F.col("depth") - 1).alias("lvl"), F.lit(False).alias("anchor")))
-    y = x.select("*", F.explode(roles).alias("r"))
-    wp = Window.partitionBy("page_id", "r.lvl").orderBy("pos").rowsBetween(_UNB, -1)
-    y = y.withColumn("parent", F.last(F.when(F.col("r.anchor"), F.col("pos")), ignorenulls=True).over(wp))
-    y = y.filter(~F.col("r.anchor"))
-    cls = F.col("_cls")
-    return (y.withColumn("_cls", attr(tok, "class"))
-            .select("page_id", *carry, "ntok", "pos", "end", "depth", "parent", "tag", "tok",
-                    attr(tok, "id").alias("id"),
-                    F.when(cls.isNull(), F.array().cast("array<string>"))
-                     .otherwise(F.filter(F.split(F.trim(cls), r"[\t\n\f\r ]+"), lambda c: c != "")).alias("classes"),
-                    attr(tok, "href").alias("href"),
-                    attr(tok, "aria-label").alias("aria_label")))
+def _tokens(html: Column) -> Column:
+    """array<struct<pos, tok, kind, tag, ends, rank>>"""
+    marked = F.regexp_replace(F.coalesce(html.cast("string"), F.lit("")), "<(?![/!a-zA-Z])", STRAY)
+
+    def kind(tok: Column) -> Column:
+        return (F.when(~tok.startswith("<"), "text").when(tok.startswith("<!--"), "comment")
+                .when(tok.rlike(r"(?is)^<(script|style)\b.*</(script|style)\s*>$"), "void")
+                .when(tok.startswith("<!"), "comment").when(tok.rlike("^</[a-zA-Z]"), "close").when(tok.rlike("^<[a-zA-Z]"), "open")
+                .otherwise("text"))
+
+    ends = {t: f",{','.join(IMPLIED_END.get(t, []) + (['p', 'head'] if t in P_CLOSERS else []))}," for t in sorted({*P_CLOSERS, *IMPLIED_END})}
+    named = F.transform(F.regexp_extract_all(marked, F.lit(TOKEN_RE), 0), lambda tok, i: F.struct(
+        i.alias("pos"), tok.alias("tok"), kind(tok).alias("kind"),
+        F.lower(F.regexp_extract(tok, r"^</?([a-zA-Z][^\s/>]*)", 1)).alias("tag")))
+    empty_tag = lambda t: t["tag"].isin(*VOID_TAGS) | t["tok"].rlike(r"/\s*>$")                                  # noqa: E731
+    return F.transform(named, lambda t: F.struct(
+        t["pos"].alias("pos"), t["tok"].alias("tok"),
+        F.when((t["kind"] == "open") & empty_tag(t), "void").otherwise(t["kind"]).alias("kind"), t["tag"].alias("tag"),
+        F.coalesce(F.when(t["kind"] == "open", F.element_at(_table(ends), t["tag"])), F.lit("")).alias("ends"),
+        F.coalesce(F.element_at(_table({k: str(v) for k, v in CLOSE_RANK.items()}), t["tag"]).cast("int"), F.lit(100)).alias("rank")))
+
+
+def _kept(stack: Column, t: Column) -> Column:
+    """How many open elements stay open when tag ``t`` comes."""
+    n = F.size(stack)
+    ended = lambda e: F.contains(t["ends"], F.concat(F.lit(","), e["tag"], F.lit(",")))                       # noqa: E731
+    implied = F.aggregate(F.reverse(stack), F.struct(n.alias("n"), F.lit(True).alias("go")), lambda a, e: F.when(
+        a["go"] & ended(e), F.struct((a["n"] - 1).alias("n"), F.lit(True).alias("go"))).otherwise(F.struct(a["n"].alias("n"), F.lit(False).alias("go"))))["n"]
+    closed = F.aggregate(F.transform(stack, lambda e, i: F.struct(e["tag"].alias("tag"), e["rank"].alias("rank"), i.alias("i"))), F.lit(-1), lambda a, e: F.when(
+        e["tag"] == t["tag"], e["i"]).when(e["rank"] > t["rank"], F.lit(-1)).otherwise(a))
+    return (F.when(t["kind"] == "close", bind(closed, lambda i: F.when(i >= 0, i).otherwise(n)))
+            .when(F.get(stack, n - 1).isNotNull() & (t["ends"] != "") & ended(F.get(stack, n - 1)), implied).otherwise(n))
+
+
+def _after_tag(acc: Column, t: Column, keep: Column) -> Column:
+    stack, kind = acc["open"], t["kind"]
+    parent = F.get(stack, keep - 1)
+    me = F.struct(t["pos"].alias("pos"), t["tag"].alias("tag"), t["rank"].alias("rank"), t["tok"].alias("tok"), (keep + 1).alias("depth"),
+                  parent["pos"].alias("parent"), F.when(t["tag"].isin(*BOX_TAGS), t["tag"]).otherwise(F.coalesce(parent["box"], F.lit(""))).alias("box"),
+                  (t["tag"].isin(*DROP_TEXT_TAGS) | F.coalesce(parent["drop"], F.lit(False))).alias("drop"))
+    done = lambda e, end: F.struct(e["pos"].alias("pos"), end.alias("end"), e["depth"].alias("depth"), e["parent"].alias("parent"),
+                                   e["tag"].alias("tag"), e["tok"].alias("tok"))
+    ended = F.transform(F.slice(stack, keep + 1, F.size(stack) - keep), lambda e: done(e, t["pos"]))
+    left = F.when(keep == F.size(stack), stack).otherwise(F.slice(stack, F.lit(1), keep))
+    return F.struct(
+        F.when(kind == "open", F.concat(left, F.array(me))).otherwise(left).alias("open"),
+        F.when(kind == "void", F.concat(ended, F.array(bind(me, lambda e: done(e, t["pos"] + 1))))).otherwise(ended).alias("done"),
+        F.array(F.lit(None).cast(_TEXT)).alias("tx"))
+
+
+def _after_token(acc: Column, t: Column) -> Column:
+    top = F.get(acc["open"], F.size(acc["open"]) - 1)
+    text = F.struct(decode_entities(F.translate(t["tok"], STRAY, "<")).alias("txt"), F.coalesce(top["box"], F.lit("")).alias("box"),
+                    F.coalesce(top["drop"], F.lit(False)).alias("drop"))
+    plain = F.struct(acc["open"].alias("open"), _empty(_DONE).alias("done"), F.array(F.when(t["kind"] == "text", text)).alias("tx"))
+    return F.when(t["kind"].isin("text", "comment"), plain).otherwise(bind(_kept(acc["open"], t), lambda keep: _after_tag(acc, t, keep)))
+
+
+def _attributes(tok: Column) -> Column:
+    """struct<names, values> of a start tag: names in lower case, values without quotes, entities decoded.  Attributes are read
+    once, from left to right, so a name inside another one's value is none."""
+    body = F.regexp_replace(tok, r"(?is)^<[a-z][^\s/>]*+|/?>$", "")
+    names = F.transform(F.regexp_extract_all(body, F.lit(_ATTRIBUTE_RE), 1), lambda n: F.lower(n))
+    bare = lambda v: F.when(v.startswith('"') | v.startswith("'"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)      # noqa: E731
+    values = F.transform(F.regexp_extract_all(body, F.lit(_ATTRIBUTE_RE), 2), lambda v: decode_entities(bare(v), ATTRIBUTE_ENTITY_RE))
+    nothing = _empty("array<string>")
+    return F.when(F.length(body) > 1, F.struct(names.alias("names"), values.alias("values"))) \
+        .otherwise(F.struct(nothing.alias("names"), nothing.alias("values")))
+
+
+def _element(e: Column) -> Column:
+    """An element with its attributes."""
+    classes = lambda a: F.filter(F.split(F.coalesce(attribute(a, F.lit("class")), F.lit("")), r"[\t\n\f\r ]+"), lambda c: c != "")
+    return bind(_attributes(e["tok"]), lambda a: F.struct(
+        *(e[c].alias(c) for c in ("pos", "end", "depth", "parent", "tag", "tok")), a["names"].alias("names"), a["values"].alias("values"),
+        attribute(a, F.lit("id")).alias("id"), classes(a).alias("classes"), attribute(a, F.lit("href")).alias("href"),
+        attribute(a, F.lit("aria-label")).alias("aria_label")))
+
+
+def attr(tok: Column, name: str) -> Column:
+    """Value of attribute ``name`` in a start tag ('' for one without a value); null when absent."""
+    return bind(_attributes(tok), lambda a: attribute(a, F.lit(name)))
+
+
+def attribute(e: Column, name: Column) -> Column:
+    """Value of an element's attribute ('' for one without a value, the first of equal names); null when absent."""
+    return F.get(e["values"], F.array_position(e["names"], name).cast("int") - 1)
+
+
+def parse(html: Column) -> Column:
+    """struct<el, tx>: the elements in document order, and for every token its text (null for others) with the innermost
+    ``box`` around it and whether it stands in a subtree that the cleaner drops."""
+    tree = fold(_tokens(html), {"open": _empty(_OPEN)}, {"done": _DONE, "tx": f"array<{_TEXT}>"}, _after_token)
+    ended = lambda t: F.concat(t["done"], F.transform(t["open"], lambda e: F.struct(                                             # noqa: E731
+        e["pos"].alias("pos"), F.size(t["tx"]).alias("end"), e["depth"].alias("depth"), e["parent"].alias("parent"),
+        e["tag"].alias("tag"), e["tok"].alias("tok"))))
+    return bind(tree, lambda t: F.struct(F.transform(F.array_sort(ended(t)), _element).alias("el"), t["tx"].alias("tx")))
+
+
+def elements(pages: DataFrame) -> DataFrame:
+    """Element table ``(page_id, pos, end, depth, parent, tag, tok, names, values, id, classes, href, aria_label)`` of pages
+    ``(page_id, html)``.  ``end`` is exclusive."""
+    return pages.select("page_id", F.inline_outer(parse(F.col("html"))["el"])).filter("pos IS NOT NULL")
 
 
 # --------------------------------------------------------------------------
 # selectors
 # --------------------------------------------------------------------------
 
+#: One compound of a selector: ``prev`` is the state before it (-1: none), which must have matched the parent (``child``) or any
+#: element around; the last one of a selector has a ``label``.
+STATES = ("array<struct<id:int,prev:int,child:boolean,label:string,tag:string,ids:array<string>,classes:array<string>,"
+          "attrs:array<struct<name:string,op:string,value:string>>>>")
+
+
 @dataclass
 class Compound:
     tag: str | None = None
@@ -262,187 +293,144 @@ def parse_selector(css: str) -> list[list[tuple[str, Compound]]]:
     return out
 
 
-def _attr_value(name: str) -> Column:
-    if name == "class":
-        return F.when(F.size("classes") > 0, F.array_join("classes", " "))
-    if name == "id":
-        return F.col("id")
-    if name == "href":
-        return F.col("href")
-    return attr(F.col("tok"), name)
-
-
-def compound_match(c: Compound) -> Column:
-    cond = F.lit(True)
-    if c.tag:
-        cond = cond & (F.col("tag") == c.tag)
-    for i in c.ids:
-        cond = cond & (F.coalesce(F.col("id"), F.lit("")) == i)
-    for k in c.classes:
-        cond = cond & F.array_contains("classes", k)
-    for name, op, val in c.attrs:
-        v = _attr_value(name)
-        if op is None:
-            cond = cond & v.isNotNull()
-        elif op == "=":
-            cond = cond & (v == val)
-        elif op == "*=":
-            cond = cond & (F.lit(val != "") & v.contains(val))
-        elif op == "^=":
-            cond = cond & (F.lit(val != "") & v.startswith(val))
-        elif op == "$=":
-            cond = cond & (F.lit(val != "") & v.endswith(val))
-        elif op == "~=":
-            cond = cond & F.array_contains(F.split(F.coalesce(v, F.lit("")), r"[\t\n\f\r ]+"), val)
-        elif op == "|=":
-            cond = cond & ((v == val) | v.startswith(val + "-"))
-    return F.coalesce(cond, F.lit(False))
-
-
-def _descendant_of(el: DataFrame, anchor: str, cand: Column, out: str) -> DataFrame:
-    """``out`` = cand AND some strict ancestor has flag ``anchor``: running
-    count of open anchor elements in document order."""
-    a = F.col(anchor)
-    ev = F.array(F.struct((F.col("pos") * 2).alias("ord"), F.lit(0).alias("sub"),
-                          F.lit(0).alias("d"), F.lit(True).alias("me")),
-                 F.struct((F.col("pos") * 2).alias("ord"), F.lit(1).alias("sub"),
-                          F.when(a, 1).otherwise(0).alias("d"), F.lit(False).alias("me")),
-                 F.struct((F.col("end") * 2 - 1).alias("ord"), F.lit(0).alias("sub"),
-                          F.when(a, -1).otherwise(0).alias("d"), F.lit(False).alias("me")))
-    x = el.select("*", F.explode(ev).alias("_e"))
-    x = x.withColumn("_open", F.sum("_e.d").over(
-        Window.partitionBy("page_id").orderBy("_e.ord", "_e.sub").rowsBetween(_UNB, 0)))
-    return x.filter(F.col("_e.me")).withColumn(out, cand & (F.col("_open") > 0)).drop("_e", "_open")
-
-
-def _child_of(el: DataFrame, anchor: str, cand: Column, out: str) -> DataFrame:
-    """``out`` = cand AND the parent has flag ``anchor`` (keyed window)."""
-    roles = F.array(F.struct(F.col("pos").alias("k"), F.lit(True).alias("anchor")),
-                    F.struct(F.col("parent").alias("k"), F.lit(False).alias("anchor")))
-    x = el.select("*", F.explode(roles).alias("_r"))
-    x = x.withColumn("_pa", F.max(F.when(F.col("_r.anchor"), F.col(anchor))).over(
-        Window.partitionBy("page_id", "_r.k")))
-    return x.filter(~F.col("_r.anchor")) \
-        .withColumn(out, cand & F.coalesce(F.col("_pa"), F.lit(False))).drop("_r", "_pa")
-
-
-def mark(el: DataFrame, css: str, out: str, scope: Column | None = None) -> DataFrame:
-    """Add boolean column ``out``: element matches selector list ``css``
-    (document order is ``pos``).  ``scope`` restricts matches to some rows
-    (e.g. pages whose rule uses this selector)."""
-    alts = parse_selector(css)
-    flags = []
-    for ai, steps in enumerate(alts):
-        name = f"{out}__a{ai}"
-        el = el.withColumn(name, compound_match(steps[0][1]))
-        for si, (comb, comp) in enumerate(steps[1:], 1):
-            nxt = f"{out}__a{ai}s{si}"
-            if comb == ">":
-                el = _child_of(el, name, compound_match(comp), nxt)
-            else:
-                el = _descendant_of(el, name, compound_match(comp), nxt)
-            el = el.drop(name)
-            name = nxt
-        flags.append(name)
-    res = F.lit(False)
-    for f in flags:
-        res = res | F.col(f)
-    if scope is not None:
-        res = res & F.coalesce(scope, F.lit(False))
-    return el.withColumn(out, res).drop(*flags)
-
-
-def first_inside(el: DataFrame, flags: dict[str, str]) -> DataFrame:
-    """For every element, the position of the first element strictly
-    inside it that has flag ``flags[out]`` -> column ``out`` (null if none).
-    One window pass for all flags: the nearest flagged element after ``pos``
-    in document order, kept if it starts before ``end``."""
-    w = Window.partitionBy("page_id").orderBy(F.desc("pos")).rowsBetween(_UNB, -1)
-    for out, flag in flags.items():
-        el = el.withColumn(out, F.last(F.when(F.col(flag), F.col("pos")), ignorenulls=True).over(w))
-    for out in flags:
-        el = el.withColumn(out, F.when(F.col(out) < F.col("end"), F.col(out)))
-    return el
+def state_table(selectors: list[tuple[str, str]]) -> list[tuple]:
+    """The states of all (label, selector) pairs, for ``label``: rows of ``STATES``."""
+    out: list[tuple] = []
+    for label_name, css in selectors:
+        for steps in parse_selector(css):
+            for i, (comb, c) in enumerate(steps):
+                out.append((len(out), len(out) - 1 if i else -1, comb == ">", label_name if i == len(steps) - 1 else None, c.tag, c.ids, c.classes,
+                            [(n, op or "", v) for n, op, v in c.attrs]))
+    return out
+
+
+def states(selectors: list[tuple[str, str]]) -> Column:
+    """The state table of a few selectors as a constant."""
+    rows = [dict(zip(("id", "prev", "child", "label", "tag", "ids", "classes", "attrs"), r)) for r in state_table(selectors)]
+    for r in rows:
+        r["attrs"] = [dict(zip(("name", "op", "value"), a)) for a in r["attrs"]]
+    return F.from_json(F.lit(json.dumps(rows)), STATES)
+
+
+def _fits(s: Column, e: Column) -> Column:
+    """The compound of state ``s`` matches element ``e``, whatever is around it."""
+    def holds(a: Column) -> Column:
+        v = F.when(a["name"] == "class", F.when(F.size(e["classes"]) > 0, F.array_join(e["classes"], " "))).otherwise(attribute(e, a["name"]))
+        filled = a["value"] != ""
+        return (F.when(a["op"] == "", v.isNotNull()).when(a["op"] == "=", v == a["value"])
+                .when(a["op"] == "*=", filled & F.contains(v, a["value"])).when(a["op"] == "^=", filled & F.startswith(v, a["value"]))
+                .when(a["op"] == "$=", filled & F.endswith(v, a["value"]))
+                .when(a["op"] == "~=", F.array_contains(F.split(F.coalesce(v, F.lit("")), r"[\t\n\f\r ]+"), a["value"]))
+                .otherwise((v == a["value"]) | F.startswith(v, F.concat(a["value"], F.lit("-")))))
+
+    return ((s["tag"].isNull() | (s["tag"] == e["tag"])) & F.forall(s["classes"], lambda c: F.array_contains(e["classes"], c))
+            & F.forall(s["ids"], lambda i: F.coalesce(e["id"], F.lit("")) == i) & F.forall(s["attrs"], lambda a: F.coalesce(holds(a), F.lit(False))))
+
+
+def label(el: Column, table: Column) -> Column:
+    """For every element the labels of the selectors that match it.  The states that elements around have reached are
+    kept on a stack, so all selectors of any number of rules are one fold over the page."""
+    def step(acc: Column, e: Column, every: Column) -> Column:
+        around = F.filter(acc["open"], lambda x: x["end"] > e["pos"])
+
+        def after(stack: Column) -> Column:
+            top = F.get(stack, F.size(stack) - 1)
+            reached = lambda s: F.coalesce(F.when(s["prev"] < 0, True).when(s["child"], F.array_contains(top["own"], s["prev"]))     # noqa: E731
+                                           .otherwise(F.array_contains(top["any"], s["prev"])), F.lit(False))
+            none = F.coalesce(top["any"], _empty("array<int>"))
+
+            def push(hit: Column) -> Column:
+                own = F.transform(hit, lambda s: s["id"])
+                mine = F.struct(e["end"].alias("end"), own.alias("own"),
+                                F.when(F.size(hit) > 0, F.array_union(none, own)).otherwise(none).alias("any"))
+                labels = F.array_distinct(F.transform(F.filter(hit, lambda s: s["label"].isNotNull()), lambda s: s["label"]))
+                return F.struct(F.when(e["end"] > e["pos"] + 1, F.concat(stack, F.array(mine))).otherwise(stack).alias("open"),
+                                F.array(labels).alias("labels"))
+
+            return bind(F.filter(every, lambda s: _fits(s, e) & reached(s)), push)
+
+        return bind(around, after)
+
+    return bind(table, lambda every: fold(el, {"open": _empty("array<struct<end:int,own:array<int>,any:array<int>>>")},
+                                          {"labels": "array<array<string>>"}, lambda acc, e: step(acc, e, every))["labels"])
+
+
+_PLACE = "struct<pos:int,end:int,tag:string,href:string,aria_label:string>"
+
+
+def place(e: Column) -> Column:
+    """What later steps need of an element."""
+    return F.struct(*(e[c].alias(c) for c in ("pos", "end", "tag", "href", "aria_label")))
+
+
+def matching(el: Column, labels: Column, name: Column) -> Column:
+    """The places of the elements that have label ``name``, in document order."""
+    pairs = F.filter(F.arrays_zip(el.alias("e"), labels.alias("l")), lambda p: F.array_contains(p["l"], name))
+    return F.transform(pairs, lambda p: place(p["e"]))
+
+
+def firsts(el: Column, labels: Column, slots: list[str], name: Column) -> Column:
+    """For every element with label ``name``, in document order, ``at`` (its place) and ``first``: for each slot the first
+    element strictly inside it with that label, or null.  One pass from the page's end, with the next of each slot at hand."""
+    wanted = F.array(*map(F.lit, slots))
+
+    def step(acc: Column, p: Column) -> Column:
+        e, has = p["e"], p["l"]
+        inside = F.transform(acc["next"], lambda x: F.when(x["pos"] < e["end"], x))
+        found = F.array(F.struct(place(e).alias("at"), inside.alias("first")))
+        after = F.when(F.size(has) == 0, acc["next"]).otherwise(
+            F.transform(acc["next"], lambda x, i: F.when(F.array_contains(has, F.get(wanted, i)), place(e)).otherwise(x)))
+        kind = f"array<struct<at:{_PLACE},first:array<{_PLACE}>>>"
+        return F.struct(after.alias("next"), F.when(F.array_contains(has, name), found).otherwise(_empty(kind)).alias("out"))
+
+    start = F.array_repeat(F.lit(None).cast(_PLACE), len(slots))
+    back = F.reverse(F.arrays_zip(el.alias("e"), labels.alias("l")))
+    return F.reverse(fold(back, {"next": start}, {"out": f"array<struct<at:{_PLACE},first:array<{_PLACE}>>>"}, step)["out"])
 
 
 # --------------------------------------------------------------------------
-# E5: text of selected elements
+# E5: text of elements
 # --------------------------------------------------------------------------
 
-def element_text(targets: DataFrame, elems: DataFrame, txt: DataFrame) -> DataFrame:
-    """E5 for a set of target elements ``(page_id, pos, end)``:
-    ``strip_text`` = stripped text strings joined with '' (script/style
-    excluded, as a tree's get_text(strip=True)), ``nl_text`` = strings joined
-    with '\\n' without script/style/noscript/iframe/svg subtrees (the HTML
-    cleaner's input), ``lines_text`` = stripped strings joined with '\\n'.
-
-    Each text token is assigned to every open target by target nesting
-    level (usually one), so the work is proportional to the output."""
-    tg = targets.select("page_id", "pos", "end").distinct()
-    drop = elems.filter(F.col("tag").isin(*DROP_TEXT_TAGS) & (F.col("end") > F.col("pos") + 1)) \
-        .select("page_id", "pos", "end")
-    ev_t = tg.select("page_id", F.explode(F.array(
-        F.struct((F.col("pos") * 2).alias("ord"), F.lit(1).alias("dt"), F.lit(0).alias("dd"),
-                 F.col("pos").alias("tpos"), F.lit(None).cast("string").alias("txt")),
-        F.struct((F.col("end") * 2 - 1).alias("ord"), F.lit(-1).alias("dt"), F.lit(0).alias("dd"),
-                 F.lit(None).cast("bigint").alias("tpos"), F.lit(None).cast("string").alias("txt")))).alias("e"))
-    ev_d = drop.select("page_id", F.explode(F.array(
-        F.struct((F.col("pos") * 2).alias("ord"), F.lit(0).alias("dt"), F.lit(1).alias("dd"),
-                 F.lit(None).cast("bigint").alias("tpos"), F.lit(None).cast("string").alias("txt")),
-        F.struct((F.col("end") * 2 - 1).alias("ord"), F.lit(0).alias("dt"), F.lit(-1).alias("dd"),
-                 F.lit(None).cast("bigint").alias("tpos"), F.lit(None).cast("string").alias("txt")))).alias("e"))
-    ev_x = txt.select("page_id", F.struct((F.col("pos") * 2).alias("ord"), F.lit(0).alias("dt"),
-                                          F.lit(0).alias("dd"), F.lit(None).cast("bigint").alias("tpos"),
-                                          F.col("txt").alias("txt")).alias("e"))
-    ev = ev_t.unionByName(ev_d).unionByName(ev_x).select("page_id", "e.*")
-    w = Window.partitionBy("page_id").orderBy("ord").rowsBetween(_UNB, 0)
-    ev = ev.withColumn("k", F.sum("dt").over(w)).withColumn("ind", F.sum("dd").over(w) > 0)
-    # targets keep their nesting level; text rows fan out to every open level
-    ev = ev.filter(F.col("tpos").isNotNull() | (F.col("txt").isNotNull() & (F.col("k") > 0)))
-    ev = ev.withColumn("j", F.explode(F.when(F.col("tpos").isNotNull(), F.array(F.col("k")))
-                                      .otherwise(F.sequence(F.lit(1), F.col("k")))))
-    wj = Window.partitionBy("page_id", "j").orderBy("ord").rowsBetween(_UNB, 0)
-    ev = ev.withColumn("owner", F.last("tpos", ignorenulls=True).over(wj)).filter(F.col("txt").isNotNull())
-    agg = ev.groupBy("page_id", "owner").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "txt", "ind"))).alias("parts"))
-    stripped = F.filter(F.transform("parts", lambda p: py_strip(p["txt"])), lambda s: s != "")
-    return agg.select(
-        "page_id", F.col("owner").alias("pos"),
-        F.array_join(stripped, "").alias("strip_text"),
-        F.array_join(F.transform(F.filter("parts", lambda p: ~p["ind"]), lambda p: p["txt"]), "\n").alias("nl_text"),
-        F.array_join(stripped, "\n").alias("lines_text"))
-
-
-def with_text(targets: DataFrame, elems: DataFrame, txt: DataFrame, pos_col: str, prefix: str) -> DataFrame:
-    """Attach E5 texts of the element at ``pos_col`` as ``{prefix}_strip``,
-    ``{prefix}_nl``, ``{prefix}_lines`` (elements without text get '')."""
-    tgt = targets.filter(F.col(pos_col).isNotNull()) \
-        .select("page_id", F.col(pos_col).alias("pos"), F.col(f"{prefix}_end").alias("end"))
-    t = element_text(tgt, elems, txt).select(
-        "page_id", F.col("pos").alias(pos_col),
-        F.col("strip_text").alias(f"{prefix}_strip"), F.col("nl_text").alias(f"{prefix}_nl"),
-        F.col("lines_text").alias(f"{prefix}_lines"))
-    out = targets.join(t, ["page_id", pos_col], "left")
-    for s in ("strip", "nl", "lines"):
-        c = f"{prefix}_{s}"
-        out = out.withColumn(c, F.when(F.col(pos_col).isNotNull(), F.coalesce(F.col(c), F.lit(""))))
-    return out
+def _strings(tx: Column, e: Column, cleaned: bool = False) -> Column:
+    """The text strings inside an element; those inside a box count only for a box of that name."""
+    own = F.when(e["tag"].isin(*BOX_TAGS), e["tag"]).otherwise("")
+    inside = F.filter(F.slice(tx, e["pos"] + 2, F.greatest(e["end"] - e["pos"] - 1, F.lit(0))),
+                      lambda t: t.isNotNull() & (t["box"] == own) & (~t["drop"] if cleaned else F.lit(True)))
+    return F.transform(inside, lambda t: t["txt"])
+
+
+def _stripped(tx: Column, e: Column) -> Column:
+    return F.filter(F.transform(_strings(tx, e), py_strip), lambda s: s != "")
+
+
+def strip_text(tx: Column, e: Column) -> Column:
+    """Stripped strings joined with '', as a tree's get_text(strip=True); null for no element."""
+    return F.when(e.isNotNull(), F.array_join(_stripped(tx, e), ""))
+
+
+def lines_text(tx: Column, e: Column) -> Column:
+    """Stripped strings joined with a line break."""
+    return F.when(e.isNotNull(), F.array_join(_stripped(tx, e), "\n"))
 
 
-def node_lookup(rows: DataFrame, elems: DataFrame, pos_col: str, prefix: str,
-                cols=("end", "tag", "href", "aria_label")) -> DataFrame:
-    """Attach columns of the element at ``pos_col`` (equi-join on
-    (page_id, pos): one match per row, no fan-out)."""
-    e = elems.select("page_id", F.col("pos").alias(pos_col),
-                     *[F.col(c).alias(f"{prefix}_{c}") for c in cols])
-    return rows.join(e, ["page_id", pos_col], "left")
+def clean_text(tx: Column, e: Column) -> Column:
+    """P5 of an element: its strings but for dropped subtrees, one a line, normalised."""
+    return F.when(e.isNotNull(), normalize_text(F.array_join(_strings(tx, e, cleaned=True), "\n")))
+
+
+def clean_html(html: Column) -> Column:
+    """P5: HTML fragment -> text.  Script, style, noscript, iframe and svg subtrees are dropped, nested or left open as well; the
+    other strings are joined with line breaks and normalised."""
+    kept = F.filter(parse(html)["tx"], lambda t: t.isNotNull() & (t["box"] == "") & ~t["drop"])
+    return normalize_text(F.array_join(F.transform(kept, lambda t: t["txt"]), "\n"))
+
+
+def page_text(tx: Column) -> Column:
+    """All strings of a page, joined."""
+    return F.array_join(F.transform(F.filter(tx, lambda t: t.isNotNull() & (t["box"] == "")), lambda t: t["txt"]), "")
 
 
 def normalize_ws(c: Column) -> Column:
     """' '.join(text.split())"""
-    from ..functions.text import WS
     return F.regexp_replace(py_strip(c), WS + "+", " ")
-
-
-__all__ = ["tokenize", "texts", "elements", "parse_selector", "mark", "first_inside",
-           "element_text", "with_text", "node_lookup", "attr", "normalize_text", "normalize_ws"]

@@ -3,6 +3,8 @@ coverage job (C1-C4)."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from ..functions.text import ascii_preview
 from ..functions.urls import url_domain
 from ..sources.pages import latest_pages
 from ..sources.rules import SLOTS, RuleSet, broadcast_if_small
-from .html import mark, with_text, node_lookup
+from .extract import first_by
+from .html import STATES, bind, firsts, label, matching, parse, state_table, states, strip_text
 
 # Site statuses and reasons of the run report.
 STATUS_OK = "成功"
@@ -142,45 +145,60 @@ def coverage_plan(rules: RuleSet) -> list[tuple]:
     return rows
 
 
-def selector_coverage(pg: DataFrame, el: DataFrame, tx: DataFrame, rules: RuleSet, preview: int = 3):
+PLAN = "array<struct<rule_set:string,slot_no:int,slot:string,selector:string>>"
+
+
+def coverage_frame(rules: RuleSet, spark) -> DataFrame:
+    """One row per domain with an entry: ``plan``, its slots and the generic ones with their selectors, and the ``states`` of these
+    selectors, labelled with their text."""
+    rows, plan = [], coverage_plan(rules)
+    generic = _generic_slots(rules)
+    for domain in dict.fromkeys(r[0] for r in plan if r[0] is not None):
+        own = [r[1:] for r in plan if r[0] == domain] + generic
+        rows.append((domain, own, state_table(_selectors(own))))
+    return spark.createDataFrame(rows, f"domain string, plan {PLAN}, states {STATES}")
+
+
+def _generic_slots(rules: RuleSet) -> list[tuple]:
+    return [r[1:] for r in coverage_plan(rules) if r[0] is None]
+
+
+def _selectors(slots: list[tuple]) -> list[tuple[str, str]]:
+    return [(css, css) for css in dict.fromkeys(r[3] for r in slots) if css]
+
+
+def selector_coverage(pages: DataFrame, rules: RuleSet, preview: int = 3):
     """C1 + K2: per page, rule set (site when the domain has an entry, then
     generic) and slot: the selector, its number of matches in the whole page
     and OK/FAIL (empty selector: not configured), plus the first ``preview``
     matches' stripped text (ASCII preview of 80 chars).
-    Returns (coverage, previews)."""
-    spark = pg.sparkSession
-    plan = coverage_plan(rules)
-    selectors = sorted({r[4] for r in plan if r[4]})
-    names = {}
-    for i, css in enumerate(selectors):
-        el = mark(el, css, f"_s{i}")
-        names[css] = f"_s{i}"
-    stacked = el.select("page_id", "pos", "end", F.explode(F.array(*[
-        F.struct(F.lit(css).alias("selector"), F.col(n).alias("hit")) for css, n in names.items()])).alias("x")) \
-        .filter(F.col("x.hit")).select("page_id", "pos", "end", F.col("x.selector").alias("selector"))
-    counts = stacked.groupBy("page_id", "selector").agg(F.count(F.lit(1)).alias("matches"))
-    pages = pg.select("page_id", "domain")
-    site_plan = [r for r in plan if r[0] is not None]
-    cols = ["rule_set", "slot_no", "slot", "selector"]
-    site_df = spark.createDataFrame(site_plan, "domain string, rule_set string, slot_no int, slot string, selector string")
-    site = pages.join(broadcast_if_small(site_df, len(site_plan)), "domain")
-    generic = pages.select("page_id", "domain", F.inline(F.array(*[
-        F.struct(F.lit(r[1]).alias("rule_set"), F.lit(r[2]).alias("slot_no"), F.lit(r[3]).alias("slot"),
-                 F.lit(r[4]).alias("selector")) for r in plan if r[0] is None])))
-    cov = site.select("page_id", "domain", *cols).unionByName(generic) \
-        .join(counts, ["page_id", "selector"], "left")
-    m = F.coalesce(F.col("matches"), F.lit(0)).cast("bigint")
-    cov = cov.select("page_id", "domain", "rule_set", "slot_no", "slot",
-                     F.when(F.col("selector") == "", F.lit(NOT_CONFIGURED)).otherwise(F.col("selector")).alias("selector"),
-                     F.when(F.col("selector") == "", F.lit(0).cast("bigint")).otherwise(m).alias("matches"),
-                     F.when(F.col("selector") == "", F.lit("NOT_CONFIGURED"))
-                      .when(m > 0, F.lit("OK")).otherwise(F.lit("FAIL")).alias("status"))
-    w = Window.partitionBy("page_id", "selector").orderBy("pos")
-    first = stacked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= preview)
-    first = first.withColumnRenamed("pos", "epos").withColumnRenamed("end", "e_end")
-    first = with_text(first, el, tx, "epos", "e")
-    prev = first.select("page_id", "selector", F.col("rank").cast("bigint").alias("rank"),
-                        ascii_preview(F.col("e_strip"), 80).alias("preview"))
+    Returns (coverage, previews).  All selectors of a page's rules are run in
+    one fold over the page, so the plan is the same for any number of rules."""
+    frame = coverage_frame(rules, pages.sparkSession)
+    generic = _generic_slots(rules)
+    others = F.from_json(F.lit(json.dumps([dict(zip(("rule_set", "slot_no", "slot", "selector"), r)) for r in generic])), PLAN)
+    rows = pages.select("page_id", "html", url_domain(F.col("url")).alias("domain")) \
+        .join(broadcast_if_small(frame, frame.count()), "domain", "left") \
+        .select("page_id", "domain", "html", F.coalesce("plan", others).alias("plan"), F.coalesce("states", states(_selectors(generic))).alias("states"))
+
+    def counted(has: Column, p: Column) -> Column:
+        hits = F.size(F.filter(has, lambda x: F.array_contains(x, p["selector"]))).cast("bigint")
+        status = lambda m: F.when(p["selector"] == "", "NOT_CONFIGURED").when(m > 0, "OK").otherwise("FAIL")               # noqa: E731
+        return bind(hits, lambda m: F.struct(
+            p["rule_set"].alias("rule_set"), p["slot_no"].alias("slot_no"), p["slot"].alias("slot"),
+            F.when(p["selector"] == "", NOT_CONFIGURED).otherwise(p["selector"]).alias("selector"), m.alias("matches"), status(m).alias("status")))
+
+    def shown(el: Column, tx: Column, has: Column, css: Column) -> Column:
+        some = F.slice(matching(el, has, css), F.lit(1), F.lit(preview))
+        return F.transform(some, lambda e, i: F.struct(css.alias("selector"), (i + 1).cast("bigint").alias("rank"),
+                                                       ascii_preview(strip_text(tx, e), 80).alias("preview")))
+
+    slots, table = F.col("plan"), F.col("states")
+    labelled = lambda use: bind(parse(F.col("html")), lambda p: bind(label(p["el"], table), lambda has: use(p, has)))       # noqa: E731
+    cov = rows.select("page_id", "domain", F.inline(labelled(lambda p, has: F.transform(slots, lambda s: counted(has, s)))))
+    configured = F.array_distinct(F.transform(F.filter(slots, lambda s: s["selector"] != ""), lambda s: s["selector"]))
+    prev = rows.select("page_id", F.inline_outer(labelled(lambda p, has: F.flatten(F.transform(
+        configured, lambda css: shown(p["el"], p["tx"], has, css)))))).filter("selector IS NOT NULL")
     return cov, prev
 
 
@@ -190,23 +208,22 @@ def tag_counts(el: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
 
 
-def linked_headings(el: DataFrame, tx: DataFrame) -> DataFrame:
+def linked_headings(pages: DataFrame) -> DataFrame:
     """Headings (h2, then h3, then h4) that contain a link: the first
     link's href and the heading's stripped text; first heading per distinct
     text within the page."""
-    from .html import first_inside
-    e = el.withColumn("_a", F.col("tag") == "a")
-    e = first_inside(e, {"link_pos": "_a"})
-    h = e.filter(F.col("tag").isin(*HEADING_TAGS) & F.col("link_pos").isNotNull()) \
-        .select("page_id", F.col("pos").alias("hpos"), F.col("end").alias("h_end"), "tag", "link_pos")
-    h = node_lookup(h, el, "link_pos", "ln", ("href",))
-    h = with_text(h, el, tx, "hpos", "h")
-    h = h.filter(F.col("h_strip") != "")
-    order = F.array_position(F.array(*[F.lit(t) for t in HEADING_TAGS]), F.col("tag"))
-    w = Window.partitionBy("page_id", "h_strip").orderBy(order, "hpos")
-    h = h.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-    return h.select("page_id", "tag", F.col("hpos").alias("pos"),
-                    F.coalesce(F.col("ln_href"), F.lit("")).alias("href"), F.col("h_strip").alias("text"))
+    table = states([("link", "a"), ("heading", ", ".join(HEADING_TAGS))])
+    order = F.array(*[F.lit(t) for t in HEADING_TAGS])
+
+    def headings(el: Column, tx: Column, has: Column) -> Column:
+        linked = F.filter(firsts(el, has, ["link"], F.lit("heading")), lambda h: F.get(h["first"], F.lit(0)).isNotNull())
+        rows = F.transform(linked, lambda h: F.struct(
+            F.array_position(order, h["at"]["tag"]).alias("_order"), h["at"]["pos"].alias("pos"), h["at"]["tag"].alias("tag"),
+            F.coalesce(F.get(h["first"], F.lit(0))["href"], F.lit("")).alias("href"), strip_text(tx, h["at"]).alias("text")))
+        return first_by(F.array_sort(F.filter(rows, lambda h: h["text"] != "")), "text")
+
+    found = bind(parse(F.col("html")), lambda p: bind(label(p["el"], table), lambda has: headings(p["el"], p["tx"], has)))
+    return pages.select("page_id", F.inline_outer(found)).filter("pos IS NOT NULL").select("page_id", "tag", "pos", "href", "text")
 
 
 def undated_articles(articles: DataFrame) -> DataFrame:

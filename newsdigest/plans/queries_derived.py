@@ -107,8 +107,7 @@ def q_derived_account_fields(spark, d):
 @register("derived_linked_headings", """SELECT doc_id AS page_id, 'h2' AS tag, '/j/' || doc_id AS href, 'Same' AS text FROM documents
 UNION ALL SELECT doc_id, 'h3', '/i/' || doc_id || '?a=1&copy=2', 'xLinked ' || doc_id FROM documents""")
 def q_derived_linked_headings(spark, d):
-    pg, el, tx = extract.page_nodes(_pages(spark, d, ACCOUNT_PAGES, HEADINGS))
-    return report.linked_headings(el, tx).select("page_id", "tag", "href", "text")
+    return report.linked_headings(_pages(spark, d, ACCOUNT_PAGES, HEADINGS)).select("page_id", "tag", "href", "text")
 
 
 @register("derived_blocked_search", "SELECT doc_id, doc_id % 3 = 0 AS blocked FROM documents")

@@ -6,7 +6,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import digest as G
@@ -24,9 +24,10 @@ from .queries import (ACCOUNT_MATCH_SQL, DOC_ARTICLES_SQL, HIT_LINK_SQL, HIT_TIM
 
 AS_OF, AS_OF_TS = X.AS_OF, X.AS_OF_TS
 
-def _nodes(spark, d, rules: RuleSet | None = None):
-    rules = rules if rules is not None else X.fixture_rules()
-    return extract.page_nodes(_t(spark, d, "pages"), rules)
+def _labelled(selectors: list[tuple[str, str]], use) -> Column:
+    """``use(elements, texts, labels)`` of every page."""
+    return html.bind(html.parse(F.col("html")), lambda p: html.bind(
+        html.label(p["el"], html.states(selectors)), lambda has: use(p["el"], p["tx"], has)))
 
 AS_OF_TS_SQL = "TIMESTAMP '2024-01-30 23:59:59'"
 WS = T.WS
@@ -124,8 +125,7 @@ def _numbered(arts: DataFrame) -> DataFrame:
 @register("html_nodes", """SELECT page_id, lower(t) AS tag, count(*) AS n
 FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS t FROM pages) x GROUP BY 1, 2""")
 def q_html_nodes(spark, d):
-    pg, el, tx = _nodes(spark, d)
-    return el.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return html.elements(_t(spark, d, "pages")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 SELECT_ALL = {
@@ -144,27 +144,16 @@ SELECT_ALL = {
 @register("select_all", " UNION ALL ".join(
     f"SELECT page_id, {Q.q(css)} AS selector, {expr} AS n FROM pages" for css, expr in SELECT_ALL.items()))
 def q_select_all(spark, d):
-    pg, el, tx = _nodes(spark, d)
-    names = []
-    for i, css in enumerate(SELECT_ALL):
-        el = html.mark(el, css, f"s{i}")
-        names.append(f"s{i}")
-    counts = el.groupBy("page_id").agg(*[F.sum(F.col(n).cast("bigint")).alias(n) for n in names])
-    return counts.select("page_id", F.inline(F.array(*[
-        F.struct(F.lit(css).alias("selector"), F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias("n"))
-        for css, n in zip(SELECT_ALL, names)])))
+    counts = lambda el, tx, has: F.array(*(F.struct(F.lit(css).alias("selector"), F.size(F.filter(                    # noqa: E731
+        has, lambda x: F.array_contains(x, css))).cast("bigint").alias("n")) for css in SELECT_ALL))
+    return _t(spark, d, "pages").select("page_id", F.inline(_labelled([(css, css) for css in SELECT_ALL], counts)))
 
 
 @register("select_first", f"""SELECT page_id, CAST(ord AS BIGINT) AS k, {Q.decode('href')} AS href FROM ({NAV_LINKS_SQL}) n""")
 def q_select_first(spark, d):
-    pg, el, tx = _nodes(spark, d)
-    el = html.mark(el, "nav li", "c")
-    el = html.mark(el, "a", "a")
-    el = html.first_inside(el, {"first_a": "a"})
-    c = el.filter(F.col("c")).select("page_id", F.col("pos").alias("cpos"), "first_a")
-    c = html.node_lookup(c, el, "first_a", "fa", ("href",))
-    w = Window.partitionBy("page_id").orderBy("cpos")
-    return c.select("page_id", F.row_number().over(w).cast("bigint").alias("k"), F.col("fa_href").alias("href"))
+    found = _labelled([("c", "nav li"), ("a", "a")], lambda el, tx, has: F.transform(
+        html.firsts(el, has, ["a"], "c"), lambda c, i: F.struct((i + 1).cast("bigint").alias("k"), F.get(c["first"], F.lit(0))["href"].alias("href"))))
+    return _t(spark, d, "pages").select("page_id", F.inline_outer(found)).filter("k IS NOT NULL")
 
 
 FALLBACK_RULES = {GENERIC_KEY: {"article_list_css": "div.ad li"},
@@ -175,27 +164,21 @@ FALLBACK_RULES = {GENERIC_KEY: {"article_list_css": "div.ad li"},
   THEN {_count(NAV_SQL, '<li[ >]')} ELSE {_count('html', '<article[ >]')} END AS n_containers,
   {DOMAIN_SQL} <> 'blog.tionsh.example.net' AS fallback FROM pages""")
 def q_container_fallback(spark, d):
-    rules = RuleSet(FALLBACK_RULES)
-    pg, el, tx = _nodes(spark, d, rules)
-    el = extract.containers(el, rules)
-    c = el.filter(F.col("is_container"))
+    rows = extract.with_rules(_t(spark, d, "pages"), RuleSet(FALLBACK_RULES))
+    found = html.bind(html.parse(F.col("html")), lambda p: html.bind(
+        html.label(p["el"], F.col("states")), lambda has: extract.containers(p["el"], has)))
+    c = rows.select("page_id", F.inline_outer(found)).filter("at IS NOT NULL")
     return c.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_containers"),
-                                    F.max(F.col("tag") == "article").alias("fallback"))
+                                    F.max(F.col("at.tag") == "article").alias("fallback"))
 
 
 @register("node_text", f"""SELECT page_id, {H1_SQL} AS h1_text, {Q.strip(Q.decode(P1_RAW_SQL))} AS p_text,
   {Q.strip(Q.decode("regexp_extract(html, '<footer>([^<]*)</footer>', 1)"))} AS footer_text FROM pages""")
 def q_node_text(spark, d):
-    pg, el, tx = _nodes(spark, d)
-    el = html.mark(el, "article > h1", "h1").withColumn("ft", F.col("tag") == "footer")
-    el = html.mark(el, "article p", "p")
-    firsts = el.groupBy("page_id").agg(*[F.min(F.when(F.col(n), F.col("pos"))).alias(n) for n in ("h1", "p", "ft")])
-    out = firsts
-    for n in ("h1", "p", "ft"):
-        out = html.node_lookup(out, el, n, n, ("end",))
-        out = html.with_text(out, el, tx, n, n)
-    return out.select("page_id", F.col("h1_strip").alias("h1_text"), F.col("p_strip").alias("p_text"),
-                      F.col("ft_strip").alias("footer_text"))
+    slots = {"h1_text": "article > h1", "p_text": "article p", "footer_text": "footer"}
+    found = _labelled(list(slots.items()), lambda el, tx, has: F.struct(*(html.bind(
+        F.get(html.matching(el, has, n), F.lit(0)), lambda e: html.strip_text(tx, e)).alias(n) for n in slots)))
+    return _t(spark, d, "pages").select("page_id", F.inline(F.array(found)))
 
 
 CHAIN_RULES = {GENERIC_KEY: {"article_list_css": "nav li a", "title_css": ".none", "link_css": ".none"}}
@@ -203,19 +186,19 @@ CHAIN_RULES = {GENERIC_KEY: {"article_list_css": "nav li a", "title_css": ".none
 
 @register("title_chain", f"SELECT page_id, k, title FROM {_nav_articles_sql()} n")
 def q_title_chain(spark, d):
-    a = _numbered(extract.extract_articles(None, RuleSet(CHAIN_RULES), nodes=_nodes(spark, d, RuleSet(CHAIN_RULES))))
+    a = _numbered(extract.extract_articles(_t(spark, d, "pages"), RuleSet(CHAIN_RULES)))
     return a.select("page_id", "k", "title")
 
 
 @register("link_chain", f"SELECT page_id, k, url FROM {_nav_articles_sql()} n")
 def q_link_chain(spark, d):
-    a = _numbered(extract.extract_articles(None, RuleSet(CHAIN_RULES), nodes=_nodes(spark, d, RuleSet(CHAIN_RULES))))
+    a = _numbered(extract.extract_articles(_t(spark, d, "pages"), RuleSet(CHAIN_RULES)))
     return a.select("page_id", "k", "url")
 
 
 @register("extract_articles", f"SELECT * FROM {FIXTURE_ARTICLES_SQL} a")
 def q_extract_articles(spark, d):
-    a = _numbered(extract.extract_articles(None, X.fixture_rules(), nodes=_nodes(spark, d)))
+    a = _numbered(extract.extract_articles(_t(spark, d, "pages"), X.fixture_rules()))
     return a.select(*ARTICLE_OUT)
 
 
@@ -224,7 +207,7 @@ NAV_RULES = {GENERIC_KEY: {"article_list_css": "nav li", "title_css": "a", "link
 
 @register("page_url_dedup", f"SELECT page_id, k, url, title FROM {_nav_articles_sql()} n")
 def q_page_url_dedup(spark, d):
-    a = _numbered(extract.extract_articles(None, RuleSet(NAV_RULES), nodes=_nodes(spark, d, RuleSet(NAV_RULES))))
+    a = _numbered(extract.extract_articles(_t(spark, d, "pages"), RuleSet(NAV_RULES)))
     return a.select("page_id", "k", "url", "title")
 
 
@@ -245,17 +228,17 @@ FROM pages"""
 
 @register("account_title", f"SELECT page_id, title FROM ({ACCOUNT_FIELDS_SQL}) a")
 def q_account_title(spark, d):
-    return extract.account_article_fields(None, nodes=_nodes(spark, d)).select("page_id", "title")
+    return extract.account_article_fields(_t(spark, d, "pages")).select("page_id", "title")
 
 
 @register("account_body", f"SELECT page_id, content_html, content_text FROM ({ACCOUNT_FIELDS_SQL}) a")
 def q_account_body(spark, d):
-    return extract.account_article_fields(None, nodes=_nodes(spark, d)).select("page_id", "content_html", "content_text")
+    return extract.account_article_fields(_t(spark, d, "pages")).select("page_id", "content_html", "content_text")
 
 
 @register("blocked_article", f"SELECT page_id, blocked FROM ({ACCOUNT_FIELDS_SQL}) a")
 def q_blocked_article(spark, d):
-    return extract.account_article_fields(None, nodes=_nodes(spark, d)).select("page_id", "blocked")
+    return extract.account_article_fields(_t(spark, d, "pages")).select("page_id", "blocked")
 
 
 # --------------------------------------------------------------------------
@@ -362,7 +345,7 @@ def q_dedup_articles(spark, d):
 @register("union_articles", f"""SELECT page_id * 1000000 + k AS seq, url, source_name FROM {_nav_articles_sql()} n
 UNION ALL SELECT 1000000000000000 + seq, url, source_name FROM ({DOC_ARTICLES_SQL}) a""")
 def q_union_articles(spark, d):
-    web = _numbered(extract.extract_articles(None, RuleSet(NAV_RULES), nodes=_nodes(spark, d, RuleSet(NAV_RULES))))
+    web = _numbered(extract.extract_articles(_t(spark, d, "pages"), RuleSet(NAV_RULES)))
     web = web.select((F.col("page_id") * 1000000 + F.col("k")).alias("seq"), "url", "source_name")
     docs = X.doc_articles(spark, d).select((F.lit(10 ** 15) + F.col("seq")).alias("seq"), "url", "source_name")
     return web.unionByName(docs)
@@ -454,17 +437,10 @@ _PREVIEW_SEL = ["nav li", "h1", "footer"]
     f"SELECT page_id, 'h1', CAST(1 AS BIGINT), {Q.ascii_preview(H1_SQL, 80)} FROM pages",
     f"""SELECT page_id, 'footer', CAST(1 AS BIGINT), {Q.ascii_preview(Q.strip(Q.decode("regexp_extract(html, '<footer>([^<]*)</footer>', 1)")), 80)} FROM pages"""]))
 def q_selector_preview(spark, d):
-    pg, el, tx = _nodes(spark, d)
-    for i, css in enumerate(_PREVIEW_SEL):
-        el = html.mark(el, css, f"s{i}")
-    stacked = el.select("page_id", "pos", "end", F.explode(F.array(*[
-        F.struct(F.lit(css).alias("selector"), F.col(f"s{i}").alias("hit")) for i, css in enumerate(_PREVIEW_SEL)])).alias("x")) \
-        .filter(F.col("x.hit")).select("page_id", F.col("pos").alias("epos"), F.col("end").alias("e_end"),
-                                       F.col("x.selector").alias("selector"))
-    first = topk.first_n_per_group(stacked, ["page_id", "selector"], ["epos"], 3, "rank")
-    first = html.with_text(first, el, tx, "epos", "e")
-    return first.select("page_id", "selector", F.col("rank").cast("bigint").alias("rank"),
-                        T.ascii_preview(F.col("e_strip"), 80).alias("preview"))
+    first = lambda el, tx, has, css: F.transform(F.slice(html.matching(el, has, css), 1, 3), lambda e, i: F.struct(     # noqa: E731
+        F.lit(css).alias("selector"), (i + 1).cast("bigint").alias("rank"), T.ascii_preview(html.strip_text(tx, e), 80).alias("preview")))
+    found = _labelled([(css, css) for css in _PREVIEW_SEL], lambda el, tx, has: F.concat(*(first(el, tx, has, css) for css in _PREVIEW_SEL)))
+    return _t(spark, d, "pages").select("page_id", F.inline_outer(found)).filter("selector IS NOT NULL")
 
 
 @register("path_last_wins", f"""WITH a AS ({DOC_ARTICLES_SQL}), o AS (SELECT seq, title, row_number() OVER (ORDER BY seq) AS i FROM a),
@@ -575,30 +551,25 @@ SELECT page_id, domain, rule_set, slot_no, slot,
 
 @register("selector_coverage", _coverage_sql(X.fixture_rules()))
 def q_selector_coverage(spark, d):
-    rules = X.fixture_rules()
-    pg, el, tx = _nodes(spark, d, rules)
-    cov, _ = report.selector_coverage(pg, el, tx, rules)
-    return cov
+    return report.selector_coverage(_t(spark, d, "pages"), X.fixture_rules())[0]
 
 
 @register("tag_counts", " UNION ALL ".join(
     f"SELECT page_id, {Q.q(t)} AS tag, n FROM (SELECT page_id, {_count('html', '<' + t + '[ >]')} AS n FROM pages) x WHERE n > 0"
     for t in report.COUNTED_TAGS))
 def q_tag_counts(spark, d):
-    pg, el, tx = _nodes(spark, d)
-    return report.tag_counts(el)
+    return report.tag_counts(html.elements(_t(spark, d, "pages")))
 
 
 @register("linked_headings", """SELECT page_id, lower(t[2]) AS tag, '' AS href, '' AS text FROM (
   SELECT page_id, unnest(regexp_extract_all(html, '(?is)<(h[234])[^>]*>(.*?)</h[234]>', 1)) AS t FROM pages) x WHERE FALSE""")
 def q_linked_headings(spark, d):
-    pg, el, tx = _nodes(spark, d)
-    return report.linked_headings(el, tx).select("page_id", "tag", "href", "text")
+    return report.linked_headings(_t(spark, d, "pages")).select("page_id", "tag", "href", "text")
 
 
 @register("undated_articles", f"SELECT source_name AS domain, title, url FROM {FIXTURE_ARTICLES_SQL} a WHERE date IS NULL OR date = ''")
 def q_undated_articles(spark, d):
-    return report.undated_articles(extract.extract_articles(None, X.fixture_rules(), nodes=_nodes(spark, d)))
+    return report.undated_articles(extract.extract_articles(_t(spark, d, "pages"), X.fixture_rules()))
 
 
 # --------------------------------------------------------------------------

@@ -21,19 +21,105 @@ PAGE = """<html><head><title>T</title></head><body>
 <p>outside <b>bold<p>next para</body></html>"""
 
 
-def nodes(spark, pages, rules=None):
-    return extract.page_nodes(pages, rules)
+def matches(pages, selectors):
+    """Number of elements that each selector matches on the first page."""
+    has = html.label(html.parse(F.col("html"))["el"], html.states([(css, css) for css in selectors]))
+    return [pages.select(F.size(F.filter(has, lambda x: F.array_contains(x, css)))).first()[0] for css in selectors]
 
 
 def test_tree_and_selectors(spark):
     pages = spark.createDataFrame([(1, "https://www.s.org/news", PAGE)], "page_id long, url string, html string")
-    pg, el, tx = nodes(spark, pages)
     sel = {"#main li": 6, "div.wrap.news > ul > li": 6, "li > h3 a": 1, "[class*=Date]": 1,
            "h2, h3, h4": 4, "ul li.item h2 a": 1, "body > p": 2, "p b": 2, "li p": 2}
-    for i, css in enumerate(sel):
-        el = html.mark(el, css, f"s{i}")
-    got = el.groupBy().agg(*[F.sum(F.col(f"s{i}").cast("int")).alias(f"s{i}") for i in range(len(sel))]).first()
-    assert [got[f"s{i}"] for i in range(len(sel))] == list(sel.values())
+    assert matches(pages, sel) == list(sel.values())
+
+
+def tree(spark, page):
+    pages = spark.createDataFrame([(1, page)], "page_id long, html string")
+    return {(r["tag"], r["id"] or r["pos"]): (r["pos"], r["end"], r["depth"], r["parent"]) for r in html.elements(pages).collect()}
+
+
+def test_lists_and_tables_keep_their_own_ends(spark):
+    page = "<ul class=o><li class=o1>A<ul><li class=inside>B</ul><li class=o2>C</ul>"
+    pages = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert matches(pages, ["li.o1 .inside", "li.o2 .inside", ".o > li", ".o1 > ul > li", "ul ul", ".o2 *"]) == [1, 0, 2, 1, 1, 0]
+    got = tree(spark, "<table id=o><tr id=r1><td id=c1>x<table id=i><tr id=ir><td id=ic>y</table>z<td id=c2>w<tr id=r2><td id=c3>v</table>")
+    named = {k[1]: v for k, v in got.items()}
+    assert named["i"][:2] == (4, 8) and named["ic"][1] == named["ir"][1] == 8 and named["c1"][1] == 10 and named["c2"][1] == named["r1"][1] == 12
+    assert named["r2"][1] == named["c3"][1] == 15 and [named[k][2] for k in ("o", "r1", "c1", "i", "ir", "ic", "r2", "c3")] == [1, 2, 3, 4, 5, 6, 2, 3]
+
+
+def reference_tree(tokens):
+    """The stack rules in plain Python: (pos, end, depth, parent) by position."""
+    stack, out = [], {}
+    for pos, (kind, tag) in enumerate(tokens):
+        ended = 0
+        if kind == "open":
+            ends = html.IMPLIED_END.get(tag, []) + (["p", "head"] if tag in html.P_CLOSERS else [])
+            while ended < len(stack) and stack[-1 - ended][1] in ends:
+                ended += 1
+        elif kind == "close":
+            for i, (_, t) in enumerate(reversed(stack)):
+                if t == tag:
+                    ended = i + 1
+                    break
+                if html.CLOSE_RANK.get(t, 100) > html.CLOSE_RANK.get(tag, 100):
+                    break
+        for _ in range(ended):
+            p, _ = stack.pop()
+            out[p] = (p, pos, len(stack) + 1, stack[-1][0] if stack else None)
+        if kind == "open":
+            if tag in html.VOID_TAGS:
+                out[pos] = (pos, pos + 1, len(stack) + 1, stack[-1][0] if stack else None)
+            else:
+                stack.append((pos, tag))
+    while stack:
+        p, _ = stack.pop()
+        out[p] = (p, len(tokens), len(stack) + 1, stack[-1][0] if stack else None)
+    return out
+
+
+def test_random_tag_soup_nests_and_equals_the_stack_rules(spark):
+    rng = random.Random(4)
+    tags = ["p", "li", "ul", "ol", "td", "tr", "table", "tbody", "div", "b", "a", "br", "h2", "dt", "dd", "option", "section", "html", "body", "template"]
+    soups = [[(rng.choice(["open", "open", "close", "text"]), rng.choice(tags)) for _ in range(rng.choice([3, 20, 200]))] for _ in range(60)]
+    soups = [[t for i, t in enumerate(s) if t[0] != "text" or i == 0 or s[i - 1][0] != "text"] for s in soups]    # texts side by side are one
+    write = {"open": "<{}>", "close": "</{}>", "text": "x"}
+    pages = spark.createDataFrame([(i, "".join(write[k].format(t) for k, t in s)) for i, s in enumerate(soups)], "page_id long, html string")
+    got = {}
+    for r in html.elements(pages).collect():
+        got.setdefault(r["page_id"], {})[r["pos"]] = (r["pos"], r["end"], r["depth"], r["parent"])
+    for i, soup in enumerate(soups):
+        want = reference_tree(soup)
+        assert got.get(i, {}) == want
+        for p, end, _, parent in want.values():
+            assert parent is None or parent < p < end <= want[parent][1]
+
+
+def test_ruby_and_template_texts_are_none_of_the_elements_around(spark):
+    page = "<div id=d>A<ruby>B<rp>(</rp><rt>c<b id=b>d</b></rt></ruby><template id=t>e<i>f</i></template>1 < 2<svg><svg></svg>x</svg><iframe>y"
+    pages = spark.createDataFrame([(1, page)], "page_id long, html string")
+    slots = ["#d", "rt", "#b", "#t", "#none"]
+    found = html.bind(html.parse(F.col("html")), lambda p: html.bind(html.label(p["el"], html.states([(s, s) for s in slots])), lambda has: F.array(
+        *(html.strip_text(p["tx"], F.get(html.matching(p["el"], has, s), F.lit(0))) for s in slots))))
+    assert pages.select(found).first()[0] == ["AB1 < 2xy", "cd", "", "ef", None]
+    assert pages.select(html.clean_html(F.col("html"))).first()[0] == "A\nB\n1 < 2"
+
+
+def test_cleaner_drops_nested_and_unclosed_subtrees(spark):
+    cases = {"<svg><svg></svg>x</svg>y": "y", "<noscript>a<p>b</noscript>c": "c", "a<iframe>b<div>c</div>": "a", "<div>a<svg>b</div>c": "a\nc",
+             "<script>x</script>a<style>y</style>": "a", "": "", "<": "<", "a<b": "a\n<\nb", "<svg/>a": "a"}
+    rows = spark.createDataFrame([(k,) for k in cases], "h string")
+    assert {r[0]: r[1] for r in rows.select("h", html.clean_html(F.col("h"))).collect()} == cases
+
+
+def test_a_long_page_is_read_in_linear_steps(spark):
+    n = 30000
+    pages = spark.createDataFrame([(1, "https://s.org/", "<ul>" + "".join(f"<li><a href=/{i}>t{i}</a>" for i in range(n)) + "</ul>")],
+                                  "page_id long, url string, html string")
+    rules = RuleSet({"generic_list_rule": {"article_list_css": "ul > li", "title_css": "a", "link_css": "a"}})
+    got = extract.extract_articles(pages, rules).agg(F.count("*"), F.max("url"), F.min("title")).first()
+    assert tuple(got) == (n, "https://s.org/9999", "t0")
 
 
 def test_extraction_chain(spark):
@@ -66,8 +152,8 @@ def test_container_fallback_and_account_fields(spark):
     pages = spark.createDataFrame([(2, "https://m.org/a", page2), (3, "https://m.org/b", page3)],
                                   "page_id long, url string, html string")
     rules = RuleSet({"generic_list_rule": {"article_list_css": ".none"}})
-    pg, el, tx = nodes(spark, pages, rules)
-    c = extract.containers(el, rules).filter("is_container").select("page_id", "tag").collect()
+    found = html.bind(html.parse(F.col("html")), lambda p: extract.containers(p["el"], html.label(p["el"], F.col("states"))))
+    c = extract.with_rules(pages, rules).select("page_id", F.inline(found)).select("page_id", "at.tag").collect()
     assert [(r.page_id, r.tag) for r in c] == [(2, "article")]
     f = {r.page_id: r for r in extract.account_article_fields(pages).collect()}
     assert f[2].title == "A title here" and f[2].content_text == "x\ny" and not f[2].blocked
@@ -158,11 +244,10 @@ def test_read_sources(spark, tmp_path):
 def test_linked_headings_and_tag_counts(spark):
     from newsdigest.operators import report
     pages = spark.createDataFrame([(1, "https://www.s.org/news", PAGE)], "page_id long, url string, html string")
-    pg, el, tx = nodes(spark, pages)
-    got = sorted((r.tag, r.href, r.text) for r in report.linked_headings(el, tx).collect())
+    got = sorted((r.tag, r.href, r.text) for r in report.linked_headings(pages).collect())
     # h2 before h3 before h4; headings without a link are skipped
     assert got == [("h2", "/a1", "Dup url"), ("h3", "/a1", "First & best")]
-    counts = {r.tag: r.n for r in report.tag_counts(el).collect()}
+    counts = {r.tag: r.n for r in report.tag_counts(html.elements(pages)).collect()}
     assert counts == {"a": 4, "h2": 2, "h3": 1, "h4": 1}
 
 
