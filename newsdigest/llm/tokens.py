@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +21,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import normalizers
 
 from .words import text_chunks
 
 _NO_RANK = np.iinfo(np.int64).max
 #: Unicode White_Space; str.split() also splits at U+001C-U+001F.
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_NORMALIZER = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Distinct words whose counts a task remembers between batches.
+#: Distinct words whose counts a task remembers between batches (and those of one chunk of texts).
 CACHE_WORDS = 300_000
 
 
@@ -99,8 +100,8 @@ class TokenCounter:
         self.cache: dict[str, int] = {}
 
     def pre_tokens(self, word: str) -> list[bytes]:
-        # capital sigma has one lower form here, wherever it stands
-        low = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+        # letters newer than Python's tables are lower-cased as the vocabulary's library does
+        low = word.lower() if word.isascii() else _NORMALIZER.normalize_str(word)
         return [t.encode("utf-8", "surrogatepass") for t in self.find(low)]
 
     def word_counts(self, words: list[str]) -> np.ndarray:
@@ -119,8 +120,9 @@ class TokenCounter:
                 tokens += found
                 owner += [i] * len(found)
         if tokens:
-            code, unique = pd.factorize(np.array(tokens, dtype=object))
-            fixed += np.bincount(owner, self.table.symbol_counts(list(unique))[code], len(words)).astype(np.int64)
+            number = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
+            code = np.fromiter(map(number.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+            fixed += np.bincount(owner, self.table.symbol_counts(list(number))[code], len(words)).astype(np.int64)
         return fixed
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
@@ -129,16 +131,14 @@ class TokenCounter:
         words = [w for s in split for w in s]
         if not words:
             return np.zeros(len(texts), dtype=np.int64)
-        code, unique = pd.factorize(np.array(words, dtype=object))
-        each = np.array([self.cache.get(w, -1) for w in unique], dtype=np.int64)
-        new = np.flatnonzero(each < 0)
-        if len(new):
-            fresh = [unique[i] for i in new]
-            each[new] = self.word_counts(fresh)
-            if len(self.cache) + len(fresh) > CACHE_WORDS:
-                self.cache.clear()
-            self.cache.update(zip(fresh[:CACHE_WORDS], each[new].tolist()))
-        return np.bincount(owner, each[code], len(texts)).astype(np.int64)
+        new = [w for w in dict.fromkeys(words) if w not in self.cache]
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.cache.clear()
+            new = list(dict.fromkeys(words))
+        if new:
+            self.cache.update(zip(new, self.word_counts(new).tolist()))
+        each = np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))
+        return np.bincount(owner, each, len(texts)).astype(np.int64)
 
 
 def read_table(path: str) -> BpeTable:
