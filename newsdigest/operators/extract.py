@@ -69,9 +69,13 @@ def _article(tx: Column, c: Column, base: Column) -> Column:
 
 
 def first_by(rows: Column, name: str) -> Column:
-    """The first of the page's rows for each value of a field."""
-    return bind(rows, lambda every: bind(F.transform(every, lambda r: r[name]), lambda values: F.filter(
-        every, lambda r, i: F.array_position(values, r[name]) == i + 1)))
+    """The first of the page's rows for each value of a field, in their order."""
+    def kept(every: Column) -> Column:
+        ranked = F.array_sort(F.transform(every, lambda r, i: F.struct(r[name].alias("value"), i.alias("i"))))
+        heads = bind(ranked, lambda s: F.filter(s, lambda x, j: (j == 0) | ~x["value"].eqNullSafe(F.get(s, j - 1)["value"])))
+        return F.transform(F.array_sort(F.transform(heads, lambda x: x["i"])), lambda i: F.get(every, i))
+
+    return bind(rows, kept)
 
 
 def page_articles(html: Column, url: Column) -> Column:

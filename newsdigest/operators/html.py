@@ -64,7 +64,7 @@ BOX_TAGS = ["rt", "rp", "template"]
 # Subtrees whose text the HTML cleaner drops (scripts and styles are no texts at all).
 DROP_TEXT_TAGS = ["noscript", "iframe", "svg"]
 
-CHUNK = 64
+LEAST_CHUNK = 64
 _OPEN = "array<struct<pos:int,tag:string,rank:int,tok:string,depth:int,parent:int,box:string,drop:boolean>>"
 _DONE = "array<struct<pos:int,end:int,depth:int,parent:int,tag:string,tok:string>>"
 _TEXT = "struct<txt:string,box:string,drop:boolean>"
@@ -86,20 +86,20 @@ def _table(pairs: dict[str, str]) -> Column:
 
 def fold(items: Column, state: dict[str, Column], grown: dict[str, str], step: Callable[[Column, Column], Column]) -> Column:
     """Fold over an array.  ``step(acc, item)`` gives a struct of the new state and of what is appended to the ``grown`` arrays.
-    They grow in chunks, so that a long page isn't copied for each of its tokens."""
+    They grow in chunks of about the square root of the array, so that a long page isn't copied for each of its tokens."""
     def merged(acc: Column, new: Column) -> Column:
         return F.struct(*(new[k].alias(k) for k in state), *(F.concat(acc[k], new[k]).alias(k) for k in grown))
 
     nothing = [_empty(t).alias(k) for k, t in grown.items()]
 
-    def chunk(acc: Column, at: Column, every: Column) -> Column:
-        part = F.aggregate(F.slice(every, at * CHUNK + 1, F.lit(CHUNK)), F.struct(*(acc[k].alias(k) for k in state), *nothing),
+    def chunk(acc: Column, at: Column, every: Column, size: Column) -> Column:
+        part = F.aggregate(F.slice(every, at * size + 1, size), F.struct(*(acc[k].alias(k) for k in state), *nothing),
                            lambda inner, item: bind(step(inner, item), lambda new: merged(inner, new)))
         return bind(part, lambda new: merged(acc, new))
 
     start = F.struct(*(v.alias(k) for k, v in state.items()), *nothing)
-    return bind(items, lambda every: F.aggregate(F.sequence(F.lit(0), (F.size(every) / CHUNK).cast("int")), start,
-                                                 lambda acc, at: chunk(acc, at, every)))
+    return bind(items, lambda every: bind(F.greatest(F.lit(LEAST_CHUNK), F.sqrt(F.size(every)).cast("int")), lambda size: F.aggregate(
+        F.sequence(F.lit(0), (F.size(every) / size).cast("int")), start, lambda acc, at: chunk(acc, at, every, size))))
 
 
 # --------------------------------------------------------------------------

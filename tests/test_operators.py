@@ -114,7 +114,7 @@ def test_cleaner_drops_nested_and_unclosed_subtrees(spark):
 
 
 def test_a_long_page_is_read_in_linear_steps(spark):
-    n = 30000
+    n = 10000
     pages = spark.createDataFrame([(1, "https://s.org/", "<ul>" + "".join(f"<li><a href=/{i}>t{i}</a>" for i in range(n)) + "</ul>")],
                                   "page_id long, url string, html string")
     rules = RuleSet({"generic_list_rule": {"article_list_css": "ul > li", "title_css": "a", "link_css": "a"}})
