@@ -3,9 +3,9 @@
 Named patterns give the base spans.  The method adds spans from a sliding-window Shannon entropy: candidate
 strings are cut into runs of one character class, a window moves over each run with counts that are updated as
 characters enter and leave, and windows above the class's entropy are joined.  Windows are as short as the shortest
-candidate.  An allow-list cuts out parts that are random by nature but no secrets (dates, UUIDs, digests); what stands
-around them is a candidate of its own.  A candidate whose parts are words and numbers (a path, an identifier) needs
-longer windows of a higher entropy, with several digits; any other mixes digits or cases within a part.
+candidate.  An allow-list cuts out parts that are random by nature but no secrets (dates, UUIDs, digests), and those of paths
+and identifiers that read like words or are long numbers; what stands between them is a candidate of its own, if it doesn't read
+like words either.  How far letters read like words is told by the share of frequent pairs of letters among them.
 
 Defined results: a null text counts as empty (no spans; the digest of the empty string); rows are independent,
 so ties and repeated rows repeat their result; an empty table gives an empty result; other columns are not read
@@ -30,10 +30,9 @@ _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")       # a run is matched whole, so shorter runs drop
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Character class, window length, least entropy in bits, least digits in a window.
-HEX = ("hex", re.compile(r"[0-9a-f]{20,}|[0-9A-F]{20,}"), 20, 2.75, 0)
-MIXED = ("base64", re.compile(r"[A-Za-z0-9+/_-]{20,}"), 20, 3.3, 0)
-PLAIN = ("base64", re.compile(r"[A-Za-z0-9+/_-]{24,}"), 24, 3.8, 3)
+#: Character class, window length, least entropy in bits.
+HEX = ("hex", re.compile(r"[0-9a-f]{20,}|[0-9A-F]{20,}"), 20, 2.75)
+MIXED = ("base64", 20, 3.3)
 #: Parts that look random and are no secrets, each whole.
 ALLOWED = re.compile(r"(?<![A-Za-z0-9])(?:"
                      r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"                            # UUIDs
@@ -41,32 +40,41 @@ ALLOWED = re.compile(r"(?<![A-Za-z0-9])(?:"
                      r"|(?i:sha1-(?:[a-z0-9+/]{27}=|[0-9a-f]{40})|sha256-(?:[a-z0-9+/]{43}=|[0-9a-f]{64})"     # digests
                      r"|sha384-(?:[a-z0-9+/]{64}|[0-9a-f]{96})|sha512-(?:[a-z0-9+/]{86}==|[0-9a-f]{128}))"
                      r")(?![A-Za-z0-9])")
-#: Words (lower, upper or camel case) and numbers.
-_PLAIN = re.compile(r"[-_/=+]*+(?:(?:[A-Z]?[a-z]++(?:[A-Z][a-z]++)*+|[A-Z]++|[0-9]++)(?:[-_/=+]++|\Z))*+")
-_DIGIT = re.compile(r"[0-9]")
+#: The most frequent pairs of letters in English words.
+PAIRS = frozenset("""th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro
+ ic ne ea ra ce li ch ll be ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee
+ wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op wo sa ay ex
+ ke fr oo av ag if ap gr od bo sp rd do uc bu ei ov by rm ep tt oc fa ef cu rn sc gi da yo cr cl du ga qu ue ff ba ey ls va um pp ua up
+ lu go ht ru ug ds ck ew mu br""".split())
+#: What a frequent and another pair say for words, and what is enough for a part, for a stretch, and for a stretch whose letters
+#: stand in runs of this mean length.
+FREQUENT, OTHER, WORD_PART, WORDS, WORDS_IN_RUNS, LONG_RUNS = 1.1, -1.7, 4.0, 3.0, 0.0, 3.5
+#: A stretch with so many separators, and one for so many characters, is a path or a version.
+SEPARATORS, SPACING = 5, 8
+_PART = re.compile(r"[A-Za-z0-9]+")
+_LETTERS = re.compile(r"[A-Za-z]{2,}")
+_RUN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 Span = tuple[int, int, int]     # start, kind, end
 
 
-def window_hits(text: str, size: int, least: float, digits: int) -> list[tuple[int, int]]:
+def window_hits(text: str, size: int, least: float) -> list[tuple[int, int]]:
     """Joined ranges of the windows of ``size`` characters whose entropy is at least ``least``."""
     if len(text) < size:
         return []
-    term = [0.0] + [c * math.log2(c) for c in range(1, size + 1)]
+    term = [0.0] + [c * math.log2(c) for c in range(1, size + 2)]
     counts: dict[str, int] = {}
-    total, numbers, out = 0.0, 0, []
+    total, out = 0.0, []
     for i, c in enumerate(text):
         n = counts.get(c, 0)
         counts[c] = n + 1
         total += term[n + 1] - term[n]
-        numbers += c.isdigit()
         if i >= size:
             gone = text[i - size]
             n = counts[gone]
             counts[gone] = n - 1
             total += term[n - 1] - term[n]
-            numbers -= gone.isdigit()
-        if i >= size - 1 and numbers >= digits and math.log2(size) - total / size >= least:
+        if i >= size - 1 and math.log2(size) - total / size >= least:
             if out and i + 1 - size <= out[-1][1]:
                 out[-1] = (out[-1][0], i + 1)
             else:
@@ -74,6 +82,38 @@ def window_hits(text: str, size: int, least: float, digits: int) -> list[tuple[i
     return out
 
 
+def word_weight(text: str) -> float:
+    """What the pairs of letters say for words."""
+    weight = 0.0
+    for run in _LETTERS.findall(text.lower()):
+        for i in range(len(run) - 1):
+            weight += FREQUENT if run[i:i + 2] in PAIRS else OTHER
+    return weight
+
+
+def reads_like_words(stretch: str) -> bool:
+    runs = _RUN.findall(stretch)
+    return word_weight(stretch) > (WORDS_IN_RUNS if sum(map(len, runs)) >= LONG_RUNS * len(runs) else WORDS)
+
+
+def odd_stretches(word: str) -> Iterator[tuple[int, str]]:
+    """The stretches of a candidate between its parts that are words or long numbers, but for those that read like words as a
+    whole, are paths or mix neither digits nor cases.  Short parts don't divide it: random keys have them too."""
+    at = 0
+    for part in [*_PART.finditer(word), None]:
+        if part is not None and not (len(part[0]) >= 4 and (part[0].isdigit() or word_weight(part[0]) > WORD_PART)):
+            continue
+        stretch = word[at:part.start() if part is not None else len(word)]
+        letters = sum(c.isalpha() for c in stretch)
+        mixed = any(c.isdigit() for c in stretch) or any(c.isupper() for c in stretch) and any(c.islower() for c in stretch)
+        separators = sum(not c.isalnum() for c in stretch)
+        path = separators >= SEPARATORS and separators * SPACING >= len(stretch)
+        if len(stretch) >= 20 and letters >= 3 and mixed and not path and not reads_like_words(stretch):
+            yield at, stretch
+        if part is not None:
+            at = part.end()
+
+
 def base_spans(text: str) -> list[Span]:
     out: list[Span] = []
     low = text.lower()
@@ -100,13 +140,12 @@ def entropy_spans(text: str, known: list[Span]) -> list[Span]:
     for at, word in candidates(text):
         if len(word) < 20:
             continue
-        plain = _PLAIN.fullmatch(word) is not None
-        digits = _DIGIT.search(word) is not None
-        if word.isdigit() or plain and not digits:
-            continue
-        for _, run, size, least, numbers in ((HEX,) if digits else ()) + ((PLAIN,) if plain else (MIXED,)):
-            for r in run.finditer(word):
-                found += [(at + r.start() + a, at + r.start() + b) for a, b in window_hits(r[0], size, least, numbers)]
+        _, run, size, least = HEX
+        for r in run.finditer(word):
+            if not r[0].isdigit() and not r[0].isalpha():
+                found += [(at + r.start() + a, at + r.start() + b) for a, b in window_hits(r[0], size, least)]
+        for begin, stretch in odd_stretches(word):
+            found += [(at + begin + a, at + begin + b) for a, b in window_hits(stretch, *MIXED[1:])]
     out: list[Span] = []
     for a, b in sorted(found):
         if out and a <= out[-1][2]:
