@@ -355,12 +355,12 @@ def label(el: Column, table: Column) -> Column:
                                           {"labels": "array<array<string>>"}, lambda acc, e: step(acc, e, every))["labels"])
 
 
-_PLACE = "struct<pos:int,end:int,tag:string,href:string,aria_label:string>"
+_PLACE = "struct<pos:int,end:int,tag:string,tok:string,href:string,aria_label:string>"
 
 
 def place(e: Column) -> Column:
     """What later steps need of an element."""
-    return F.struct(*(e[c].alias(c) for c in ("pos", "end", "tag", "href", "aria_label")))
+    return F.struct(*(e[c].alias(c) for c in ("pos", "end", "tag", "tok", "href", "aria_label")))
 
 
 def matching(el: Column, labels: Column, name: Column) -> Column:

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import search as S
-from ..operators import extract, report
+from ..operators import extract, report, search_pages
+from ..sources import fixtures as X
 from ..sources.rules import RuleSet
-from .queries import register
+from .queries import HITS_SQL, register
+from .queries_more import AS_OF_TS, TOP_HITS_SQL
 
 URL = "https://www.pages.example.org/list/"
 LIST_RULES = RuleSet({"generic_list_rule": {
@@ -114,3 +116,55 @@ def q_derived_linked_headings(spark, d):
 def q_derived_blocked_search(spark, d):
     text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, S.BLOCKED_SEARCH_KEYWORDS[0]).otherwise(""))
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", S.blocked_search(text).alias("blocked"))
+
+
+# --------------------------------------------------------------------------
+# K1 from pages: result pages and redirect pages made from events
+# --------------------------------------------------------------------------
+
+def _result_pages(spark, d):
+    """One page of search results per account and page number of the events' hits; hits without a source name have no element
+    for it, and every 17th event no time box."""
+    name = F.when(F.col("src_name") != "", F.concat(F.lit('<span class="all-time-y2"> '), "src_name", F.lit("\n</span>"))).otherwise("")
+    box = F.when(F.col("event_id") % 17 != 0, F.concat(F.lit('<span class="s2"><script>document.write('), "script", F.lit(")</script></span>"))).otherwise("")
+    item = F.concat(F.lit('<li id="i"><div class="img"><script>timeConvert(1)</script></div><div class="txt-box"><h3><a target="_blank" href="'), "href",
+                    F.lit('"><em>t</em></a></h3><div class="s-p">'), name, box, F.lit("</div></div>"))
+    hits = X.search_hits(spark, d).select("account", "page", F.struct("rank", item.alias("item")).alias("i"), "blocked")
+    pages = hits.groupBy("account", "page").agg(F.array_sort(F.collect_list("i")).alias("items"), F.max("blocked").alias("wall"))
+    wall = F.when(F.col("wall"), S.BLOCKED_SEARCH_KEYWORDS[1]).otherwise("")
+    return pages.select("account", "page", F.concat(
+        F.lit('<html><body><ul><li>no hit</li></ul><p>'), wall, F.lit('</p><ul class="news-list">'),
+        F.array_join(F.transform("items", lambda i: i["item"]), ""), F.lit("</ul></body></html>")).alias("html"))
+
+
+PAGE_HITS_SQL = f"""SELECT account, page, CASE WHEN wall THEN NULL ELSE rank END AS rank, CASE WHEN wall THEN NULL ELSE src_name END AS src_name,
+  CASE WHEN wall OR event_id % 17 = 0 THEN NULL ELSE '<script>document.write(' || script || ')</script>' END AS script,
+  CASE WHEN wall THEN NULL ELSE href END AS href, wall AS blocked, event_id, article_page_id
+FROM (SELECT *, bool_or(blocked) OVER (PARTITION BY account, page) AS wall, row_number() OVER (PARTITION BY account, page ORDER BY rank) AS n
+      FROM ({HITS_SQL}) h) w WHERE NOT wall OR n = 1"""
+
+
+@register("search_hits_from_pages", f"SELECT account, page, coalesce(rank, -1) AS rank, src_name, script, href, blocked FROM ({PAGE_HITS_SQL}) h")
+def q_search_hits_from_pages(spark, d):
+    return search_pages.hits_from_pages(_result_pages(spark, d)).fillna(-1, ["rank"])
+
+
+def _redirect_pages(spark, d):
+    """Where the hits' links lead: every 13th event's link has no answer, the next one's answer no address, a third of the others
+    leaves the search host, the rest writes the address in fragments."""
+    hits = X.search_hits(spark, d).join(spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("article_page_id"), "url"), "article_page_id")
+    k, link = F.col("event_id") % 13, S.hit_link(F.col("href"))
+    code = F.array_join(F.transform(F.regexp_extract_all("url", F.lit("(?s).{1,9}"), 0), lambda c: F.concat(F.lit("url += '"), c, F.lit("';\n"))), "")
+    body = F.when(k != 1, F.concat(F.lit("<script>var url = '';\n"), code, F.lit('url.replace("@", "");</script>'))).otherwise("<p>none</p>")
+    return hits.filter((k != 0) & link.isNotNull()).select(
+        link.alias("link"), F.when(k % 3 == 2, F.col("url")).otherwise(link).alias("final_url"), body.alias("body"))
+
+
+_PAGE_TOP_SQL = (TOP_HITS_SQL.replace(f"WITH h AS ({HITS_SQL})", f"WITH h AS ({PAGE_HITS_SQL})")
+                 .replace("JOIN art ON art.page_id = acc2.article_page_id)", "JOIN art ON art.page_id = acc2.article_page_id WHERE event_id % 13 NOT IN (0, 1))"))
+
+
+@register("search_articles_from_pages", _PAGE_TOP_SQL.replace("page, rank, event_id, article_page_id,", "page, rank,"))
+def q_search_articles_from_pages(spark, d):
+    found = search_pages.search_articles(_result_pages(spark, d), _redirect_pages(spark, d), spark.read.parquet(f"{d}/pages.parquet"), AS_OF_TS, tz="UTC")
+    return found.select("account", "hit_no", "page", "rank", "pub_time", "title", "article_url")
