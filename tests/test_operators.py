@@ -257,6 +257,52 @@ def test_greedy_follows_a_long_chain(spark):
     assert sorted(r["seq"] for r in greedy_keep(edges).collect() if r["st"] == KEPT) == [1, 3, 5, 7, 9, 11]
 
 
+def test_greedy_equals_the_loop_on_chains_and_random_graphs(spark):
+    rng = random.Random(9)
+    graphs = [[(i, i + 1) for i in range(3000)],                                                     # a long chain
+              [(i, j) for i in range(400) for j in {rng.randrange(i + 1, 403) for _ in range(2)}],
+              [(i, i + 1) for i in range(500)] + [(i, i + 1) for i in range(1000, 1300)] + [(250, 1100), (3, 499), (400, 1299)],
+              []]
+    for pairs in graphs:
+        earlier, kept = {}, {}
+        for a, b in pairs:
+            earlier.setdefault(b, []).append(a)
+        for n in sorted({x for p in pairs for x in p}):
+            kept[n] = not any(kept[a] for a in earlier.get(n, []))
+        got = dedup.greedy_keep(spark.createDataFrame(pairs, "a long, b long")).collect()
+        assert {r["seq"]: r["st"] == dedup.KEPT for r in got} == kept
+
+
+def test_near_pairs_with_words_that_many_titles_share(spark):
+    rng = random.Random(10)
+    sets = {frozenset(["hot"] + rng.sample("abcdefghij", rng.randrange(1, 9))) for _ in range(500)}
+    sets |= {frozenset([f"t{rng.randrange(25)}" for _ in range(rng.randrange(8, 16))]) for _ in range(150)}
+    base = [f"t{i}" for i in range(25)]
+    sets |= {frozenset(base[:i] + base[i + 1:]) for i in range(25)} | {frozenset(base)}
+    rows = [(i, sorted(s)) for i, s in enumerate(sorted(sets, key=sorted))]
+    want = {(i, j) for i, a in rows for j, b in rows if i < j and 20 * len({*a} & {*b}) > 17 * len({*a} | {*b})}
+    reps = spark.createDataFrame(rows, "seq long, tokens array<string>")
+    for block in (2000, 16):
+        got = [tuple(r) for r in dedup.title_near_pairs(reps, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_result_pages_to_hits(spark):
+    from newsdigest.operators.search_pages import article_hits, hits_from_pages
+    li = '<li><h3><a href="{}">t</a></h3><div><span class="all-time-y2"> {} </span><span class="s2"><script>{}</script></span></div>'
+    page = '<ul><li>x</ul><ul class="a news-list">' + li.format("/link?url=1", "acc", "timeConvert('9')") + "<li><script>timeConvert(1)</script><b class=s2></b></ul>"
+    pages = spark.createDataFrame([("acc", 1, page), ("acc", 2, "<ul class=news-list></ul>"), ("acc", 3, page + "antispider"), ("b", 1, None), ("c", 1, "")],
+                                  "account string, page int, html string")
+    got = sorted(map(tuple, hits_from_pages(pages).fillna(-1).collect()), key=str)
+    assert got == [("acc", 1, 0, "acc", "<script>timeConvert('9')</script>", "/link?url=1", False), ("acc", 1, 1, "", None, "", False),
+                   ("acc", 3, -1, None, None, None, True), ("b", 1, -1, None, None, None, True)]
+    link = "https://weixin.sogou.com/link?url=1"
+    redirects = spark.createDataFrame([(link, link, "url += 'https://a.'; url += 'org/1';")], "link string, final_url string, body string")
+    articles = spark.createDataFrame([(7, "https://a.org/1", "old"), (8, "https://a.org/1", "new"), (9, "https://a.org/2", "x")], "page_id long, url string, html string")
+    led = {(r["account"], r["page"], r["rank"]): r["article_page_id"] for r in article_hits(pages, redirects, articles).collect()}
+    assert led == {("acc", 1, 0): 8, ("acc", 1, 1): None, ("acc", 3, None): None, ("b", 1, None): None}
+
+
 def test_an_account_listed_twice_keeps_its_hits_twice(spark):
     from newsdigest.operators.topk import top_hits
     rows = [("a", entry, 1, rank) for entry in (0, 5) for rank in range(4)]
