@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from ..functions.dates import day_label
 from ..functions.digest import fallback_summary, material_block, summary_card, summary_prompt
 from ..functions.text import md_to_html, safe_stem
 from ..session import materialize
+from .numbering import numbered
 from .topk import last_wins
 
 # Fragments of the daily page.
@@ -21,25 +22,15 @@ DAILY_SECTION_CLOSE = "\n  </section>"
 DAILY_SECTION_EMPTY = ('  <section class="daily-article">\n    <h2>📰 综合新闻</h2>\n'
                        '    <p style="color:var(--text-secondary)">（LLM 未配置，跳过综合生成）</p>\n  </section>')
 EMPTY_SUMMARIES = '<div class="empty">暂无新闻摘要</div>'
+SUMMARY_HEADING = ('<h2 style="font-size:1.1rem;margin-bottom:1rem;color:var(--text-secondary);">📌 单篇摘要 '
+                   '<span style="font-weight:400;font-size:0.85rem;">({n} 篇)</span></h2>')
+FOOTER = "<footer><p>由 {site} 自动生成 · {date}</p></footer>"
 BLOCK_SEP = "\n\n"
 
 
 def with_order(df: DataFrame) -> DataFrame:
-    """1-based position ``i`` in seq order (for P16), JVM-side: the seq keys
-    are range-partitioned (materialised, so partition ids are fixed), each
-    partition's row count gives its offset (a table with one row per
-    partition), and ``i`` = offset + row_number within the partition.
-    No single task sees all rows; the result joins back on the unique seq."""
-    spark = df.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = materialize(df.select("seq").repartitionByRange(n, "seq")
-                       .withColumn("_pid", F.spark_partition_id()))
-    counts = keys.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    order = keys.join(F.broadcast(offsets), "_pid").select(
-        "seq", (F.col("_off") + F.row_number().over(Window.partitionBy("_pid").orderBy("seq"))).cast("bigint").alias("i"))
-    return df.join(order, "seq")
+    """1-based position ``i`` in seq order (for P16)."""
+    return numbered(df, ["seq"], "i")
 
 
 def add_fallback_summary(df: DataFrame) -> DataFrame:
@@ -98,10 +89,20 @@ def compose_prompt(df: DataFrame, template: str) -> DataFrame:
                       .otherwise(F.lit("")).alias("prompt"))
 
 
-def compose_article(df: DataFrame, template: str, generator: Callable[[str], str]) -> str | None:
+#: Characters of the largest prompt that is put together for a generator.
+MOST_PROMPT_CHARS = 64_000_000
+
+
+def compose_article(df: DataFrame, template: str, generator: Callable[[str], str], most_chars: int = MOST_PROMPT_CHARS) -> str | None:
     """The day's article: the generator's answer to the whole prompt, asked
     once, in an executor; None without articles, or for a failure or an
-    empty answer."""
+    empty answer.  A generator takes its prompt whole, so this is the one
+    step that needs all articles in one place: their size is summed first,
+    and more than ``most_chars`` is an error, not a cut."""
+    size = df.agg(F.sum(F.length("content_text") + F.length("title") + F.length("url"))).first()[0] or 0
+    if size > most_chars:
+        raise ValueError(f"the articles have {size} characters; a prompt may have {most_chars}")
+
     def run(batches):
         for pdf in batches:
             res = []
@@ -159,20 +160,24 @@ def _stats_line() -> Column:
 def _page_head(date_str: Column, header_title: str, section: Column) -> Column:
     return F.concat(F.lit("<header><h1>"), F.lit(header_title), F.lit("</h1><div class=\"date\">"), date_str,
                     F.lit("</div><div class=\"stats\">"), _stats_line(), F.lit("</div></header>\n"), section,
-                    F.lit("\n<section><div class=\"summary-list\">\n"))
+                    F.lit("\n<section>"), F.replace(F.lit(SUMMARY_HEADING), F.lit("{n}"), F.col("n").cast("string")),
+                    F.lit("<div class=\"summary-list\">\n"))
 
 
-PAGE_TAIL = "\n</div></section>"
+def _page_tail(date_str: Column, site_title: str) -> Column:
+    return F.concat(F.lit("\n</div></section>\n"), F.replace(F.lit(FOOTER.replace("{site}", site_title)), F.lit("{date}"), date_str))
 
 
-def page_parts(df: DataFrame, run_date, daily_article: str | None = None, header_title: str = "Daily News Digest") -> DataFrame:
+def page_parts(df: DataFrame, run_date, daily_article: str | None = None, header_title: str = "Daily News Digest",
+               site_title: str = "Daily News Digest") -> DataFrame:
     """A6 as rows ``(run_date, section, seq, text)``, whose texts in this order
-    are the page's body: head (0), one card per article (1), tail (2)."""
+    are the page's body: head (0) with the section's heading and count, one
+    card per article (1), tail (2) with the footer."""
     date_str = F.date_format(F.lit(run_date).cast("date"), "yyyy-MM-dd")
     totals = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_name").alias("n_src"))
     none = F.lit(None).cast(df.schema["seq"].dataType)
     texts = [_page_head(date_str, header_title, _daily_section(daily_article)),
-             F.when(F.col("n") == 0, F.lit(EMPTY_SUMMARIES)), F.lit(PAGE_TAIL)]
+             F.when(F.col("n") == 0, F.lit(EMPTY_SUMMARIES)), _page_tail(date_str, site_title)]
     fixed = totals.select(F.explode(F.array(*(F.struct(F.lit(k).alias("section"), none.alias("seq"), t.alias("text"))
                                               for k, t in enumerate(texts)))).alias("x")).select("x.*").filter("text IS NOT NULL")
     cards = df.select(F.lit(1).alias("section"), "seq", _card().alias("text"))
@@ -193,7 +198,7 @@ def daily_page(df: DataFrame, run_date, daily_article: str | None = None,
     section = _daily_section(daily_article)
     title = F.concat(F.lit(site_title + " · "), day_label(d))
     date_str = F.date_format(d, "yyyy-MM-dd")
-    body = F.concat(_page_head(date_str, header_title, section), summaries, F.lit(PAGE_TAIL))
+    body = F.concat(_page_head(date_str, header_title, section), summaries, _page_tail(date_str, site_title))
     return agg.select(date_str.alias("run_date"), title.alias("title"), _stats_line().alias("stats"),
                       F.col("n").alias("article_count"), section.alias("daily_section"),
                       summaries.alias("summaries_html"), body.alias("html"))

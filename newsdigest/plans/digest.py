@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.compose import compose_article, output_paths, page_parts, prompt_parts, summarize
 from ..operators.dedup import deduplicate
 from ..operators.extract import account_article_fields, extract_articles
+from ..operators.numbering import numbered
 from ..operators.report import problem_accounts, site_report_parts, site_results
 from ..operators.topk import accepted_hits, top_hits
 from ..operators.window import date_window
@@ -29,8 +30,8 @@ DEFAULT_SUMMARY_TEMPLATE = ("Summarise the article below.\n\nSource: {source_nam
                             "{article_text}\n")
 DEFAULT_COMPOSE_TEMPLATE = "Write one digest article from these sources.\n\n{articles_text}\n"
 
-WEB_SEQ_SHIFT = 32
-ACCOUNT_BASE = 1 << 62
+#: What an article's place in the digest is: web before accounts, list order, search page, place in the page.
+PLACE = ["kind", "source_seq", "page", "k"]
 
 
 @dataclass
@@ -48,19 +49,35 @@ class DigestResult:
     daily_article: str | None = None   # W2: the generator's answer to the prompt
 
 
+def _listed(sources: DataFrame) -> DataFrame:
+    return web_sources(sources).select(F.col("seq").alias("source_seq"), F.col("value").alias("src_url"))
+
+
+def listed_articles(sources: DataFrame, pages: DataFrame, rules: RuleSet) -> DataFrame:
+    """E8/E9 of pages with a listed URL, with ``k``, the position among the page's accepted containers (bounded per page)."""
+    urls = _listed(sources).select(F.col("src_url").alias("url")).distinct()
+    arts = extract_articles(pages.filter(F.col("html").isNotNull()).join(urls, "url", "left_semi"), rules)
+    return arts.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("cpos")))
+
+
+def placed_articles(sources: DataFrame, articles: DataFrame) -> DataFrame:
+    """One copy of a page's articles per source entry (duplicate entries are kept, the URL dedup removes the copies later)."""
+    return articles.join(_listed(sources), F.col("source_url") == F.col("src_url")).select(
+        "source_seq", "k", *[c for c in ARTICLE_COLUMNS if c != "seq"])
+
+
 def web_articles(sources: DataFrame, pages: DataFrame, rules: RuleSet) -> DataFrame:
-    """E8/E9 for every listed site page; one copy per source entry (duplicate
-    entries are kept, the URL dedup removes the copies later) and one page
-    per URL, the latest."""
-    web = web_sources(sources).select(F.col("seq").alias("source_seq"), F.col("value").alias("src_url"))
-    latest = materialize(latest_pages(pages).filter("fetched").select("page_id", "url")
-                         .join(web.select(F.col("src_url").alias("url")).distinct(), "url", "left_semi").select("page_id"))
-    arts = extract_articles(pages.join(latest, "page_id", "left_semi"), rules)
-    # k: position among the page's accepted containers (bounded per page)
-    arts = arts.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("cpos")))
-    return arts.join(web, F.col("source_url") == F.col("src_url")).select(
-        ((F.col("source_seq") * F.lit(1 << WEB_SEQ_SHIFT)) + F.col("k")).alias("seq"), "source_seq",
-        *[c for c in ARTICLE_COLUMNS if c != "seq"])
+    """E8/E9 for every listed site page, one page per URL, the latest."""
+    urls = _listed(sources).select(F.col("src_url").alias("url")).distinct()
+    latest = materialize(latest_pages(pages).filter("fetched").join(urls, "url", "left_semi").select("page_id"))
+    return placed_articles(sources, listed_articles(sources, pages.join(latest, "page_id", "left_semi"), rules))
+
+
+def union_articles(web: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Web articles ``(source_seq, k, ...)``, then account articles ``(source_seq, page, k, ...)``, with ``seq``, their position
+    in the order of ``PLACE``.  Ids of any size keep their order."""
+    rows = web.withColumn("kind", F.lit(0)).withColumn("page", F.lit(0)).unionByName(accounts.withColumn("kind", F.lit(1)))
+    return numbered(rows, PLACE, "seq").drop(*PLACE)
 
 
 def account_articles(sources: DataFrame, hits: DataFrame, article_pages: DataFrame, as_of_ts: dt.datetime,
@@ -77,8 +94,7 @@ def account_articles(sources: DataFrame, hits: DataFrame, article_pages: DataFra
     resolved = acc.join(ok.withColumnRenamed("page_id", "article_page_id"), "article_page_id")
     top = top_hits(resolved, k, "acct_seq")        # an account listed twice has its hits twice
     return top.select(
-        (F.lit(ACCOUNT_BASE) + F.col("acct_seq") * F.lit(1 << 20) + F.col("page") * F.lit(1 << 12) + F.col("rank")).alias("seq"),
-        "account", "title", "url",
+        F.col("acct_seq").alias("source_seq"), "page", F.col("rank").alias("k"), "account", "title", "url",
         F.concat(F.col("account"), F.lit(ACCOUNT_SOURCE_SUFFIX)).alias("source_name"),
         F.col("url").alias("source_url"),
         F.date_format("pub_time", "yyyy-MM-dd").alias("date"),
@@ -96,7 +112,7 @@ def collect_articles(sources: DataFrame, pages: DataFrame, hits: DataFrame, rule
     # report), so they are materialised once
     web = materialize(web_articles(sources, pages, rules))
     acct = materialize(account_articles(sources, hits, article_pages, as_of_ts, tz=tz))
-    articles = web.select(*ARTICLE_COLUMNS).unionByName(acct.select(*ARTICLE_COLUMNS))   # U1
+    articles = materialize(union_articles(web, acct.drop("account")))
     # one row per source; feeds three reports, so it is written once (this
     # also keeps report filters from being pushed into the source parsing)
     results = materialize(site_results(web_sources(sources), pages, web.select("source_seq"),
@@ -113,13 +129,21 @@ def run_digest(sources: DataFrame, pages: DataFrame, hits: DataFrame, rules: Rul
                site_title: str = "Daily News Digest", tz: str | None = None) -> DigestResult:
     as_of_ts = as_of_ts or dt.datetime.combine(as_of, dt.time(23, 59, 59))
     web, acct, articles, results = collect_articles(sources, pages, hits, rules, as_of_ts, article_pages, tz)
+    return finish_digest(articles, results, as_of, allow_undated, generator, summary_template, compose_template, site_title)
+
+
+def finish_digest(articles: DataFrame, results: DataFrame, as_of: dt.date, allow_undated: bool = False,
+                  generator: Callable[[str], str] | None = None, summary_template: str = DEFAULT_SUMMARY_TEMPLATE,
+                  compose_template: str = DEFAULT_COMPOSE_TEMPLATE, site_title: str = "Daily News Digest") -> DigestResult:
+    """D3 -> F1 -> P14/X1 -> A5/A6 and the reports, of collected articles and site results."""
     survivors, removed = deduplicate(articles)
-    kept = date_window(survivors, as_of, allow_undated)
+    # six outputs start from the kept rows: they are written once
+    kept = materialize(date_window(survivors, as_of, allow_undated))
     summed = summarize(kept, summary_template, generator)
     rows = output_paths(summed, as_of).select("seq", "run_date", "path", "title", "url", "source_name",
                                               "date", "summary")
     prompt = prompt_parts(kept, compose_template) if generator is not None else None
     article = compose_article(kept, compose_template, generator) if generator is not None else None
     return DigestResult(articles, results, site_report_parts(results, as_of), problem_accounts(results),
-                        survivors, removed, kept, rows, page_parts(summed, as_of, article, site_title),
+                        survivors, removed, kept, rows, page_parts(summed, as_of, article, site_title, site_title),
                         prompt, article)

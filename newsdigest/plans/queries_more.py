@@ -342,13 +342,16 @@ def q_dedup_articles(spark, d):
     return survivors.select("seq", "url", "title")
 
 
-@register("union_articles", f"""SELECT page_id * 1000000 + k AS seq, url, source_name FROM {_nav_articles_sql()} n
-UNION ALL SELECT 1000000000000000 + seq, url, source_name FROM ({DOC_ARTICLES_SQL}) a""")
+@register("union_articles", f"""SELECT row_number() OVER (ORDER BY kind, source, k) AS seq, url, source_name FROM (
+  SELECT 0 AS kind, page_id + 1099511627776 AS source, k, url, source_name FROM {_nav_articles_sql()} n
+  UNION ALL SELECT 1, seq, 0, url, source_name FROM ({DOC_ARTICLES_SQL}) a) u""")
 def q_union_articles(spark, d):
+    """U1 with page ids from 2^40 as the sources' places: numbers in a key don't run over."""
+    from .digest import union_articles
     web = _numbered(extract.extract_articles(_t(spark, d, "pages"), RuleSet(NAV_RULES)))
-    web = web.select((F.col("page_id") * 1000000 + F.col("k")).alias("seq"), "url", "source_name")
-    docs = X.doc_articles(spark, d).select((F.lit(10 ** 15) + F.col("seq")).alias("seq"), "url", "source_name")
-    return web.unionByName(docs)
+    web = web.select((F.col("page_id") + 2**40).alias("source_seq"), "k", "url", "source_name")
+    docs = X.doc_articles(spark, d).select(F.col("seq").alias("source_seq"), F.lit(0).alias("page"), F.lit(0).cast("bigint").alias("k"), "url", "source_name")
+    return union_articles(materialize(web), docs).select("seq", "url", "source_name")
 
 
 # --------------------------------------------------------------------------
@@ -486,27 +489,32 @@ def _summary_sql():
             " || (CASE WHEN length(content_text) > 200 THEN substr(content_text, 1, 200) || '...' ELSE content_text END) || chr(10)")
 
 
+PAGE_HEAD_SQL = f"""'<header><h1>Daily News Digest</h1><div class="date">2024-01-30</div><div class="stats">共 ' || CAST(n AS VARCHAR)
+  || ' 篇新闻 · 来自 ' || CAST(n_src AS VARCHAR) || ' 个来源</div></header>' || chr(10) || {Q.q(compose.DAILY_SECTION_EMPTY)}
+  || chr(10) || '<section>' || replace({Q.q(compose.SUMMARY_HEADING)}, '{{n}}', CAST(n AS VARCHAR)) || '<div class="summary-list">' || chr(10)"""
+PAGE_TAIL_SQL = """chr(10) || '</div></section>' || chr(10) || '<footer><p>由 Daily News Digest 自动生成 · 2024-01-30</p></footer>'"""
+
+
 @register("daily_page", f"""WITH a AS ({DOC_ARTICLES_SQL}), s AS (SELECT *, {_summary_sql()} AS summary FROM a),
 c AS (SELECT seq, source_name, {_card_sql('title', 'source_name', 'date', 'url', Q.md_to_html('summary'))} AS card FROM s),
 g AS (SELECT count(*) AS n, count(DISTINCT source_name) AS n_src, string_agg(card, '' ORDER BY seq) AS cards FROM c)
 SELECT '2024-01-30' AS run_date, 'Daily News Digest · 2024-01-30 周二' AS title,
   '共 ' || CAST(n AS VARCHAR) || ' 篇新闻 · 来自 ' || CAST(n_src AS VARCHAR) || ' 个来源' AS stats, n AS article_count,
-  {Q.q(compose.DAILY_SECTION_EMPTY)} AS daily_section, coalesce(cards, {Q.q(compose.EMPTY_SUMMARIES)}) AS summaries_html
+  {Q.q(compose.DAILY_SECTION_EMPTY)} AS daily_section, coalesce(cards, {Q.q(compose.EMPTY_SUMMARIES)}) AS summaries_html,
+  {PAGE_HEAD_SQL} || coalesce(cards, {Q.q(compose.EMPTY_SUMMARIES)}) || {PAGE_TAIL_SQL} AS html
 FROM g""")
 def q_daily_page(spark, d):
     s = compose.add_fallback_summary(X.doc_articles(spark, d))
-    return compose.daily_page(s, AS_OF).drop("html")
+    return compose.daily_page(s, AS_OF)
 
 
 @register("daily_page_parts", f"""WITH a AS ({DOC_ARTICLES_SQL}), s AS (SELECT *, {_summary_sql()} AS summary FROM a),
 g AS (SELECT count(*) AS n, count(DISTINCT source_name) AS n_src FROM a)
 SELECT '2024-01-30' AS run_date, 0 AS section, CAST(-1 AS BIGINT) AS seq,
-  '<header><h1>Daily News Digest</h1><div class="date">2024-01-30</div><div class="stats">共 ' || CAST(n AS VARCHAR)
-  || ' 篇新闻 · 来自 ' || CAST(n_src AS VARCHAR) || ' 个来源</div></header>' || chr(10) || {Q.q(compose.DAILY_SECTION_EMPTY)}
-  || chr(10) || '<section><div class="summary-list">' || chr(10) AS text FROM g
+  {PAGE_HEAD_SQL} AS text FROM g
 UNION ALL SELECT '2024-01-30', 1, seq, {_card_sql('title', 'source_name', 'date', 'url', Q.md_to_html('summary'))} FROM s
 UNION ALL SELECT '2024-01-30', 1, -1, {Q.q(compose.EMPTY_SUMMARIES)} FROM g WHERE n = 0
-UNION ALL SELECT '2024-01-30', 2, -1, chr(10) || '</div></section>'""")
+UNION ALL SELECT '2024-01-30', 2, -1, {PAGE_TAIL_SQL}""")
 def q_daily_page_parts(spark, d):
     """A6 + W3: the page as ordered rows, written and read back."""
     from ..session import ensure_checkpoint_dir
@@ -602,13 +610,13 @@ edges AS (SELECT a, b FROM pc WHERE 20 * inter > 17 * (na + nb - inter))"""
 
 
 _TOP_HITS_CTES = TOP_HITS_SQL[len("WITH "):TOP_HITS_SQL.index("\nSELECT account, CAST(hit_no")]
-UNION_SQL = f"""SELECT * FROM (
-  SELECT w.seq * 4294967296 + fa.k AS seq, fa.title, fa.url, fa.source_name, fa.source_url, fa.date, fa.date_parsed,
+UNION_SQL = f"""SELECT row_number() OVER (ORDER BY kind, src, page, k) AS seq, * EXCLUDE (kind, src, page, k) FROM (
+  SELECT 0 AS kind, w.seq AS src, 0 AS page, fa.k AS k, fa.title, fa.url, fa.source_name, fa.source_url, fa.date, fa.date_parsed,
          fa.content_html, fa.content_text
   FROM {FIXTURE_ARTICLES_SQL} fa JOIN (SELECT seq, value FROM ({SOURCES_SQL}) s WHERE kind = 'web' AND valid) w
     ON w.value = fa.source_url
   UNION ALL
-  SELECT 4611686018427387904 + ac.seq * 1048576 + top.page * 4096 + top.rank AS seq, top.title, top.article_url AS url,
+  SELECT 1, ac.seq, top.page, top.rank, top.title, top.article_url AS url,
          top.account || ' (公众号)' AS source_name, top.article_url AS source_url, strftime(top.pub_time, '%Y-%m-%d') AS date,
          top.pub_time AS date_parsed, CAST(NULL AS VARCHAR) AS content_html, '' AS content_text
   FROM (SELECT * FROM top WHERE hit_no <= 2) top
