@@ -280,6 +280,28 @@ def q_rule_resolution(spark, d):
     return r.select("page_id", "domain", F.coalesce("base_url", F.lit("")).alias("base_url"), "date_format", *SLOTS)
 
 
+@register("source_list_file", SOURCES_SQL.replace("CAST(line_no AS BIGINT) AS seq", "line_no - 1 AS seq").replace(
+    f"({SOURCE_LINES_SQL}) l", f"(SELECT row_number() OVER (ORDER BY line_no) AS line_no, line FROM ({SOURCE_LINES_SQL}) l0) l"))
+def q_source_list_file(spark, d):
+    """S1 from a text file in the shared folder: the list's lines, written in order and read by line."""
+    from ..session import ensure_checkpoint_dir
+    out = f"{ensure_checkpoint_dir(spark)}/sources-{uuid.uuid4().hex}"
+    lines = SL.source_lines_from_tables(_t(spark, d, "pages"), _t(spark, d, "events"))
+    lines.repartitionByRange("line_no").sortWithinPartitions("line_no").select("line").write.text(out)
+    return SL.read_sources(spark, out)
+
+
+@register("rule_resolution_file", ORACLES["rule_resolution"])
+def q_rule_resolution_file(spark, d):
+    """S2 with the rules read from JSON rows in the shared folder."""
+    from ..session import ensure_checkpoint_dir
+    out = f"{ensure_checkpoint_dir(spark)}/rules-{uuid.uuid4().hex}"
+    X.fixture_rules().frame(spark).write.json(out)
+    p = _t(spark, d, "pages").select("page_id", url_domain(F.col("url")).alias("domain"))
+    r = resolve_rules_for_domains(p, RuleSet.read(spark, out))
+    return r.select("page_id", "domain", F.coalesce("base_url", F.lit("")).alias("base_url"), "date_format", *SLOTS)
+
+
 @register("page_scan", "SELECT page_id, url, html IS NOT NULL AS fetched, CAST(length(html) AS BIGINT) AS n_chars FROM pages")
 def q_page_scan(spark, d):
     p = read_pages(spark, f"{d}/pages.parquet")
@@ -756,3 +778,55 @@ def q_summarize(spark, d):
     from .queries import PROMPT_TEMPLATE
     a = X.doc_articles(spark, d)
     return compose.summarize(a, PROMPT_TEMPLATE, first_sentence).select("seq", "summary")
+
+
+def count_blocks(prompt: str) -> str:
+    """A user text generator for A5: how many articles the prompt holds."""
+    return f"**{prompt.count('===== 文章')}** articles"
+
+
+@register("daily_article_file", """SELECT '2024-01-30' AS run_date, '**' || CAST(count(*) AS VARCHAR) || '** articles' AS content FROM documents
+HAVING count(*) > 0""")
+def q_daily_article_file(spark, d):
+    """A5 with a generator + W2: the day's article, written and read back."""
+    from ..session import ensure_checkpoint_dir
+    from ..sinks.writers import write_daily_article
+    content = compose.compose_article(X.doc_articles(spark, d), COMPOSE_TEMPLATE, count_blocks)
+    day = spark.createDataFrame([(AS_OF.isoformat(), content)], "run_date string, content string").filter("content IS NOT NULL")
+    out = write_daily_article(day, f"{ensure_checkpoint_dir(spark)}/w2-{uuid.uuid4().hex}")
+    return spark.read.schema("content string, run_date string").parquet(out)
+
+
+@register("site_report_file", f"SELECT run_date, report AS content FROM ({ORACLES['site_report_text']}) r")
+def q_site_report_file(spark, d):
+    """A2 + W4: the site report, written and read back."""
+    from ..session import ensure_checkpoint_dir
+    from ..sinks.writers import write_site_report
+    out = write_site_report(report.site_report_text(_site_results(spark, d), AS_OF), f"{ensure_checkpoint_dir(spark)}/w4-{uuid.uuid4().hex}")
+    return spark.read.schema("content string, run_date string").parquet(out)
+
+
+@register("derived_problem_accounts", """SELECT c_custkey AS seq, c_name AS account FROM customer
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey % 9 = 0)""")
+def q_derived_problem_accounts(spark, d):
+    """A3 on accounts of which some have no article: customers as followed accounts, every ninth order an article found."""
+    customers = _t(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("seq"), F.col("c_name").alias("value"))
+    found = _t(spark, d, "orders").filter("o_orderkey % 9 = 0").join(customers, F.col("o_custkey") == F.col("seq")).select(F.col("value").alias("account"))
+    none = customers.filter("false")
+    pages = _t(spark, d, "pages").filter("false")
+    return report.problem_accounts(report.site_results(none, pages, none.select(F.col("seq").alias("source_seq")), customers, found))
+
+
+@register("live_daily_digest", DIGEST_SQL)
+def q_live_daily_digest(spark, d):
+    """T1 over two streams, pages and search hits, that land in two parts: the tables after the second landing are those of one."""
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.incremental import start_live_digest
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/live-{uuid.uuid4().hex}"
+    pages, hits = _t(spark, d, "pages").select("page_id", "url", "html"), X.search_hits(spark, d)
+    for part in (0, 1):
+        pages.filter(F.pmod("page_id", F.lit(2)) == part).write.mode("append").parquet(f"{base}/pages")
+        hits.filter(F.pmod("article_page_id", F.lit(2)) != part).write.mode("append").parquet(f"{base}/hits")
+        start_live_digest(spark, f"{base}/pages", f"{base}/hits", _sources_df(spark, d), X.fixture_rules(), AS_OF, f"{base}/out", f"{base}/chk",
+                          allow_undated=True, as_of_ts=AS_OF_TS, tz="UTC").awaitTermination()
+    return spark.read.parquet(f"{base}/out/digest_rows").select("seq", F.col("run_date").cast("string"), "path", "title", "url", "source_name", "date", "summary")

@@ -56,13 +56,27 @@ class RuleSet:
                       if d != GENERIC_KEY and isinstance(r, dict) and "base_url" in r}
 
     @classmethod
-    def from_yaml(cls, path: str) -> "RuleSet":
+    def from_rows(cls, rows: DataFrame) -> "RuleSet":
+        """Rules from a table with ``RULES_SCHEMA``'s columns, one row per domain (a null is an absent key).  Later rows of a domain
+        (in the order of their columns) win.  Rules are configuration: more than ``MAX_BROADCAST_RULES`` rows are an error."""
+        found = rows.select(*[F.col(c).cast("string") for c in RULE_COLUMNS]).orderBy(*RULE_COLUMNS).limit(MAX_BROADCAST_RULES + 1).collect()
+        if len(found) > MAX_BROADCAST_RULES:
+            raise ValueError(f"more than {MAX_BROADCAST_RULES} rules")
+        return cls({r["domain"]: {c: r[c] for c in RULE_COLUMNS[1:] if r[c] is not None} for r in found})
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> "RuleSet":
+        """Rules from files that Spark reads: ``.yaml`` / ``.yml`` (a map from domains to rules), else JSON rows with ``RULES_SCHEMA``."""
+        if not path.endswith((".yaml", ".yml")):
+            return cls.from_rows(spark.read.schema(RULES_SCHEMA).json(path))
         try:
             import yaml  # optional dependency
         except ImportError as e:  # pragma: no cover
-            raise ImportError("reading YAML rules needs PyYAML; pass a dict instead") from e
-        with open(path, encoding="utf-8") as fh:
-            return cls(yaml.safe_load(fh) or {})
+            raise ImportError("reading YAML rules needs PyYAML; use JSON rows instead") from e
+        merged: dict = {}
+        for row in spark.read.text(path, wholetext=True).collect():        # configuration files
+            merged |= yaml.safe_load(row["value"]) or {}
+        return cls(merged)
 
     def _generic_slot(self, name: str) -> str:
         return self.generic.get(name, SLOT_DEFAULTS[name])

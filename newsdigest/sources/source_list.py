@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LINE_BREAK_RE, WS, WS_CHARS, py_strip
+from ..operators.numbering import numbered
+from ..session import materialize
 
 ACCOUNT_PREFIX = "wechat:"
 # The bullet and URL patterns of the source list.
@@ -35,15 +37,28 @@ def parse_source_lines(lines: DataFrame, line_col: str = "line", seq_col: str =
         F.when(F.col("_acct"), F.col("_name") != "").otherwise(F.col("_item").rlike(URL_RE)).alias("valid"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(line_no, line)`` of the text files at ``path``, numbered from 0 in
+    file order.  Files are read line by line through Spark's file system, in
+    parts of a file where it is long; a line is then cut at the other breaks
+    that Python knows.  The number is the line's position by file, start of
+    the part, and order in it."""
+    read = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("nth"), "value")
+    read = materialize(read)            # the ids hold for this one reading
+    lines = read.select("file", "start", "nth", F.posexplode(F.split("value", LINE_BREAK_RE)).alias("part", "line"))
+    return numbered(lines, ["file", "start", "nth", "part"], "line_no").select((F.col("line_no") - 1).alias("line_no"), "line")
+
+
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """S1 from a text file; a missing file gives an empty table."""
     try:
-        whole = spark.read.text(path, wholetext=True)
+        lines = read_lines(spark, path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], SOURCES_SCHEMA)
-    lines = whole.select(F.posexplode(F.split(F.col("value"), LINE_BREAK_RE)).alias("line_no", "line"))
     return parse_source_lines(lines)
 
 
@@ -69,7 +84,7 @@ def source_lines_from_tables(pages: DataFrame, events: DataFrame) -> DataFrame:
     # distinct set is the followed-account list, a handful of rows)
     types = events.select("event_type").distinct()
     acct = types.select(
-        (F.lit(10 ** 9) + F.row_number().over(Window.orderBy("event_type"))).alias("line_no"),
+        (F.lit(10 ** 9) + F.row_number().over(Window.orderBy("event_type"))).alias("line_no"),   # one row per followed account
         F.concat(F.lit("- "), F.when(F.length("event_type") % 2 == 0, F.lit("WeChat:")).otherwise(F.lit("wechat: ")),
                  F.col("event_type")).alias("line"))
     head = pages.sparkSession.createDataFrame([(0, "# sources"), (1, "## web")], "line_no long, line string")

@@ -65,3 +65,35 @@ def test_digest_stream_runs_the_whole_digest(spark, tmp_path):
     assert [r.content for r in spark.read.parquet(f"{out}/daily_article").collect()] == ["The day's article"]
     page = "".join(r.text for r in spark.read.parquet(f"{out}/page").orderBy("section", "seq").collect())
     assert "The day's article" in page or "The day&#x27;s article" in page
+
+
+def test_two_landings_of_two_streams_give_the_tables_of_one(spark, tmp_path):
+    import datetime as dt
+
+    from newsdigest.streaming.incremental import HITS_SCHEMA, start_live_digest
+    nav = "<nav><ul><li><a href='/{0}'>{0}</a><i>2024-01-30</i></li></ul></nav>"
+    article = "<h1 id=activity-name>Account article</h1><div id=js_content><p>x</p></div>"
+    pages = spark.createDataFrame([(1, "https://s.org/", nav.format("old title here")), (2, "https://f.org/", None), (3, "https://g.org/", nav.format("other words")),
+                                   (4, "https://s.org/", nav.format("new title here")), (5, "https://mp.org/a", article)],
+                                  "page_id long, url string, html string")
+    link = "/link?url=1"
+    hits = spark.createDataFrame([("acc", 1, 0, "acc", "timeConvert('1706600000')", link, False, 5), ("acc", 2, 0, "acc", "", link, True, 5)], HITS_SCHEMA)
+    sources = spark.createDataFrame([(0, "web", "https://s.org/", True), (1, "web", "https://f.org/", True), (2, "web", "https://g.org/", True),
+                                     (3, "web", "https://never.org/", True), (4, "account", "acc", True), (5, "account", "none", True)],
+                                    "seq long, kind string, value string, valid boolean")
+    rules = RuleSet({"generic_list_rule": {"article_list_css": "nav li", "title_css": "a", "link_css": "a", "date_css": "i", "date_format": "%Y-%m-%d"}})
+
+    def run(name, landings):
+        base = str(tmp_path / name)
+        for keep_pages, keep_hits in landings:
+            pages.filter(keep_pages).write.mode("append").parquet(f"{base}/pages")
+            hits.filter(keep_hits).write.mode("append").parquet(f"{base}/hits")
+            start_live_digest(spark, f"{base}/pages", f"{base}/hits", sources, rules, dt.date(2024, 1, 30), f"{base}/out", f"{base}/chk", tz="UTC").awaitTermination()
+        return {t: sorted(map(str, spark.read.parquet(f"{base}/out/{t}").collect())) for t in ("digest_rows", "removed", "page", "site_report")}
+
+    once = run("once", [("true", "true")])
+    assert run("hits first", [("page_id IN (1, 2)", "true"), ("page_id IN (3, 4, 5)", "false")]) == once
+    assert run("pages first", [("page_id >= 3", "false"), ("page_id < 3", "true")]) == once
+    text = "\n".join(once["site_report"])
+    assert "new title here" in str(once["digest_rows"]) and "old title" not in str(once["digest_rows"]) and "Account article" in str(once["digest_rows"])
+    assert text.count("[失败]") == 2 and "公众号:none" in text
