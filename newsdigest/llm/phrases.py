@@ -2,10 +2,15 @@
 
 A window is 35 consecutive words.  The least hash of its twelve-word parts is its anchor: equal windows have equal
 anchors, and a text has one anchor in about a dozen words, so only anchors are shuffled.  Around an anchor lies the
-region of the windows that share it.  A region that recurs whole confirms all its windows; where an anchor recurs
-in different regions, the windows themselves are counted.  Confirmed passages of a shard of documents are compiled
-into one Aho-Corasick automaton over words, all documents of the shard are streamed through it, and each word that
-an occurrence covers is removed.
+region of the windows that share it; its words are a segment.  Every window lies in one segment, and an equal window only in
+segments of the same anchor.
+
+Confirm: anchors that stand once are left out; of the others each different segment is fetched once.  A segment that is
+its anchor's only one is a recurring passage whole; where an anchor has different segments, the windows in them are
+counted, and those that recur are passages.  Compile: every passage once, into Aho-Corasick automata over words, sharded
+by anchor and of bounded size.  Stream: all documents, as the different segments that they consist of, each through its
+anchor's automaton; what the automaton finds are the occurrences.  They are carried to all places of the segment, and every
+word that one covers is removed.
 
 Defined results: a null or empty text has no words (n_removed 0, digest of the empty string); repeated rows make
 each other's windows repeat; a null doc_id is an id like others; an empty table gives an empty result; other
@@ -20,14 +25,17 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .spaced_seeds import bounded
 from .storage import written
 from .words import Words, sliding_argmin, split_words, text_chunks
 
 WINDOW, PART = 35, 12
+#: Words of an automaton's passages, and of the segments that are streamed through it.
+SHARD_WORDS = 2_000_000
 
 
 def anchored_regions(w: Words, window: int = WINDOW, part: int = PART) -> pd.DataFrame:
@@ -66,91 +74,104 @@ def regions(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
-def _spread(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """All numbers of the inclusive ranges, range after range."""
-    size = stops - starts + 1
-    return np.repeat(starts - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-
-
-def open_windows(rows: DataFrame) -> DataFrame:
-    """(one, two, doc_id, digest, at, known) of the windows in ``parts`` of each row; one and two are its 128-bit hash."""
+def segments(rows: DataFrame) -> DataFrame:
+    """(anchor, region, n, kinds, size, words): the words of the ``parts`` of each row, separated by spaces."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = _texts(batch)
             for a, b in text_chunks(texts):
                 w = split_words(texts[a:b])
-                parts = [(i, p["start"], p["stop"], p["known"]) for i, ps in enumerate(batch["parts"].iloc[a:b]) for p in ps]
-                doc, start, stop, known = (np.array(x) for x in zip(*parts))
-                at = _spread(start + w.first[doc], stop + w.first[doc])
-                size = stop - start + 1
-                owner = np.repeat(doc, size)
-                yield pd.DataFrame({"one": w.sequence_hash(at, at + WINDOW, 0).view(np.int64), "two": w.sequence_hash(at, at + WINDOW, 1).view(np.int64),
-                                    "doc_id": batch["doc_id"].iloc[a + owner].to_numpy(), "digest": batch["digest"].to_numpy()[a + owner],
-                                    "at": at - w.first[owner], "known": np.repeat(known, size)})
-
-    schema = T.StructType([T.StructField("one", T.LongType()), T.StructField("two", T.LongType()), rows.schema["doc_id"],
-                           T.StructField("digest", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("known", T.BooleanType())])
-    return rows.mapInPandas(run, schema)
+                out = []
+                for base, parts in zip(w.first[:-1].tolist(), batch["parts"].iloc[a:b]):
+                    for p in parts:
+                        spans = zip(w.starts[base + p["start"]:base + p["stop"] + WINDOW].tolist(), w.ends[base + p["start"]:base + p["stop"] + WINDOW].tolist())
+                        out.append((p["anchor"], p["region"], p["n"], p["kinds"], p["stop"] - p["start"] + WINDOW, b" ".join([w.data[s:e] for s, e in spans])))
+                yield pd.DataFrame(out, columns=["anchor", "region", "n", "kinds", "size", "words"])
+
+    return rows.mapInPandas(run, "anchor long, region long, n long, kinds long, size int, words binary")
+
+
+def windows_of(segs: DataFrame) -> DataFrame:
+    """(one, two, n, anchor, region, at) of all windows of the segments; one and two are a window's 128-bit hash."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            w = split_words([t.decode("utf-8", "surrogatepass") for t in batch["words"]])
+            at, owner = w.windows(WINDOW)
+            yield pd.DataFrame({"one": w.sequence_hash(at, at + WINDOW, 0).view(np.int64), "two": w.sequence_hash(at, at + WINDOW, 1).view(np.int64),
+                                "n": batch["n"].to_numpy()[owner], "anchor": batch["anchor"].to_numpy()[owner], "region": batch["region"].to_numpy()[owner],
+                                "at": at - w.first[owner]})
+
+    return segs.mapInPandas(run, "one long, two long, n long, anchor long, region long, at int")
 
 
 class PhraseAutomaton:
-    """An Aho-Corasick automaton over the word numbers of a batch; every pattern is ``window`` words long."""
+    """An Aho-Corasick automaton over the word numbers of a batch of texts."""
 
-    def __init__(self, w: Words, window: int = WINDOW):
+    def __init__(self, w: Words):
         _, number = np.unique(w.hashes, return_inverse=True)
-        self.window, self.w = window, w
         self.width = 1 if len(number) == 0 or number.max() < 1_000_000 else 2      # characters for a word
         digits = [number] if self.width == 1 else [number >> 16, number & 0xFFFF]
         codes = np.stack(digits, axis=1).astype(np.uint32) + 1
         codes[codes >= 0xD800] += 0x800                                            # these code points are no characters
         self.text = codes.tobytes().decode("utf-32-le") if len(number) else ""
         self.auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        self.size = 0
 
     def words(self, start: int, end: int) -> str:
         return self.text[start * self.width:end * self.width]
 
-    def add_passage(self, start: int, stop: int) -> None:
-        """The windows [start, stop]: patterns that cover them all, end to end and the last."""
-        for at in [*range(start, stop, self.window), stop]:
-            self.size += self.auto.add_word(self.words(at, at + self.window))
-
-    def covered(self) -> np.ndarray:
-        """Flags of the words that some occurrence covers, over all documents."""
-        edge = np.zeros(len(self.w.hashes) + 1, dtype=np.int64)
-        if self.size:
-            self.auto.make_automaton()
-            for a, b in zip(self.w.first[:-1].tolist(), self.w.first[1:].tolist()):
-                if b - a < self.window:
+    def add(self, start: int, end: int) -> None:
+        """The words [start, end) are a passage."""
+        self.auto.add_word(self.words(start, end))
+
+    def occurrences(self, start: int, end: int) -> Iterator[tuple[int, int]]:
+        """First word and end (from ``start``) of every occurrence of a passage in the words [start, end)."""
+        for last, size in self.auto.iter(self.words(start, end)):
+            if (last + 1) % self.width == 0:
+                stop = (last + 1) // self.width
+                yield stop - size // self.width, stop
+
+
+def _locate(streamed: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
+    """(anchor, region, start, stop): runs of window starts at which a passage stands in the segments."""
+    out: list[tuple] = []
+    if len(streamed) and len(passages):
+        texts = [t.decode("utf-8", "surrogatepass") for part in (passages["words"], streamed["words"]) for t in part]
+        w = split_words(texts)
+        automaton, first = PhraseAutomaton(w), w.first.tolist()
+        for begin, end, ats in zip(first, first[1:], passages["ats"]):
+            if ats is None:
+                automaton.add(begin, end)
+            else:
+                for at in ats:
+                    automaton.add(begin + at, begin + at + WINDOW)
+        automaton.auto.make_automaton()
+        for begin, end, anchor, region in zip(first[len(passages):], first[len(passages) + 1:], streamed["anchor"], streamed["region"]):
+            run = None
+            for a, b in sorted(automaton.occurrences(begin, end)):
+                if run is not None and a <= run[1] + 1:
+                    run = (run[0], max(run[1], b - WINDOW))
                     continue
-                for end, _ in self.auto.iter(self.words(a, b)):
-                    if (end + 1) % self.width == 0:
-                        stop = a + (end + 1) // self.width
-                        edge[stop - self.window] += 1
-                        edge[stop] -= 1
-        return np.cumsum(edge)[:-1] > 0
+                if run is not None:
+                    out.append((anchor, region, *run))
+                run = (a, b - WINDOW)
+            if run is not None:
+                out.append((anchor, region, *run))
+    return pd.DataFrame(out, columns=["anchor", "region", "first", "last"])
 
 
 def removal(rows: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 from the rows' texts and confirmed ``runs`` of window starts."""
+    """doc_id, n_words, n_removed, kept_sha256 from the rows' texts and the ``runs`` of window starts found in them."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = _texts(batch)
             for a, b in text_chunks(texts):
                 w = split_words(texts[a:b])
-                shard = PhraseAutomaton(w)
+                edge = np.zeros(len(w.hashes) + 1, dtype=np.int64)
                 for base, runs in zip(w.first[:-1].tolist(), batch["runs"].iloc[a:b]):
-                    end = None
-                    for r in sorted((int(x["start"]), int(x["stop"])) for x in (runs if runs is not None else ())):
-                        if end is not None and r[0] <= end[1] + 1:
-                            end = (end[0], max(end[1], r[1]))
-                            continue
-                        if end is not None:
-                            shard.add_passage(base + end[0], base + end[1])
-                        end = r
-                    if end is not None:
-                        shard.add_passage(base + end[0], base + end[1])
-                gone = shard.covered()
+                    for r in (runs if runs is not None else ()):
+                        edge[base + r["start"]] += 1
+                        edge[base + r["stop"] + WINDOW] -= 1
+                gone = np.cumsum(edge)[:-1] > 0
                 out = []
                 for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
                     kept = i + np.flatnonzero(~gone[i:j])
@@ -165,29 +186,68 @@ def removal(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
-def confirmed_runs(rows: DataFrame) -> DataFrame:
-    """(doc_id, digest, start, stop): window starts whose word sequence stands at least twice in the table."""
-    places = written(regions(rows), "regions")
-    same = places.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("n"))
+def _row_keys(doc_id: str, digest: str) -> tuple[Column, Column]:
+    return F.col(doc_id).alias("own_id"), F.col(digest).alias("own_digest")
+
+
+def same_row() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
+
+
+def recurring_segments(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The different segments of anchors that stand at least twice, each fetched once: (anchor, region, n, kinds, size, words); n is
+    the number of its places, kinds that of the anchor's different segments."""
+    same = places.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "digest", "start", "stop")).alias("one"))
     several = same.groupBy("anchor").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("`all` > 1").drop("all")
-    known = same.join(several, "anchor")
-    known = written(known, "recurring")
-    found = written(places.join(known, ["anchor", "region"]).select("doc_id", "digest", "start", "stop", "n", "kinds"), "recurring-places")
-    whole = found.filter("n > 1").select("doc_id", "digest", "start", "stop")
-    mixed = (found.filter("kinds > 1").groupBy(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest"))
-             .agg(F.collect_set(F.struct("start", "stop", (F.col("n") > 1).alias("known"))).alias("parts")))
-    same_row = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
-    windows = written(open_windows(rows.join(mixed, same_row).select("doc_id", "digest", "text", "parts")), "open-windows")
-    twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    single = windows.filter("NOT known").join(twice, ["one", "two"], "left_semi")
-    return whole.unionByName(single.select("doc_id", "digest", F.col("at").alias("start"), F.col("at").alias("stop")))
+    wanted = (same.join(several, "anchor").groupBy(*_row_keys("one.doc_id", "one.digest"))
+              .agg(F.collect_list(F.struct("anchor", "region", "n", "kinds", "one.start", "one.stop")).alias("parts")))
+    fetched = segments(rows.join(wanted, same_row()).select("text", "parts"))
+    return written(fetched.dropDuplicates(["anchor", "region"]), "segments")          # a repeated row fetches them again
+
+
+def passages_of(segs: DataFrame) -> DataFrame:
+    """The recurring passages, each once: (anchor, words, nodes, ats): the whole segment (``ats`` null), or its windows ``ats``."""
+    counted = windows_of(segs.filter("kinds > 1")).groupBy("one", "two").agg(F.sum("n").alias("n"), F.min(F.struct("anchor", "region", "at")).alias("w"))
+    inside = counted.filter("n > 1").groupBy("w.anchor", "w.region").agg(F.collect_list("w.at").alias("ats"))
+    some = segs.join(inside, ["anchor", "region"]).select("anchor", "words", (F.lit(WINDOW) * F.size("ats")).alias("nodes"), "ats")
+    whole = segs.filter("kinds = 1").select("anchor", "words", F.col("size").alias("nodes"), F.lit(None).cast("array<int>").alias("ats"))
+    return written(some.unionByName(whole), "passages")
+
+
+def dealt(segs: DataFrame, passages: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both with (shard, x, y): shards of anchors with about ``most`` words each.  An anchor with more is split into blocks on both
+    sides, of which each pair meets apart."""
+    load = (segs.select("anchor", F.col("size").alias("words"), F.lit(0).alias("nodes"))
+            .unionByName(passages.select("anchor", F.lit(0).alias("words"), "nodes")).groupBy("anchor").agg(F.sum("words").alias("words"), F.sum("nodes").alias("nodes")))
+    total = load.agg(F.coalesce(F.greatest(F.sum("words"), F.sum("nodes")), F.lit(0))).first()[0]
+    shards = max(1, -(-2 * total // most))
+    hot = written(load.filter(F.greatest("words", "nodes") > most // 2)
+                  .select("anchor", F.ceil(2 * F.col("words") / most).alias("xs"), F.ceil(2 * F.col("nodes") / most).alias("ys")), "hot-anchors")
+    few, one = bounded(hot), F.lit(1).cast("long")
+    xs, ys = F.coalesce("xs", one), F.coalesce("ys", one)
+    shard = F.when(F.col("xs").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.col("anchor")).alias("shard")
+    own = lambda n: F.pmod(F.xxhash64("words"), n)                                            # noqa: E731
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))                     # noqa: E731
+    return (segs.join(few, "anchor", "left").select("anchor", "region", "words", shard, own(xs).alias("x"), every(ys).alias("y")),
+            passages.join(few, "anchor", "left").select("words", "ats", shard, own(ys).alias("y"), every(xs).alias("x")))
+
+
+def found_runs(rows: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(doc_id, digest, start, stop): runs of window starts at which a recurring passage stands."""
+    places = written(regions(rows), "regions")
+    segs = recurring_segments(rows, places)
+    streamed, passages = dealt(segs, passages_of(segs), shard_words)
+    keys = ["shard", "x", "y"]
+    found = (streamed.groupBy(*keys).cogroup(passages.groupBy(*keys))
+             .applyInPandas(lambda s, p: _locate(s, p), "anchor long, region long, first int, last int"))
+    found = written(found.groupBy("anchor", "region").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "occurrences")
+    return places.join(found, ["anchor", "region"]).select("doc_id", "digest", "start", F.explode("runs").alias("r")) \
+        .select("doc_id", "digest", (F.col("start") + F.col("r.first")).alias("start"), (F.col("start") + F.col("r.last")).alias("stop"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed and the SHA-256 of the words kept."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("digest"))
-    runs = (confirmed_runs(rows).groupBy(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest"))
-            .agg(F.collect_set(F.struct("start", "stop")).alias("runs")))
-    same_row = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
-    return removal(rows.join(runs, same_row, "left").select("doc_id", "text", "runs"))
+    runs = found_runs(rows).groupBy(*_row_keys("doc_id", "digest")).agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
+    return removal(rows.join(runs, same_row(), "left").select("doc_id", "text", "runs"))
