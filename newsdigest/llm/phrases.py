@@ -75,7 +75,7 @@ def regions(rows: DataFrame) -> DataFrame:
 
 
 def segments(rows: DataFrame) -> DataFrame:
-    """(anchor, region, n, kinds, size, words): the words of the ``parts`` of each row, separated by spaces."""
+    """(anchor, region, n, mixed, size, words): the words of the ``parts`` of each row, separated by spaces."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = _texts(batch)
@@ -85,10 +85,10 @@ def segments(rows: DataFrame) -> DataFrame:
                 for base, parts in zip(w.first[:-1].tolist(), batch["parts"].iloc[a:b]):
                     for p in parts:
                         spans = zip(w.starts[base + p["start"]:base + p["stop"] + WINDOW].tolist(), w.ends[base + p["start"]:base + p["stop"] + WINDOW].tolist())
-                        out.append((p["anchor"], p["region"], p["n"], p["kinds"], p["stop"] - p["start"] + WINDOW, b" ".join([w.data[s:e] for s, e in spans])))
-                yield pd.DataFrame(out, columns=["anchor", "region", "n", "kinds", "size", "words"])
+                        out.append((p["anchor"], p["region"], p["n"], p["mixed"], p["stop"] - p["start"] + WINDOW, b" ".join([w.data[s:e] for s, e in spans])))
+                yield pd.DataFrame(out, columns=["anchor", "region", "n", "mixed", "size", "words"])
 
-    return rows.mapInPandas(run, "anchor long, region long, n long, kinds long, size int, words binary")
+    return rows.mapInPandas(run, "anchor long, region long, n long, mixed boolean, size int, words binary")
 
 
 def windows_of(segs: DataFrame) -> DataFrame:
@@ -131,23 +131,21 @@ class PhraseAutomaton:
                 yield stop - size // self.width, stop
 
 
-def _locate(streamed: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
-    """(anchor, region, start, stop): runs of window starts at which a passage stands in the segments."""
+def _locate(rows: pd.DataFrame) -> pd.DataFrame:
+    """(anchor, region, first, last): runs of window starts at which a passage stands in the streamed segments.  ``ats`` are the
+    windows of a row that are passages; -1 stands for all of its words."""
     out: list[tuple] = []
-    if len(streamed) and len(passages):
-        texts = [t.decode("utf-8", "surrogatepass") for part in (passages["words"], streamed["words"]) for t in part]
-        w = split_words(texts)
-        automaton, first = PhraseAutomaton(w), w.first.tolist()
-        for begin, end, ats in zip(first, first[1:], passages["ats"]):
-            if ats is None:
-                automaton.add(begin, end)
-            else:
-                for at in ats:
-                    automaton.add(begin + at, begin + at + WINDOW)
+    w = split_words([t.decode("utf-8", "surrogatepass") for t in rows["words"]])
+    automaton, first, size = PhraseAutomaton(w), w.first.tolist(), 0
+    for begin, end, ats in zip(first, first[1:], rows["ats"]):
+        for at in (ats if ats is not None else ()):
+            size += 1
+            automaton.add(begin if at < 0 else begin + at, end if at < 0 else begin + at + WINDOW)
+    if size:
         automaton.auto.make_automaton()
-        for begin, end, anchor, region in zip(first[len(passages):], first[len(passages) + 1:], streamed["anchor"], streamed["region"]):
+        for begin, end, streamed, anchor, region in zip(first, first[1:], rows["streamed"], rows["anchor"], rows["region"]):
             run = None
-            for a, b in sorted(automaton.occurrences(begin, end)):
+            for a, b in sorted(automaton.occurrences(begin, end)) if streamed else ():
                 if run is not None and a <= run[1] + 1:
                     run = (run[0], max(run[1], b - WINDOW))
                     continue
@@ -194,52 +192,61 @@ def same_row() -> Column:
     return F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
 
 
+def recurring_places(places: DataFrame) -> DataFrame:
+    """The places of anchors that stand at least twice, and whether the anchor has different segments."""
+    several = (places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("least"), F.max("region").alias("most"))
+               .filter("n > 1").select("anchor", (F.col("least") != F.col("most")).alias("mixed")))
+    return written(places.join(several, "anchor"), "recurring-places")
+
+
 def recurring_segments(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """The different segments of anchors that stand at least twice, each fetched once: (anchor, region, n, kinds, size, words); n is
-    the number of its places, kinds that of the anchor's different segments."""
-    same = places.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "digest", "start", "stop")).alias("one"))
-    several = same.groupBy("anchor").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("`all` > 1").drop("all")
-    wanted = (same.join(several, "anchor").groupBy(*_row_keys("one.doc_id", "one.digest"))
-              .agg(F.collect_list(F.struct("anchor", "region", "n", "kinds", "one.start", "one.stop")).alias("parts")))
+    """Their different segments, each fetched from one of its places: (anchor, region, n, mixed, size, words); n is the number of
+    places."""
+    one = places.groupBy("anchor", "region", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "digest", "start", "stop")).alias("one"))
+    wanted = (one.groupBy(*_row_keys("one.doc_id", "one.digest"))
+              .agg(F.collect_list(F.struct("anchor", "region", "n", "mixed", "one.start", "one.stop")).alias("parts")))
     fetched = segments(rows.join(wanted, same_row()).select("text", "parts"))
-    return written(fetched.dropDuplicates(["anchor", "region"]), "segments")          # a repeated row fetches them again
+    # rows that are equal in id and text would fetch a segment each
+    repeated = places.filter("start = 0").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return written(fetched if repeated.isEmpty() else fetched.dropDuplicates(["anchor", "region"]), "segments")
 
 
 def passages_of(segs: DataFrame) -> DataFrame:
-    """The recurring passages, each once: (anchor, words, nodes, ats): the whole segment (``ats`` null), or its windows ``ats``."""
-    counted = windows_of(segs.filter("kinds > 1")).groupBy("one", "two").agg(F.sum("n").alias("n"), F.min(F.struct("anchor", "region", "at")).alias("w"))
-    inside = counted.filter("n > 1").groupBy("w.anchor", "w.region").agg(F.collect_list("w.at").alias("ats"))
-    some = segs.join(inside, ["anchor", "region"]).select("anchor", "words", (F.lit(WINDOW) * F.size("ats")).alias("nodes"), "ats")
-    whole = segs.filter("kinds = 1").select("anchor", "words", F.col("size").alias("nodes"), F.lit(None).cast("array<int>").alias("ats"))
-    return written(some.unionByName(whole), "passages")
-
-
-def dealt(segs: DataFrame, passages: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Both with (shard, x, y): shards of anchors with about ``most`` words each.  An anchor with more is split into blocks on both
-    sides, of which each pair meets apart."""
-    load = (segs.select("anchor", F.col("size").alias("words"), F.lit(0).alias("nodes"))
-            .unionByName(passages.select("anchor", F.lit(0).alias("words"), "nodes")).groupBy("anchor").agg(F.sum("words").alias("words"), F.sum("nodes").alias("nodes")))
-    total = load.agg(F.coalesce(F.greatest(F.sum("words"), F.sum("nodes")), F.lit(0))).first()[0]
-    shards = max(1, -(-2 * total // most))
+    """(anchor, region, ats) of the recurring windows of anchors with different segments, each window once."""
+    counted = windows_of(segs.filter("mixed")).groupBy("one", "two").agg(F.sum("n").alias("n"), F.min(F.struct("anchor", "region", "at")).alias("w"))
+    return counted.filter("n > 1").groupBy("w.anchor", "w.region").agg(F.collect_list("w.at").alias("ats"))
+
+
+def dealt(segs: DataFrame, passages: DataFrame, most: int) -> DataFrame:
+    """Segments, with their passages, in shards of anchors with about ``most`` words each: (shard, x, y, anchor, region, words, ats,
+    streamed).  An anchor with more is split into blocks of segments (x) and of passages (y), of which each pair meets apart."""
+    marked = written(segs.filter("mixed").join(passages, ["anchor", "region"], "left")
+                     .select("anchor", "region", "size", "words", "ats", (WINDOW * F.coalesce(F.size("ats"), F.lit(0))).alias("nodes")), "passages")
+    load = marked.groupBy("anchor").agg(F.sum("size").alias("words"), F.sum(F.when(F.col("nodes") > 0, F.col("nodes")).otherwise(0)).alias("nodes"))
     hot = written(load.filter(F.greatest("words", "nodes") > most // 2)
-                  .select("anchor", F.ceil(2 * F.col("words") / most).alias("xs"), F.ceil(2 * F.col("nodes") / most).alias("ys")), "hot-anchors")
-    few, one = bounded(hot), F.lit(1).cast("long")
-    xs, ys = F.coalesce("xs", one), F.coalesce("ys", one)
-    shard = F.when(F.col("xs").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.col("anchor")).alias("shard")
+                  .select("anchor", F.ceil(2 * F.col("words") / most).alias("xs"), F.ceil(F.greatest(2 * F.col("nodes") / most, F.lit(1))).alias("ys")), "hot-anchors")
+    few = bounded(hot)
+    total = segs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] + load.agg(F.coalesce(F.sum("nodes"), F.lit(0))).first()[0]
+    shards = max(1, -(-2 * total // most))
+    zero, shard = F.lit(0).cast("long"), F.pmod(F.xxhash64("anchor"), F.lit(shards))
+    out = lambda df, shard, x, y, ats, streamed: df.select(shard.alias("shard"), x.alias("x"), y.alias("y"), "anchor", "region", "words",      # noqa: E731
+                                                           ats.cast("array<int>").alias("ats"), F.lit(streamed).alias("streamed"))
+    whole = out(segs.filter("NOT mixed"), shard, zero, zero, F.array(F.lit(-1)), True)
+    plain = out(marked.join(few, "anchor", "left_anti"), shard, zero, zero, F.col("ats"), True)
+    split = marked.join(few, "anchor")
     own = lambda n: F.pmod(F.xxhash64("words"), n)                                            # noqa: E731
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))                     # noqa: E731
-    return (segs.join(few, "anchor", "left").select("anchor", "region", "words", shard, own(xs).alias("x"), every(ys).alias("y")),
-            passages.join(few, "anchor", "left").select("words", "ats", shard, own(ys).alias("y"), every(xs).alias("x")))
+    every = lambda n: F.explode(F.sequence(zero, n - 1))                                      # noqa: E731
+    streamed = out(split, F.col("anchor"), own(F.col("xs")), every(F.col("ys")), F.lit(None), True)
+    compiled = out(split.filter("nodes > 0"), F.col("anchor"), every(F.col("xs")), own(F.col("ys")), F.col("ats"), False)
+    return whole.unionByName(plain).unionByName(streamed).unionByName(compiled)
 
 
 def found_runs(rows: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, digest, start, stop): runs of window starts at which a recurring passage stands."""
-    places = written(regions(rows), "regions")
+    places = recurring_places(written(regions(rows), "regions"))
     segs = recurring_segments(rows, places)
-    streamed, passages = dealt(segs, passages_of(segs), shard_words)
-    keys = ["shard", "x", "y"]
-    found = (streamed.groupBy(*keys).cogroup(passages.groupBy(*keys))
-             .applyInPandas(lambda s, p: _locate(s, p), "anchor long, region long, first int, last int"))
+    found = (dealt(segs, passages_of(segs), shard_words).groupBy("shard", "x", "y")
+             .applyInPandas(_locate, "anchor long, region long, first int, last int"))
     found = written(found.groupBy("anchor", "region").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "occurrences")
     return places.join(found, ["anchor", "region"]).select("doc_id", "digest", "start", F.explode("runs").alias("r")) \
         .select("doc_id", "digest", (F.col("start") + F.col("r.first")).alias("start"), (F.col("start") + F.col("r.last")).alias("stop"))

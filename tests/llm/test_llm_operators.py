@@ -302,8 +302,18 @@ def test_warc_round_trip(spark):
     assert all(r.intact and r.payload_digest == hashlib.sha1(data[r.page_id]).hexdigest() and r.payload_bytes == len(data[r.page_id]) for r in got)
     assert collections.Counter((r.page_id, r.record_type, r.refers_to) for r in got) == collections.Counter(
         [(1, "revisit", 7), (2, "revisit", 7), (None, "revisit", 7), *[(k, "response", None) for k in (3, 4, 5, 6, 7, 7)]])
-    files = spark.read.format("binaryFile").load(path).collect()
-    assert b"".join(gzip.decompress(f.content) for f in files).count(b"WARC-Type: ") == 9
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).collect()
+    raw = b"".join(gzip.decompress(f.content) for f in files)
+    assert raw.count(b"WARC-Type: warcinfo") == len(files) and raw.count(b"WARC-Type: re") == 9 and b"WARC-Date: 1970" not in raw
+    assert raw.count(b"WARC-Refers-To-Target-URI: ") == 3 and raw.count(b"WARC-Refers-To-Date: ") == 3
+    for f in files:                                    # a gzip member for every record
+        assert f.content.count(b"\x1f\x8b\x08\x00") >= gzip.decompress(f.content).count(b"WARC/1.1\r\nWARC-Type: ")
+    texts = {r.page_id: r.payload for r in warc.read_archives(spark, path).collect() if r.payload is not None}
+    assert {int(k): bytes(v) for k, v in texts.items()} == {k: data[k] for k in (3, 4, 5, 6, 7)}
+    small = storage.shared_path(spark, "warc-small")
+    warc.write_archives(pages.coalesce(1), small, most_bytes=500)          # several archives
+    names = spark.read.parquet(small + "/manifest")
+    assert names.count() > 2 and names.agg({"records": "sum"}).first()[0] == 9 and warc.read_archives(spark, small).count() == 9
     empty = storage.shared_path(spark, "warc-empty")
     warc.write_archives(pages.limit(0), empty)
     assert warc.read_archives(spark, empty).count() == 0
