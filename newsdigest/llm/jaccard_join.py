@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .storage import written
+from .storage import hot_join, written
 from .words import Words, mix, split_words, text_chunks
 
 SHINGLE = 5
@@ -35,7 +35,8 @@ BANDS, ROWS = 24, 4
 STEPS = (8, 16, 32, 64, BANDS * ROWS)
 TOLERANCE = 1e-6
 BLOCK = 384
-HOT_PART = 1000
+#: Blocks of a group grow with it until they have so many rows, as long as there are no more blocks than these.
+MOST_BLOCK, FEW_BLOCKS = 16_384, 64
 #: With the id, what names a row: two digests of its text.
 DIGEST = ("digest", "digest2")
 
@@ -138,8 +139,10 @@ def joined_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
 
 
 def blocks(df: DataFrame, key: str, size: str) -> DataFrame:
-    """Rows dealt to the pairs of blocks of their group: adds x, y (the pair) and own (the row's block)."""
-    count = F.ceil(F.col(size) / BLOCK).cast("int")
+    """Rows dealt to the pairs of blocks of their group: adds x, y (the pair) and own (the row's block).  A row is repeated for
+    each block of its group; blocks of large groups are larger, so that there are few."""
+    rows = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST_BLOCK), F.ceil(F.col(size) / FEW_BLOCKS)))
+    count = F.ceil(F.col(size) / rows).cast("int")
     own = F.pmod(F.xxhash64("node"), count).cast("int")
     return (df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
             .withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
@@ -319,15 +322,6 @@ def clusters(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", te
     return texts.join(about.select("node", F.concat_ws(":", *(f"leader.{c}" for c in DIGEST)).alias("cluster")), "node").drop("node")
 
 
-def hot_join(rows: DataFrame, facts: DataFrame, key: str, size: Column) -> DataFrame:
-    """Each row with the facts of its key; ``facts`` has one row per key, whose number of rows is ``size``.  Keys of more
-    than one row in ``HOT_PART`` meet their rows by a broadcast: there are fewer than ``HOT_PART`` of them, whatever the
-    input.  The others are joined by a shuffle."""
-    hot = F.broadcast(facts.filter(size * HOT_PART > rows.count()))
-    seldom = rows.join(hot.select(key), key, "left_anti").join(facts, key)
-    return rows.join(hot, key).unionByName(seldom)
-
-
 def with_classes(rows: DataFrame, about: DataFrame) -> DataFrame:
     """Each row of (doc_id, node) with the facts of its class; rows without words are joined to nothing."""
     zero = F.lit(0).cast("long")

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import written
+
 PAIRS = 1 << 16
 TRIPLE_BITS = 17
 REPEATS = PAIRS + (1 << TRIPLE_BITS)
@@ -112,9 +114,14 @@ def fit_model(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0) ->
     return Model(ratio, weight, bias, room)
 
 
+#: Bytes of the features that the driver fits a model on.
+SAMPLE_BYTES = 1 << 28
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str = "doc_id",
-                  text_col: str = "text") -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most ``sample_rows`` labelled rows outside the held-out fold."""
+                  text_col: str = "text", sample_bytes: int = SAMPLE_BYTES) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and labels of at most ``sample_rows`` labelled rows outside the held-out fold, with at most ``sample_bytes`` of
+    features.  They are the first by a hash of id and features, so the same ones in every run, also where ids repeat."""
     marks = (labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
@@ -127,7 +134,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": [mark(t, seen).tobytes() for t in batch["text"]]})
 
     schema = T.StructType([rows.schema["doc_id"], T.StructField("quality", T.IntegerType()), T.StructField("x", T.BinaryType())])
-    found = picked.mapInPandas(run, schema).limit(sample_rows).collect()       # ids that repeat can't exceed the bound
+    made = written(picked.mapInPandas(run, schema), "training-rows")
+    named = made.withColumn("h", F.xxhash64("doc_id", "x"))
+    first = named.select("h", F.octet_length("x").alias("bytes")).orderBy("h", "bytes").limit(sample_rows).collect()
+    most = int(np.searchsorted(np.cumsum([r["bytes"] for r in first]), sample_bytes, side="right"))
+    found = []
+    if most:
+        last = first[most - 1]["h"]
+        found = named.filter(F.col("h") < last).collect()
+        found += named.filter(F.col("h") == last).limit(most - len(found)).collect()          # equal rows share a hash
     found.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     return [np.frombuffer(r["x"], dtype=np.int32) for r in found], np.array([r["quality"] for r in found], dtype=np.int64)
 

@@ -59,6 +59,10 @@ def bitmaps(values: pd.Series) -> list[int]:
     return [bit.get(v, 0) for v in values]
 
 
+#: Copies of a row that are counted out at once.
+COPIES = 256
+
+
 def word_tokens(text: Column) -> Column:
     """Words of a text and one end mark."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)) + 1
@@ -85,7 +89,11 @@ def pack(docs: DataFrame, length: Column | None = None, cluster: Column | None =
             "cluster", F.when(F.col("cluster").isNotNull(), F.coalesce("found", "cluster")))
     total = items.agg(F.sum(F.col("n") * F.col("rows"))).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    pieces = (items.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    # a row that repeats very often is counted out in two steps, neither with a long array
+    copy = F.col("part") * COPIES + F.col("nth")
+    pieces = (items.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / COPIES))))
+              .withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPIES - 1).cast("long")))).filter(copy < F.col("rows"))
+              .withColumn("copy", copy)
               .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity))))
               .withColumn("n_tokens", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity))
               .withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "key", "copy", "piece"), F.lit(shards)))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .spaced_seeds import bounded
-from .storage import written
+from .storage import hot_join, written
 from .words import Words, sliding_argmin, split_words, text_chunks
 
 WINDOW, PART = 35, 12
@@ -109,10 +109,9 @@ class PhraseAutomaton:
 
     def __init__(self, w: Words):
         _, number = np.unique(w.hashes, return_inverse=True)
-        self.width = 1 if len(number) == 0 or number.max() < 1_000_000 else 2      # characters for a word
-        digits = [number] if self.width == 1 else [number >> 16, number & 0xFFFF]
-        codes = np.stack(digits, axis=1).astype(np.uint32) + 1
-        codes[codes >= 0xD800] += 0x800                                            # these code points are no characters
+        # a word is two or more characters, each of 256 of its place: a state then has few ways on, which the library searches one by one
+        self.width = max(2, -(-int(number.max(initial=0)).bit_length() // 8))
+        codes = np.stack([((number >> (8 * k)) & 0xFF) + 0x100 * (k + 1) for k in range(self.width)], axis=1).astype(np.uint32)
         self.text = codes.tobytes().decode("utf-32-le") if len(number) else ""
         self.auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
 
@@ -194,9 +193,9 @@ def same_row() -> Column:
 
 def recurring_places(places: DataFrame) -> DataFrame:
     """The places of anchors that stand at least twice, and whether the anchor has different segments."""
-    several = (places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("least"), F.max("region").alias("most"))
-               .filter("n > 1").select("anchor", (F.col("least") != F.col("most")).alias("mixed")))
-    return written(places.join(several, "anchor"), "recurring-places")
+    several = written(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("least"), F.max("region").alias("most"))
+                      .filter("n > 1").select("anchor", "n", (F.col("least") != F.col("most")).alias("mixed")), "recurring")
+    return written(hot_join(places, several, "anchor", F.col("n")).drop("n"), "recurring-places")
 
 
 def recurring_segments(rows: DataFrame, places: DataFrame) -> DataFrame:

@@ -55,17 +55,31 @@ def _starts(rows: DataFrame, key: str, masks: tuple[tuple[int, ...], ...]) -> Da
             .select(key, "h", (F.col("k") % F.col("n")).alias("at")))
 
 
+#: Parts of a seed's places where the index is too large for a broadcast.
+PARTS = 16
+
+
+def _met(places: DataFrame, index: DataFrame) -> DataFrame:
+    """Places with the index rows of their seed.  If they are joined by a shuffle, a seed's places are dealt to parts, as one seed may
+    have very many."""
+    few = bounded(index)
+    if few is not index:
+        return places.join(few, "h")
+    parted = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return places.withColumn("part", F.pmod("at", F.lit(PARTS)).cast("int")).join(parted, ["h", "part"]).drop("part")
+
+
 def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct (doc_id, item_id, shift): document place less item place of a shared seed."""
     long_items = items.filter(F.size("tokens") >= SPAN)
     index = written(_starts(long_items, "item", MASKS).withColumnRenamed("at", "item_at"), "seed-index")
-    found = _starts(docs, "doc_id", MASKS).join(bounded(index), "h")
+    found = _met(_starts(docs, "doc_id", MASKS), index)
     hits = found.select("doc_id", "item", (F.col("at") - F.col("item_at")).alias("shift"))
     short = [r[0] for r in items.filter(F.size("tokens").between(1, SPAN - 1)).select(F.size("tokens")).distinct().collect()]
     for n in sorted(short):                                                       # at most SPAN - 1 lengths
         whole = (tuple(range(n)),)
         exact = _starts(items.filter(F.size("tokens") == n), "item", whole).select("item", "h")
-        hits = hits.unionByName(_starts(docs, "doc_id", whole).join(bounded(exact), "h")
+        hits = hits.unionByName(_starts(docs, "doc_id", whole).transform(_met, exact)
                                 .select("doc_id", "item", F.col("at").alias("shift")))
     return hits.distinct()
 
@@ -74,7 +88,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
           item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and benchmark item in it: doc_id, item_id, matched (equal tokens on the best diagonal) and
     item_tokens."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens"))
+    # inside, a row is named by its id and text: hits of rows that share an id, or have none, stay apart
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"))
+    rows = docs.select(row.alias("doc_id"), tokens(F.col(text_col)).alias("tokens"))
     items = written(benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("tokens"))
                     .groupBy("tokens").agg(F.collect_set("item_id").alias("ids"), F.count_if(F.col("item_id").isNull()).alias("nulls"))
                     .select(F.xxhash64(F.array_join("tokens", " ")).alias("item"), "tokens",
@@ -96,5 +112,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     dense = (F.size("same") >= F.col("width")) & F.exists(
         F.sequence(F.lit(1), F.greatest(F.size("same") - F.col("width") + 1, F.lit(1))), lambda i: total(F.slice(F.col("same"), i, F.col("width"))) >= F.col("need"))
     good = (aligned.withColumn("width", width).withColumn("need", need).filter(dense)
-            .select("doc_id", F.explode("ids").alias("item_id"), total(F.col("same")).alias("matched"), F.size("tokens").alias("item_tokens")))
+            .select(F.col("doc_id.id").alias("doc_id"), F.explode("ids").alias("item_id"), total(F.col("same")).alias("matched"), F.size("tokens").alias("item_tokens")))
     return good.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("item_tokens").alias("item_tokens"))
