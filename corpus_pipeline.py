@@ -25,21 +25,29 @@ def row_key() -> Column:
     return F.struct("doc_id", *jaccard_join.digests(F.col("text")))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the least id, or without an id if none has one.  Repeated
     rows are one; rows of one id with different texts are judged each."""
-    stay = jaccard_join.representatives(docs)
-    stay = stay.select(F.struct("doc_id", *jaccard_join.DIGEST).alias("_stay"))
-    kept = docs.withColumn("_row", row_key()).join(stay, F.col("_row").eqNullSafe(F.col("_stay")), "left_semi")
-    return kept.dropDuplicates(["_row"]).drop("_row")
+    row, chosen = fresh(docs, "_row"), fresh(docs, "_stay")
+    stay = jaccard_join.representatives(docs).select(F.struct("doc_id", *jaccard_join.DIGEST).alias(chosen))
+    kept = docs.withColumn(row, row_key()).join(stay, F.col(row).eqNullSafe(F.col(chosen)), "left_semi")
+    return kept.dropDuplicates([row]).drop(row)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; rows of one id, or without an id, are judged each by its own text."""
-    rows = docs.withColumn("_row", row_key())
-    found = spaced_seeds.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
-    gone = written(found.select(F.col("doc_id").alias("_gone")).distinct(), "leaking-rows")
-    return rows.join(spaced_seeds.bounded(gone, 2 * spaced_seeds.ROW_BYTES), F.col("_row").eqNullSafe(F.col("_gone")), "left_anti").drop("_row")
+    row, leaking = fresh(docs, "_row"), fresh(docs, "_gone")
+    rows = docs.withColumn(row, row_key())
+    found = spaced_seeds.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row)
+    gone = written(found.select(F.col("doc_id").alias(leaking)).distinct(), "leaking-rows")
+    return rows.join(spaced_seeds.bounded(gone, 2 * spaced_seeds.ROW_BYTES), F.col(row).eqNullSafe(F.col(leaking)), "left_anti").drop(row)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
