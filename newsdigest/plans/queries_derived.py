@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import search as S
-from ..operators import extract, report, search_pages
+from ..operators import extract, html, report, search_pages
 from ..sources import fixtures as X
 from ..sources.rules import RuleSet
 from .queries import HITS_SQL, register
-from .queries_more import AS_OF_TS, TOP_HITS_SQL
+from .queries_more import AS_OF_TS, TOP_HITS_SQL, _tree_sql
+from .sql import q
 
 URL = "https://www.pages.example.org/list/"
 LIST_RULES = RuleSet({"generic_list_rule": {
@@ -36,6 +37,29 @@ def _pages(spark, sf_dir: str, templates: list[str], tail: str = "") -> DataFram
         F.concat(F.lit("<html><body>"), body, _fill(tail), F.lit("</body></html>")).alias("html"))
 
 
+# --------------------------------------------------------------------------
+# Omitted and misplaced ends
+# --------------------------------------------------------------------------
+
+SOUP_PAGES = [
+    "<ul class=o><li class=o1>A{id}<ul><li class=inside>B</ul><li class=o2>C</ul>",
+    "<table><tr><td>x{id}<table><tr><td>y</table>z<td>w<tr><td>v</table>",
+    "<div><p>one<p>two<b>bold<div>in</p></div></b><h2>t<p>u</h2><dl><dt>a<dd>b<dt>c</dl></div>",
+    "<table><thead><tr><th>h<tbody><tr><td><p>a<li>b</td><td>c</table></li><select><option>1<option>2</select>",
+    "<p><a href=/{id}>x<a href=/y>y</a></div><br/><section><p>z</section></p>",
+]
+
+
+def _soup_sql() -> str:
+    rows = " ".join(f"WHEN {k} THEN replace({q(t)}, '{{id}}', CAST(doc_id AS VARCHAR))" for k, t in enumerate(SOUP_PAGES))
+    return _tree_sql(f"(SELECT doc_id AS page_id, '<html><body>' || CASE doc_id % {len(SOUP_PAGES)} {rows} END || '</body></html>' AS html FROM documents)")
+
+
+@register("derived_html_nodes", _soup_sql())
+def q_derived_html_nodes(spark, d):
+    return html.elements(_pages(spark, d, SOUP_PAGES)).select("page_id", "pos", "end", "depth", "tag")
+
+
 # --------------------------------------------------------------------------
 # Title, link and date chains
 # --------------------------------------------------------------------------

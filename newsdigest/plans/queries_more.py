@@ -122,10 +122,43 @@ def _numbered(arts: DataFrame) -> DataFrame:
 # E: HTML operators
 # --------------------------------------------------------------------------
 
-@register("html_nodes", """SELECT page_id, lower(t) AS tag, count(*) AS n
-FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS t FROM pages) x GROUP BY 1, 2""")
+_TOKEN_SQL = (r"""(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<![^>]*>"""
+              r"""|</?[a-zA-Z][^>=]*(?:=(?:\s*"[^"]*"|\s*'[^']*')?[^>=]*)*>|[^<]+|<""")
+_ENDS_SQL = "MAP {" + ", ".join(f"{Q.q(t)}: [{', '.join(map(Q.q, html.IMPLIED_END.get(t, []) + (['p', 'head'] if t in html.P_CLOSERS else [])))}]"
+                                for t in sorted({*html.P_CLOSERS, *html.IMPLIED_END})) + "}"
+_RANKS_SQL = "MAP {" + ", ".join(f"{Q.q(t)}: {r}" for t, r in html.CLOSE_RANK.items()) + "}"
+
+
+def _tree_sql(pages: str) -> str:
+    """The elements of pages (page_id, html) by a stack that one recursion step per tag keeps."""
+    return f"""WITH RECURSIVE toks AS (SELECT page_id, regexp_extract_all(html, {Q.q(_TOKEN_SQL)}) AS t FROM {pages}),
+ev AS (SELECT page_id, i - 1 AS pos, len(t) AS n, t[i] AS tok,
+    lower(regexp_extract(t[i], '^</?([a-zA-Z][^\\s/>]*)', 1)) AS tag FROM (SELECT page_id, t, unnest(range(1, len(t) + 1)) AS i FROM toks) x),
+kinds AS (SELECT page_id, pos, n, tag, CASE WHEN regexp_matches(tok, '(?is)^<(script|style)\\b') OR (regexp_matches(tok, '^<[a-zA-Z]')
+      AND (tag IN ({', '.join(map(Q.q, html.VOID_TAGS))}) OR regexp_matches(tok, '/\\s*>$'))) THEN 'void'
+    WHEN regexp_matches(tok, '^</[a-zA-Z]') THEN 'close' ELSE 'open' END AS kind FROM ev WHERE regexp_matches(tok, '^</?[a-zA-Z]')),
+steps AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS s, pos, n, tag, kind, coalesce({_RANKS_SQL}[tag], 100) AS rank,
+    CASE WHEN kind = 'open' THEN coalesce({_ENDS_SQL}[tag], []) ELSE [] END AS ends FROM kinds),
+walk AS (SELECT page_id, 0::BIGINT AS s, []::STRUCT(pos BIGINT, tag VARCHAR, rank INT)[] AS stack, []::STRUCT(pos BIGINT, tag VARCHAR, rank INT, "end" BIGINT, depth BIGINT)[] AS done
+    FROM toks
+  UNION ALL SELECT page_id, s,
+    CASE WHEN kind = 'open' THEN list_append(stack[:keep], {{'pos': pos, 'tag': tag, 'rank': rank}}) ELSE stack[:keep] END,
+    list_concat(list_transform(range(keep + 1, len(stack) + 1), lambda k: {{'pos': stack[k].pos, 'tag': stack[k].tag, 'rank': stack[k].rank, 'end': pos, 'depth': k}}),
+      CASE WHEN kind = 'void' THEN [{{'pos': pos, 'tag': tag, 'rank': 0, 'end': pos + 1, 'depth': keep + 1}}] ELSE [] END)
+  FROM (SELECT w.page_id, t.s, t.pos, t.tag, t.kind, t.rank, w.stack, CASE WHEN kind = 'close' THEN
+        coalesce((list_filter(range(len(stack), 0, -1), lambda k: stack[k].tag = t.tag AND len(list_filter(stack[k + 1:], lambda e: e.rank > t.rank)) = 0))[1] - 1, len(stack))
+      ELSE coalesce((list_filter(range(len(stack), 0, -1), lambda k: NOT list_contains(t.ends, stack[k].tag)))[1], 0) END AS keep
+    FROM walk w JOIN steps t ON t.page_id = w.page_id AND t.s = w.s + 1) AS x),
+last AS (SELECT page_id, arg_max(stack, s) AS stack FROM walk GROUP BY page_id)
+SELECT page_id, CAST(d.pos AS INTEGER) AS pos, CAST(d."end" AS INTEGER) AS "end", CAST(d.depth AS INTEGER) AS depth, d.tag AS tag
+FROM (SELECT page_id, unnest(done) AS d FROM walk
+  UNION ALL SELECT page_id, unnest(list_transform(range(1, len(stack) + 1), lambda k: {{'pos': stack[k].pos, 'tag': stack[k].tag, 'rank': stack[k].rank, 'end': n, 'depth': k}})) AS d
+    FROM last JOIN (SELECT page_id, len(t) AS n FROM toks) z USING (page_id)) f"""
+
+
+@register("html_nodes", _tree_sql("pages"))
 def q_html_nodes(spark, d):
-    return html.elements(_t(spark, d, "pages")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return html.elements(_t(spark, d, "pages")).select("page_id", "pos", "end", "depth", "tag")
 
 
 SELECT_ALL = {
