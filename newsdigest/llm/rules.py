@@ -157,7 +157,9 @@ def _best(hist: dict, edges: dict[str, list[float]], used: set) -> tuple[Conditi
 def learn_rules(rows: DataFrame, most_rules: int = 8, most_conditions: int = 3, precision: float = 0.97,
                 least_cover: float = 0.0005) -> list[Rule]:
     """The ordered rules that reject, from rows with the features and ``reject`` (1: label 0).  ``precision`` is what a
-    rule must reach on the pruning rows, ``least_cover`` the least part of them that it must cover."""
+    rule must reach on the pruning rows, ``least_cover`` the least part of them that it must cover.  The list is kept
+    readable: it has at most ``most_rules`` rules of at most ``most_conditions`` thresholds, which are quantiles of either
+    class (``BINS`` - 1 of each)."""
     known = rows.groupBy("reject").count().collect()
     if {r["reject"] for r in known} != {0, 1}:
         return []

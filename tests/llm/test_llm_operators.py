@@ -525,6 +525,38 @@ def test_rules_are_learned(spark):
     assert all(found[i].kept == bool(q) or found[i].base_failed for i, _, q in rows)
 
 
+def features(rng, n):
+    return [(i, rng.random(), rng.random(), rng.random(), 2 + 8 * rng.random(), rng.random(), rng.random(), rng.randrange(10, 500)) for i in range(n)]
+
+
+FEATURE_SCHEMA = "doc_id long, symbol_ratio double, bang_ratio double, upper_ratio double, mean_word double, dup_line_ratio double, repeat_ratio double, n_words int"
+
+
+def test_conjunctions_are_grown_and_ordered(spark):
+    rng = random.Random(14)
+    bad = lambda r: r[3] >= 0.9 or (r[1] >= 0.5 and r[4] < 5)           # an often and purely rejecting rule, and a conjunction
+    rows = [(*r, int(bad(r))) for r in features(rng, 6000)]
+    learned = rules.learn_rules(spark.createDataFrame(rows, FEATURE_SCHEMA + ", reject int"))
+    assert len(learned) >= 2 and 2 <= max(map(len, learned)) <= 3
+    used = [{(c.feature, c.above) for c in rule} for rule in learned]
+    assert {("symbol_ratio", True), ("mean_word", False)} in used and any(u == {("upper_ratio", True)} for u in used)
+    fresh = features(rng, 2000)
+    verdict, fired = rules.decision(learned)
+    got = spark.createDataFrame(fresh, FEATURE_SCHEMA).select("doc_id", verdict.alias("keep"), fired.alias("rule"), *(
+        rules.rule_column(r).alias(f"r{i}") for i, r in enumerate(learned))).collect()
+    by = {r[0]: r for r in fresh}
+    assert sum(r.keep != bad(by[r.doc_id]) for r in got) >= 0.97 * len(fresh)
+    for r in got:                                   # the first rule that fits decides
+        first = next((i + 1 for i in range(len(learned)) if r[f"r{i}"]), None)
+        assert r.rule == first and r.keep == (first is None)
+
+
+def test_no_rule_is_made_of_noise(spark):
+    rng = random.Random(15)
+    rows = [(*r, rng.randrange(2)) for r in features(rng, 3000)]
+    assert rules.learn_rules(spark.createDataFrame(rows, FEATURE_SCHEMA + ", reject int")) == []
+
+
 def test_masks_are_lossless():
     span, masks = spaced_seeds.SPAN, spaced_seeds.MASKS
     for a in range(span):
