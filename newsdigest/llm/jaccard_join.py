@@ -226,7 +226,7 @@ def verified_links(groups: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         characters = lambda f: int(f["text"].str.len().sum())
-        for frame in whole_groups(batches, "component", characters, 1 << 21):
+        for frame in whole_groups(batches, "component", characters, 1 << 20):
             parts = []
             for a, b in text_chunks(frame["text"].tolist()):
                 w = split_words(frame["text"].iloc[a:b].tolist())

@@ -90,7 +90,7 @@ def split_words(texts: list[str | None]) -> Words:
     return Words(data, starts, ends, hashes, first)
 
 
-def text_chunks(texts: list[str | None], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def text_chunks(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` characters (a longer text stands alone): bounds a task's memory."""
     begin = size = 0
     for i, t in enumerate(texts):
