@@ -18,6 +18,8 @@ ARTICLE_COLUMNS = ["page_id", "cpos", "title", "url", "source_name", "source_url
 # Aria-label suffixes removed (in this order) from a fallback title.
 ARIA_SUFFIXES = [" news link", " link"]
 SLOT_LABELS = {"article_list_css": "list", "title_css": "title", "link_css": "link", "date_css": "date", "content_css": "content"}
+#: Rules whose state tables (about 2 KB each) are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_STATES = 20_000
 INNER_SLOTS = ["title", "heading", "link", "date", "content"]
 
 
@@ -34,7 +36,7 @@ def rule_frame(rules: RuleSet, spark) -> DataFrame:
 def with_rules(pages: DataFrame, rules: RuleSet) -> DataFrame:
     """Pages ``(page_id, url, html)`` with their domain and the columns of their rule."""
     rows = assign_rules(pages.select("page_id", "url", "html").withColumn("domain", url_domain(F.col("url"))), rules)
-    return rows.join(broadcast_if_small(rule_frame(rules, pages.sparkSession), len(rules.resolved())), "rule_id", "left")
+    return rows.join(broadcast_if_small(rule_frame(rules, pages.sparkSession), len(rules.resolved()), MAX_BROADCAST_STATES), "rule_id", "left")
 
 
 def containers(el: Column, labels: Column) -> Column:

@@ -17,9 +17,6 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Page-level operators hash-partition by page_id once; joins on
-    # (page_id, pos) can then reuse that partitioning instead of re-shuffling.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
