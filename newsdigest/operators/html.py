@@ -64,15 +64,16 @@ BOX_TAGS = ["rt", "rp", "template"]
 # Subtrees whose text the HTML cleaner drops (scripts and styles are no texts at all).
 DROP_TEXT_TAGS = ["noscript", "iframe", "svg"]
 
-LEAST_CHUNK = 64
+LEAST_CHUNK = 8
 _OPEN = "array<struct<pos:int,tag:string,rank:int,tok:string,depth:int,parent:int,box:string,drop:boolean>>"
 _DONE = "array<struct<pos:int,end:int,depth:int,parent:int,tag:string,tok:string>>"
 _TEXT = "struct<txt:string,box:string,drop:boolean>"
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of the value, which is computed once."""
-    return F.transform(F.array(value), use)[0]
+    """``use`` of the value, which is computed once.  (The end of an aggregate over nothing: unlike a transform of a one-element array,
+    it doesn't copy the value.)"""
+    return F.aggregate(_empty("array<int>"), value, lambda same, _: same, use)
 
 
 def _empty(kind: str) -> Column:
@@ -118,7 +119,7 @@ def _tokens(html: Column) -> Column:
 
     ends = {t: f",{','.join(IMPLIED_END.get(t, []) + (['p', 'head'] if t in P_CLOSERS else []))}," for t in sorted({*P_CLOSERS, *IMPLIED_END})}
     named = F.transform(F.regexp_extract_all(marked, F.lit(TOKEN_RE), 0), lambda tok, i: F.struct(
-        i.alias("pos"), tok.alias("tok"), kind(tok).alias("kind"),
+        i.alias("pos"), F.when(tok.contains(STRAY), F.replace(tok, F.lit(STRAY), F.lit("<"))).otherwise(tok).alias("tok"), kind(tok).alias("kind"),
         F.lower(F.regexp_extract(tok, r"^</?([a-zA-Z][^\s/>]*)", 1)).alias("tag")))
     empty_tag = lambda t: t["tag"].isin(*VOID_TAGS) | t["tok"].rlike(r"/\s*>$")                                  # noqa: E731
     return F.transform(named, lambda t: F.struct(
@@ -136,8 +137,10 @@ def _kept(stack: Column, t: Column) -> Column:
         a["go"] & ended(e), F.struct((a["n"] - 1).alias("n"), F.lit(True).alias("go"))).otherwise(F.struct(a["n"].alias("n"), F.lit(False).alias("go"))))["n"]
     closed = F.aggregate(F.transform(stack, lambda e, i: F.struct(e["tag"].alias("tag"), e["rank"].alias("rank"), i.alias("i"))), F.lit(-1), lambda a, e: F.when(
         e["tag"] == t["tag"], e["i"]).when(e["rank"] > t["rank"], F.lit(-1)).otherwise(a))
-    return (F.when(t["kind"] == "close", bind(closed, lambda i: F.when(i >= 0, i).otherwise(n)))
-            .when(F.get(stack, n - 1).isNotNull() & (t["ends"] != "") & ended(F.get(stack, n - 1)), implied).otherwise(n))
+    top = F.get(stack, n - 1)
+    # mostly a close tag closes the innermost element, and a start tag none
+    return (F.when(t["kind"] == "close", F.when(top["tag"] == t["tag"], n - 1).otherwise(bind(closed, lambda i: F.when(i >= 0, i).otherwise(n))))
+            .when((t["ends"] != "") & top.isNotNull() & ended(top), implied).otherwise(n))
 
 
 def _after_tag(acc: Column, t: Column, keep: Column) -> Column:
@@ -148,7 +151,9 @@ def _after_tag(acc: Column, t: Column, keep: Column) -> Column:
                   (t["tag"].isin(*DROP_TEXT_TAGS) | F.coalesce(parent["drop"], F.lit(False))).alias("drop"))
     done = lambda e, end: F.struct(e["pos"].alias("pos"), end.alias("end"), e["depth"].alias("depth"), e["parent"].alias("parent"),
                                    e["tag"].alias("tag"), e["tok"].alias("tok"))
-    ended = F.transform(F.slice(stack, keep + 1, F.size(stack) - keep), lambda e: done(e, t["pos"]))
+    last = F.get(stack, F.size(stack) - 1)
+    ended = (F.when(keep == F.size(stack), _empty(_DONE)).when(keep == F.size(stack) - 1, F.array(done(last, t["pos"])))
+             .otherwise(F.transform(F.slice(stack, keep + 1, F.size(stack) - keep), lambda e: done(e, t["pos"]))))
     left = F.when(keep == F.size(stack), stack).otherwise(F.slice(stack, F.lit(1), keep))
     return F.struct(
         F.when(kind == "open", F.concat(left, F.array(me))).otherwise(left).alias("open"),
@@ -158,7 +163,7 @@ def _after_tag(acc: Column, t: Column, keep: Column) -> Column:
 
 def _after_token(acc: Column, t: Column) -> Column:
     top = F.get(acc["open"], F.size(acc["open"]) - 1)
-    text = F.struct(decode_entities(F.translate(t["tok"], STRAY, "<")).alias("txt"), F.coalesce(top["box"], F.lit("")).alias("box"),
+    text = F.struct(decode_entities(t["tok"]).alias("txt"), F.coalesce(top["box"], F.lit("")).alias("box"),
                     F.coalesce(top["drop"], F.lit(False)).alias("drop"))
     plain = F.struct(acc["open"].alias("open"), _empty(_DONE).alias("done"), F.array(F.when(t["kind"] == "text", text)).alias("tx"))
     return F.when(t["kind"].isin("text", "comment"), plain).otherwise(bind(_kept(acc["open"], t), lambda keep: _after_tag(acc, t, keep)))
@@ -172,7 +177,8 @@ def _attributes(tok: Column) -> Column:
     bare = lambda v: F.when(v.startswith('"') | v.startswith("'"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)      # noqa: E731
     values = F.transform(F.regexp_extract_all(body, F.lit(_ATTRIBUTE_RE), 2), lambda v: decode_entities(bare(v), ATTRIBUTE_ENTITY_RE))
     nothing = _empty("array<string>")
-    return F.when(F.length(body) > 1, F.struct(names.alias("names"), values.alias("values"))) \
+    bare_tag = ~tok.contains("=") & ~tok.rlike(r"[\s/][^>]")
+    return F.when(~bare_tag, F.struct(names.alias("names"), values.alias("values"))) \
         .otherwise(F.struct(nothing.alias("names"), nothing.alias("values")))
 
 

@@ -106,6 +106,25 @@ def test_ruby_and_template_texts_are_none_of_the_elements_around(spark):
     assert pages.select(html.clean_html(F.col("html"))).first()[0] == "A\nB\n1 < 2"
 
 
+def test_a_lone_less_than_sign_is_kept_where_it_stands(spark):
+    page = "<p id=p title='a < b' class=x>1 < 2 <3<script>if (a < b) {}</script></p>"
+    row = {r["id"] or r["tag"]: r for r in html.elements(spark.createDataFrame([(1, page)], "page_id long, html string")).collect()}
+    assert row["p"]["values"] == ["p", "a < b", "x"] and row["script"]["tok"] == "<script>if (a < b) {}</script>"
+    assert spark.createDataFrame([(page,)], "h string").select(html.clean_html(F.col("h"))).first()[0] == "1 < 2 <3"
+
+
+def test_the_plan_is_the_same_for_many_rules(spark):
+    pages = spark.createDataFrame([(1, "https://site7.org/", "<div class=c7><a href=/x>T</a></div><article><h2><a href=/y>U</a></h2></article>")],
+                                  "page_id long, url string, html string")
+    plans = {}
+    for n in (4, 500):
+        rules = RuleSet({f"site{i}.org": {"base_url": f"https://site{i}.org", "article_list_css": f"div.c{i}", "title_css": "a", "link_css": "a"} for i in range(4, 4 + n)})
+        found = extract.extract_articles(pages, rules)
+        assert [r.title for r in found.collect()] == ["T"]
+        plans[n] = found._jdf.queryExecution().optimizedPlan().treeString().count("\n")
+    assert plans[4] == plans[500]
+
+
 def test_cleaner_drops_nested_and_unclosed_subtrees(spark):
     cases = {"<svg><svg></svg>x</svg>y": "y", "<noscript>a<p>b</noscript>c": "c", "a<iframe>b<div>c</div>": "a", "<div>a<svg>b</div>c": "a\nc",
              "<script>x</script>a<style>y</style>": "a", "": "", "<": "<", "a<b": "a\n<\nb", "<svg/>a": "a"}
