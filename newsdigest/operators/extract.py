@@ -10,6 +10,7 @@ from ..functions.dates import parse_date
 from ..functions.search import blocked_article
 from ..functions.text import WS, normalize_text, py_strip
 from ..functions.urls import resolve_url, url_domain
+from ..session import session_column
 from ..sources.rules import RuleSet, assign_rules, broadcast_if_small
 from .html import STATES, bind, clean_text, firsts, label, lines_text, matching, page_text, parse, state_table, states, strip_text
 
@@ -95,7 +96,7 @@ def extract_articles(pages: DataFrame, rules: RuleSet) -> DataFrame:
     A page's articles are one expression: nothing is shuffled."""
     rows = with_rules(pages, rules)
     found = rows.select("page_id", "domain", F.col("url").alias("source_url"), "date_format",
-                        F.inline_outer(page_articles(F.col("html"), F.col("url")))).filter("cpos IS NOT NULL")
+                        session_column("articles", lambda: F.inline_outer(page_articles(F.col("html"), F.col("url"))))).filter("cpos IS NOT NULL")
     return found.select(
         "page_id", "cpos", "title", "url", F.col("domain").alias("source_name"), "source_url", "date",
         parse_date(F.col("date"), F.col("date_format"), rules.date_formats()).alias("date_parsed"), "content_html", "content_text")
@@ -115,6 +116,10 @@ UNKNOWN_TITLE = "未知标题"
 def account_article_fields(pages: DataFrame) -> DataFrame:
     """E10/E11/P13 on article pages ``(page_id, url, html)`` -> ``(page_id,
     title, content_html, content_text, blocked)``, without a shuffle."""
+    return pages.select("page_id", session_column("account fields", _account_fields))
+
+
+def _account_fields() -> Column:
     titles = [f"title{i}" for i in range(len(ACCOUNT_TITLE_SELECTORS))]
     table = states([*zip(titles, ACCOUNT_TITLE_SELECTORS), ("body1", ACCOUNT_BODY_FIRST), ("body2", ACCOUNT_BODY_SECOND),
                     ("rich", ".rich_media_content"), ("head", "title")])
@@ -130,4 +135,4 @@ def account_article_fields(pages: DataFrame) -> DataFrame:
                             bind(first("head"), lambda e: strip_text(tx, e))).alias("blocked")))
 
     found = bind(parse(F.col("html")), lambda p: bind(label(p["el"], table), lambda has: fields(p["el"], p["tx"], has)))
-    return pages.select("page_id", F.inline(F.array(found)))
+    return F.inline(F.array(found))

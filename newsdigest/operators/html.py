@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ATTRIBUTE_ENTITY_RE, WS, decode_entities, normalize_text, py_strip
+from ..session import session_column
 
 # A tag ends at the first ">" outside a quoted attribute value.
 TAG_RE = r"""</?[a-zA-Z][^>=]*(?:=(?:\s*"[^"]*"|\s*'[^']*')?[^>=]*)*>"""
@@ -214,7 +215,7 @@ def parse(html: Column) -> Column:
 def elements(pages: DataFrame) -> DataFrame:
     """Element table ``(page_id, pos, end, depth, parent, tag, tok, names, values, id, classes, href, aria_label)`` of pages
     ``(page_id, html)``.  ``end`` is exclusive."""
-    return pages.select("page_id", F.inline_outer(parse(F.col("html"))["el"])).filter("pos IS NOT NULL")
+    return pages.select("page_id", session_column("elements", lambda: F.inline_outer(parse(F.col("html"))["el"]))).filter("pos IS NOT NULL")
 
 
 # --------------------------------------------------------------------------

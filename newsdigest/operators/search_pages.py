@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.search import blocked_search, hit_link, redirect_target
-from ..session import materialize
+from ..session import materialize, session_column
 from ..sources.pages import latest_pages
 from .extract import account_article_fields
 from .html import bind, firsts, label, parse, states, strip_text
@@ -41,12 +41,16 @@ def hits_from_pages(result_pages: DataFrame) -> DataFrame:
     null) or a blocked one (P12, before it is read) is one row with
     ``blocked`` and no item; a page without items has no row, so it shows as
     a gap.  A page is one expression; nothing is shuffled."""
+    return result_pages.select("account", "page", session_column("hits", _hits)).filter("blocked IS NOT NULL")
+
+
+def _hits() -> Column:
     table = states([("item", ITEM), ("source", SOURCE_NAME), ("time", TIME_BOX), ("script", "script"), ("link", HIT_LINK)])
     read = bind(parse(F.col("html")), lambda p: bind(label(p["el"], table), lambda has: _items(p["el"], p["tx"], has)))
     none = F.lit(None).cast("string")
     wall = F.array(F.struct(F.lit(None).cast("int").alias("rank"), none.alias("src_name"), none.alias("script"), none.alias("href"), F.lit(True).alias("blocked")))
     rows = F.when(F.col("html").isNull() | blocked_search(F.col("html")), wall.cast(_HIT)).otherwise(read.cast(_HIT))
-    return result_pages.select("account", "page", F.inline_outer(rows)).filter("blocked IS NOT NULL")
+    return F.inline_outer(rows)
 
 
 def resolve_redirects(hits: DataFrame, redirects: DataFrame) -> DataFrame:

@@ -104,20 +104,19 @@ def account_articles(sources: DataFrame, hits: DataFrame, article_pages: DataFra
 
 def collect_articles(sources: DataFrame, pages: DataFrame, hits: DataFrame, rules: RuleSet,
                      as_of_ts: dt.datetime, article_pages: DataFrame | None = None, tz: str | None = None):
-    """S1-S3 -> E8/E9 + K1/E10/E11 -> U1 and A1: (web articles, account
-    articles, all articles, site results), without dedup."""
+    """S1-S3 -> E8/E9 + K1/E10/E11 and A1: (web articles, account articles,
+    site results), without union and dedup."""
     article_pages = article_pages if article_pages is not None else pages
     # only listed pages and pages that accepted hits lead to are tokenised;
     # both article tables are small and feed several branches (union, site
     # report), so they are materialised once
     web = materialize(web_articles(sources, pages, rules))
     acct = materialize(account_articles(sources, hits, article_pages, as_of_ts, tz=tz))
-    articles = materialize(union_articles(web, acct.drop("account")))
     # one row per source; feeds three reports, so it is written once (this
     # also keeps report filters from being pushed into the source parsing)
     results = materialize(site_results(web_sources(sources), pages, web.select("source_seq"),
                                        account_sources(sources), acct.select("account")))
-    return web, acct, articles, results
+    return web, acct, results
 
 
 def run_digest(sources: DataFrame, pages: DataFrame, hits: DataFrame, rules: RuleSet,
@@ -128,7 +127,8 @@ def run_digest(sources: DataFrame, pages: DataFrame, hits: DataFrame, rules: Rul
                compose_template: str = DEFAULT_COMPOSE_TEMPLATE,
                site_title: str = "Daily News Digest", tz: str | None = None) -> DigestResult:
     as_of_ts = as_of_ts or dt.datetime.combine(as_of, dt.time(23, 59, 59))
-    web, acct, articles, results = collect_articles(sources, pages, hits, rules, as_of_ts, article_pages, tz)
+    web, acct, results = collect_articles(sources, pages, hits, rules, as_of_ts, article_pages, tz)
+    articles = materialize(union_articles(web, acct.drop("account")))
     return finish_digest(articles, results, as_of, allow_undated, generator, summary_template, compose_template, site_title)
 
 

@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call sites are not recorded for each of a page expression's parts
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -64,3 +66,15 @@ def materialize(df):
     plans small).  Used for the page node tables, which feed many branches."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_COLUMNS: dict[tuple[str, str], object] = {}
+
+
+def session_column(name: str, build):
+    """A column that is built once a session: page expressions have thousands of parts, and building one takes the driver
+    longer than planning it."""
+    key = (SparkSession.active().sparkContext.applicationId, name)
+    if key not in _COLUMNS:
+        _COLUMNS[key] = build()
+    return _COLUMNS[key]
