@@ -35,7 +35,7 @@ from .words import Words, sliding_argmin, split_words, text_chunks
 
 WINDOW, PART = 35, 12
 #: Words of an automaton's passages, and of the segments that are streamed through it.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 
 
 def anchored_regions(w: Words, window: int = WINDOW, part: int = PART) -> pd.DataFrame:
@@ -76,19 +76,23 @@ def regions(rows: DataFrame) -> DataFrame:
 
 def segments(rows: DataFrame) -> DataFrame:
     """(anchor, region, n, mixed, size, words): the words of the ``parts`` of each row, separated by spaces."""
+    fields = ["anchor", "region", "n", "mixed", "start", "stop"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = _texts(batch)
             for a, b in text_chunks(texts):
                 w = split_words(texts[a:b])
-                out = []
-                for base, parts in zip(w.first[:-1].tolist(), batch["parts"].iloc[a:b]):
-                    for p in parts:
-                        spans = zip(w.starts[base + p["start"]:base + p["stop"] + WINDOW].tolist(), w.ends[base + p["start"]:base + p["stop"] + WINDOW].tolist())
-                        out.append((p["anchor"], p["region"], p["n"], p["mixed"], p["stop"] - p["start"] + WINDOW, b" ".join([w.data[s:e] for s, e in spans])))
-                yield pd.DataFrame(out, columns=["anchor", "region", "n", "mixed", "size", "words"])
+                base = np.repeat(w.first[:-1], [len(x) for x in batch["start"].iloc[a:b]])
+                part = {f: np.concatenate([np.zeros(0, dtype=np.int64), *batch[f].iloc[a:b]]) for f in fields}
+                begin, size = base + part["start"].astype(np.int64), part["stop"].astype(np.int64) - part["start"].astype(np.int64) + WINDOW
+                words = [b" ".join([w.data[s:e] for s, e in zip(w.starts[i:i + n].tolist(), w.ends[i:i + n].tolist())]) for i, n in zip(begin.tolist(), size.tolist())]
+                yield pd.DataFrame({"anchor": part["anchor"].astype(np.int64), "region": part["region"].astype(np.int64), "n": part["n"].astype(np.int64),
+                                    "mixed": part["mixed"].astype(bool), "size": size, "words": words})
 
-    return rows.mapInPandas(run, "anchor long, region long, n long, mixed boolean, size int, words binary")
+    # one array a field: an object for each part would take a task's memory
+    return rows.select("text", *(F.col(f"parts.{f}").alias(f) for f in fields)) \
+        .mapInPandas(run, "anchor long, region long, n long, mixed boolean, size int, words binary")
 
 
 def windows_of(segs: DataFrame) -> DataFrame:
@@ -157,17 +161,18 @@ def _locate(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def removal(rows: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 from the rows' texts and the ``runs`` of window starts found in them."""
+    """doc_id, n_words, n_removed, kept_sha256 from the rows' texts and the runs (``starts``, ``stops``) of window starts found in
+    them."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = _texts(batch)
             for a, b in text_chunks(texts):
                 w = split_words(texts[a:b])
                 edge = np.zeros(len(w.hashes) + 1, dtype=np.int64)
-                for base, runs in zip(w.first[:-1].tolist(), batch["runs"].iloc[a:b]):
-                    for r in (runs if runs is not None else ()):
-                        edge[base + r["start"]] += 1
-                        edge[base + r["stop"] + WINDOW] -= 1
+                for base, starts, stops in zip(w.first[:-1].tolist(), batch["starts"].iloc[a:b], batch["stops"].iloc[a:b]):
+                    if starts is not None:
+                        np.add.at(edge, base + starts, 1)
+                        np.add.at(edge, base + stops + WINDOW, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 out = []
                 for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
@@ -256,4 +261,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("digest"))
     runs = found_runs(rows).groupBy(*_row_keys("doc_id", "digest")).agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
-    return removal(rows.join(runs, same_row(), "left").select("doc_id", "text", "runs"))
+    return removal(rows.join(runs, same_row(), "left").select("doc_id", "text", F.col("runs.start").alias("starts"), F.col("runs.stop").alias("stops")))
