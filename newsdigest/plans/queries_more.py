@@ -768,6 +768,11 @@ def q_digest_rows(spark, d):
     return spark.read.parquet(out).withColumn("run_date", F.col("run_date").cast("string"))
 
 
+def _landed(d: str, name: str) -> str:
+    """A table as the input of a stream: as a pattern, it may be one file or a folder of files."""
+    return f"{d}/{{{name}.parquet}}"
+
+
 @register("incremental_digest", f"""SELECT CAST(0 AS BIGINT) AS batch_id, page_id, title, url, source_name FROM (
   SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id, k) AS rn FROM {_nav_articles_sql()} n) x WHERE rn = 1""")
 def q_incremental_digest(spark, d):
@@ -775,7 +780,7 @@ def q_incremental_digest(spark, d):
     from ..session import ensure_checkpoint_dir
     from ..streaming.incremental import start_incremental_digest
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
-    q = start_incremental_digest(spark, d, RuleSet(NAV_RULES), f"{base}/out", f"{base}/chk", glob="pages.parquet")
+    q = start_incremental_digest(spark, _landed(d, "pages"), RuleSet(NAV_RULES), f"{base}/out", f"{base}/chk", glob="*")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").select(F.col("batch_id").cast("bigint"), "page_id", "title", "url", "source_name")
 
@@ -786,8 +791,8 @@ def q_incremental_daily_digest(spark, d):
     from ..session import ensure_checkpoint_dir
     from ..streaming.incremental import start_digest_stream
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
-    start_digest_stream(spark, d, _sources_df(spark, d), X.search_hits(spark, d), X.fixture_rules(), AS_OF, f"{base}/out", f"{base}/chk",
-                        glob="pages.parquet", allow_undated=True, as_of_ts=AS_OF_TS, tz="UTC").awaitTermination()
+    start_digest_stream(spark, _landed(d, "pages"), _sources_df(spark, d), X.search_hits(spark, d), X.fixture_rules(), AS_OF, f"{base}/out",
+                        f"{base}/chk", glob="*", allow_undated=True, as_of_ts=AS_OF_TS, tz="UTC").awaitTermination()
     return spark.read.parquet(f"{base}/out/digest_rows").select(F.col("batch_id").cast("bigint"), "seq", F.col("run_date").cast("string"),
                                                                 "path", "title", "url", "source_name", "date", "summary")
 

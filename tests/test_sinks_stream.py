@@ -99,3 +99,25 @@ def test_two_landings_of_two_streams_give_the_tables_of_one(spark, tmp_path):
     text = "\n".join(once["site_report"])
     assert "new title here" in str(once["digest_rows"]) and "old title" not in str(once["digest_rows"]) and "Account article" in str(once["digest_rows"])
     assert text.count("[失败]") == 2 and "公众号:none" in text
+
+
+def test_incremental_queries_read_a_page_table_that_is_a_file_or_a_folder(spark, tmp_path):
+    import datetime as dt
+
+    import __spark_entry__ as entry
+    nav = "<nav><ul><li><a href='/{0}'>Title of {0}</a></li></ul></nav>"
+    pages = [(i, f"https://www.s{i}.org/", nav.format(f"page{i}")) for i in range(6)]
+    events = [(i, dt.datetime(2024, 1, 29), i, "view", 1.0, "{}") for i in range(6)]
+    found = {}
+    for kind, parts in (("file", 1), ("folder", 3)):
+        d = str(tmp_path / kind)
+        table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(parts)
+        table.write.parquet(f"{d}/{'written' if kind == 'file' else 'pages.parquet'}")
+        if kind == "file":
+            part, = (f for f in os.listdir(f"{d}/written") if f.endswith(".parquet"))
+            os.link(f"{d}/written/{part}", f"{d}/pages.parquet")
+        spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") \
+            .write.parquet(f"{d}/events.parquet")
+        found[kind] = [sorted(map(str, entry.queries()[name](spark, d).collect())) for name in ("incremental_digest", "incremental_daily_digest")]
+    assert len(found["file"][0]) == 6 and found["file"][1]
+    assert found["folder"] == found["file"]
