@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newsdigest.operators import dedup, extract, html, topk, window
@@ -403,3 +405,39 @@ def test_ordered_rows_are_the_text(spark):
     for part in (sites, sites[:1], sites[1:2], []):
         results = spark.createDataFrame(part, schema)
         assert text(site_report_parts(results, day)) == site_report_text(results, day).first().report
+
+
+def test_one_row_forms_take_equal_and_null_places_and_any_size(spark, monkeypatch):
+    from newsdigest.functions.digest import material_block
+    from newsdigest.operators import compose
+    schema = "seq long, title string, source_name string, url string, date string, content_text string"
+    rows = [(k % 5 if k % 7 else None, f"t{k % 3}", f"s{k % 2}" if k % 4 else None, f"u{k % 6}", None if k % 2 else "2024-01-02", "x" * k) for k in range(40)]
+    df = spark.createDataFrame(rows + rows[:3], schema).repartition(3)
+    ordered = sorted(rows + rows[:3], key=lambda r: [(v is not None, v or (0 if i == 0 else "")) for i, v in enumerate(r)])
+    block = spark.createDataFrame([(i + 1, *r) for i, r in enumerate(ordered)], "i long, " + schema) \
+        .select("i", material_block(*(F.col(c) for c in ("i", "title", "source_name", "url", "date", "content_text"))).alias("b"))
+    whole = "\n\n".join(r.b for r in sorted(block.collect(), key=lambda r: r.i))
+    monkeypatch.setattr(compose, "JOINED_ROWS", 4)
+    for template in ("a{articles_text}b{articles_text}", "none"):
+        assert compose.compose_prompt(df, template).first().prompt == template.replace("{articles_text}", whole)
+        assert compose.compose_article(df, template, lambda p: f"{len(p)} {p[-9:]}") \
+            == f"{len(template.replace('{articles_text}', whole))} {template.replace('{articles_text}', whole)[-9:]}".strip()
+    assert compose.compose_article(df.limit(0), "a{articles_text}", len) is None
+    with pytest.raises(ValueError):
+        compose.compose_article(df, "{articles_text}", str, most_chars=10)
+    page = compose.daily_page(compose.add_fallback_summary(df), dt.date(2024, 1, 30)).first()
+    assert page.article_count == 43 and page.summaries_html.count("<article") == 43 and page.summaries_html in page.html
+    # more than the former 64 million characters
+    big = spark.range(80).select(F.col("id").alias("seq"), F.lit("t").alias("title"), F.lit("s").alias("source_name"), F.lit("u").alias("url"),
+                                 F.lit(None).cast("string").alias("date"), F.repeat(F.lit("word "), F.lit(170_000)).alias("content_text"))
+    assert compose.compose_article(big, "{articles_text}", lambda p: str(p.count("word "))) == str(80 * 170_000)
+
+
+def test_positions_within_a_few_large_groups(spark):
+    from newsdigest.operators.numbering import numbered_within
+    df = spark.range(3000).select(F.when(F.col("id") % 10 > 0, F.lit("big")).when(F.col("id") % 20 == 0, "small").alias("g"), (F.col("id") * 7919 % 3001).alias("k"))
+    got = numbered_within(df, "g", [F.desc("k")], "n")
+    w = Window.partitionBy("g").orderBy(F.desc("k"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.withColumn("n", F.row_number().over(w)).collect()))
+    dealt = numbered_within(df, "g", [F.desc("k")], "n").filter("g = 'big'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) > 1           # one group is more than one task's rows
