@@ -391,7 +391,8 @@ def firsts(el: Column, labels: Column, slots: list[str], name: Column) -> Column
         return F.struct(after.alias("next"), F.when(F.array_contains(has, name), found).otherwise(_empty(kind)).alias("out"))
 
     start = F.array_repeat(F.lit(None).cast(_PLACE), len(slots))
-    back = F.reverse(F.arrays_zip(el.alias("e"), labels.alias("l")))
+    # elements without a label change nothing
+    back = F.reverse(F.filter(F.arrays_zip(el.alias("e"), labels.alias("l")), lambda p: F.size(p["l"]) > 0))
     return F.reverse(fold(back, {"next": start}, {"out": f"array<struct<at:{_PLACE},first:array<{_PLACE}>>>"}, step)["out"])
 
 

@@ -154,6 +154,8 @@ def _result_pages(spark, d):
     item = F.concat(F.lit('<li id="i"><div class="img"><script>timeConvert(1)</script></div><div class="txt-box"><h3><a target="_blank" href="'), "href",
                     F.lit('"><em>t</em></a></h3><div class="s-p">'), name, box, F.lit("</div></div>"))
     hits = X.search_hits(spark, d).select("account", "page", F.struct("rank", item.alias("item")).alias("i"), "blocked")
+    # pages are read where they are put together: an account's pages, and small ones, go to as many tasks as there are
+    hits = hits.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "account", "page")
     pages = hits.groupBy("account", "page").agg(F.array_sort(F.collect_list("i")).alias("items"), F.max("blocked").alias("wall"))
     wall = F.when(F.col("wall"), S.BLOCKED_SEARCH_KEYWORDS[1]).otherwise("")
     return pages.select("account", "page", F.concat(

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
+from ..operators.numbering import numbered_within
 from .rules import RuleSet
 
 AS_OF = dt.date(2024, 1, 30)
@@ -106,9 +107,8 @@ RESULTS_PER_PAGE = 10
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> search result rows per account (= event_type), newest
     first, 10 per page, over all events; the page limit is K1's own."""
-    e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    r = e.withColumn("rn", F.row_number().over(w))
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    r = numbered_within(e, "event_type", [F.desc("ts"), F.desc("event_id")], "rn")
     u7, u5, u11 = F.col("user_id") % 7, F.col("user_id") % 5, F.col("user_id") % 11
     acct = F.col("event_type")
     src = (F.when(u7 == 0, F.lit("")).when(u7 == 1, acct).when(u7 == 2, F.concat(acct, F.lit("官方")))
