@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from itertools import chain
 from typing import Callable
 
 import pandas as pd
@@ -122,7 +123,8 @@ def compose_article(df: DataFrame, template: str, generator: Callable[[str], str
     once, in an executor; None without articles, or for a failure or an
     empty answer.  A generator takes its prompt whole, so this is the one
     step that needs all articles in one place: they come to it sorted, piece
-    by piece, and only its own process holds them all.  ``most_chars`` is the
+    by piece, and only its own process holds them all, once (two bytes a
+    character, four if a character is beyond U+FFFF).  ``most_chars`` is the
     most that the generator takes; more is an error, not a cut."""
     if most_chars is not None:
         size = df.agg(F.sum(F.length("content_text") + F.length("title") + F.length("url"))).first()[0] or 0
@@ -130,16 +132,29 @@ def compose_article(df: DataFrame, template: str, generator: Callable[[str], str
             raise ValueError(f"the articles have {size} characters; a prompt may have {most_chars}")
     first, *others = template.split("{articles_text}")
 
+    def whole(texts):
+        if len(others) == 1:
+            pieces = chain(texts, others)
+        else:
+            articles = "".join(texts)
+            pieces = (c for piece in others for c in (articles, piece))
+        prompt = first
+        for piece in pieces:
+            prompt += piece     # the one statement that adds: a text that only this name holds grows in its place
+        return prompt
+
     def run(batches):
-        text, n = bytearray(), 0        # UTF-8: less than half of the prompt's own size
-        for pdf in batches:
-            n += len(pdf)
-            for piece in pdf["text"]:
-                text += piece.encode()
+        n = 0
+
+        def texts():
+            nonlocal n
+            for pdf in batches:
+                n += len(pdf)
+                yield from pdf["text"]
+
+        prompt = whole(texts())
         if n == 0:
             return
-        prompt = "".join([first] + [c for piece in others for c in (text.decode(), piece)])
-        text.clear()
         try:
             r = generator(prompt) if prompt else ""
             yield pd.DataFrame({"content": [r.strip() if isinstance(r, str) else ""]})

@@ -433,6 +433,34 @@ def test_one_row_forms_take_equal_and_null_places_and_any_size(spark, monkeypatc
     assert compose.compose_article(big, "{articles_text}", lambda p: str(p.count("word "))) == str(80 * 170_000)
 
 
+def test_the_days_prompt_is_in_memory_once(spark):
+    import tracemalloc
+
+    import pandas as pd
+
+    from newsdigest.operators import compose
+    pieces = [f"文章{k % 10}" + "word " * 200 for k in range(20_000)]
+
+    class Rows:         # sorted pieces as they come to the generator's process
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+        def mapInPandas(self, run, schema):
+            self.out = pd.concat(run(pd.DataFrame({"text": pieces[k:k + 100]}) for k in range(0, len(pieces), 100)))
+            return self
+
+        def collect(self):
+            return list(self.out.itertuples())
+
+    tracemalloc.start()
+    try:
+        whole = lambda p: str((len(p), p.startswith("a文章0word"), p.endswith("word b"), p.count("文章7word")))     # noqa: E731
+        assert compose.compose_article(Rows(), "a{articles_text}b", whole) == str((20_000 * 1003 + 2, True, True, 2000))
+        assert tracemalloc.get_traced_memory()[1] < 3 * 20_000 * 1003      # two bytes a character
+    finally:
+        tracemalloc.stop()
+
+
 def test_positions_within_a_few_large_groups(spark):
     from newsdigest.operators.numbering import numbered_within
     df = spark.range(3000).select(F.when(F.col("id") % 10 > 0, F.lit("big")).when(F.col("id") % 20 == 0, "small").alias("g"), (F.col("id") * 7919 % 3001).alias("k"))
